@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -22,3 +28,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application, so that Python functions can import it there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp()) / "plumbline.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted((root / "plumbline").rglob("*.py")):
+                out.write(source, source.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query, with the package sent to the executors first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
