@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat
+import public_tokenizers
+
+from plumbline.llm import chat, sstable, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -57,8 +59,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id
 """
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as sorted shards and read back."""
+    folder = sstable.write_token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return sstable.read_token_shards(spark, folder)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match token counts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES = {
     "op1_chat": op1_chat,
+    "op9_shards": op9_shards,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op1_chat": OP1_SQL,
