@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, sstable, token_count
+from plumbline.llm import chat, decontam, sstable, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -59,6 +59,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id
 """
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i+9], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM bw WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), spots AS (
+  SELECT r, i, n, array_to_string(w[i:i+n-1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)
+), hits AS (
+  SELECT r, i, s.n, item_id FROM spots s JOIN wins USING (win)
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted shards and read back."""
     folder = sstable.write_token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -73,9 +104,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op6_decontamination": op6_decontamination,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op1_chat": OP1_SQL,
+    "op6_decontamination": OP6_SQL,
 }
