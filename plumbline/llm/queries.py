@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, decontam, sstable, token_count
+from plumbline.llm import chat, decontam, mixing, sharding, sstable, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -59,6 +59,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id
 """
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the mix takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -90,6 +96,15 @@ FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
 
+SHARDS = 24
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards whose row counts differ by one at most."""
+    out = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted shards and read back."""
     folder = sstable.write_token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -104,7 +119,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
+    "op8_sharding": op8_sharding,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
 }
