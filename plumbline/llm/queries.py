@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, decontam, mixing, sharding, sstable, token_count
+from plumbline.llm import chat, decontam, kneser_ney, mixing, sharding, sstable, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -59,6 +59,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id
 """
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and decision for each document."""
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -119,6 +124,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
