@@ -16,8 +16,12 @@ four. Everything after the footer is ignored: text writers end a record with a l
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +36,8 @@ from plumbline.llm.common import shared_dir
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<qqqqqqiiii8s")
-#: Bytes of ids in a block before compression, ids in a shard, chunks remembered by a worker.
-BLOCK_BYTES, SHARD_IDS, CACHE_CHUNKS = 1 << 18, 1 << 22, 400_000
+#: Bytes of ids in a block before compression, ids in a shard, words remembered by a worker.
+BLOCK_BYTES, SHARD_IDS, CACHE_WORDS = 1 << 18, 1 << 22, 800_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -154,29 +158,79 @@ class Shard:
         return found
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of a text from the remembered ids of its words.
 
-    return Tokenizer.from_file(path), {}
+    The tokenizer lower-cases, drops white space and splits words before it pairs, so a text's
+    ids are those of its words in order. Words are cut here by the tokenizer's own pattern and only
+    new ones go to its pairing model, which saves its bookkeeping of offsets. That short way
+    is taken for plain characters below U+0250: composing leaves them as they are, and no Unicode version
+    changes their classes. Chunks with other characters, and tokenizers that are made in
+    another way, go through the whole tokenizer.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split, *levels = made["pre_tokenizer"]["pretokenizers"]
+        self.usual = (
+            [x["type"] for x in made["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+            and (split["type"], split["behavior"], split["invert"]) == ("Split", "Removed", True)
+            and [x["type"] for x in levels] == ["ByteLevel"]
+            and not levels[0]["add_prefix_space"]
+            and made["post_processor"] is None
+        )
+        low = [chr(i) for i in range(0x250)]
+        pattern = split["pattern"]["Regex"]
+        for kind in "LN":
+            pattern = pattern.replace(f"\\p{{{kind}}}", "".join(c for c in low if unicodedata.category(c)[0] == kind))
+        self.split = re.compile(pattern).findall
+        self.plain = re.compile("[\\n\x20-\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
+        self.marks = {t["content"][:2] for t in made["added_tokens"]}
+        # Byte-level vocabularies show printable bytes as themselves and the others from U+0100 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
+        self.levels = {b: 256 + i for i, b in enumerate(odd)}
+        self.words: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> bytes:
+        words, known = self.split(text.lower()), self.words
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            pass
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        pairs = self.tokenizer.model.tokenize
+        for w in words:
+            if w not in known:
+                shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.levels)
+                known[w] = array("I", [t.id for t in pairs(shown)]).tobytes()
+        return b"".join([known[w] for w in words])
+
+    def _short(self, text: str) -> bool:
+        return self.usual and self.plain(text) is not None and not any(m in text for m in self.marks)
+
+    def encode(self, text: str) -> bytes:
+        if self._short(text):
+            return self._cut(text)
+        whole = self.tokenizer.encode
+        return b"".join(
+            self._cut(c) if self._short(c) else array("I", whole(c, add_special_tokens=False).ids).tobytes()
+            for c in text.replace("\n", " ").split(" ")
+        )
 
-def encode(text: str | None, path: str, end_id: int) -> bytes:
-    """Little-endian four-byte ids of a text and the end id.
 
-    The tokenizer drops white space before it pairs, so a text's ids are those of its
-    space-separated chunks in order, and a worker remembers the ids of chunks.
-    """
-    tokenizer, known = _encoder(path)
-    chunks = (text or "").replace("\n", " ").split(" ")
-    new = list({c for c in chunks if c not in known})
-    if new:
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-            new = list(set(chunks))
-        for c, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-    return b"".join([known[c] for c in chunks]) + struct.pack("<I", end_id)
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+def encode(text: str | None, path: str, end_id: int) -> bytes:
+    """Little-endian four-byte ids of a text and the end id."""
+    return _encoder(path).encode(text or "") + struct.pack("<I", end_id)
 
 
 def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> str:
