@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, decontam, kneser_ney, mixing, sharding, sstable, token_count
+from plumbline.llm import chat, decontam, grid_join, kneser_ney, mixing, sharding, sstable, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -64,6 +64,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their labels."""
+    return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -125,6 +130,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
