@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, decontam, grid_join, kneser_ney, mixing, sharding, sstable, token_count
+from plumbline.llm import chat, decontam, grid_join, kneser_ney, minhash, mixing, sharding, sstable, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -75,6 +75,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of word pairs are similar by 80 % or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -132,6 +137,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mixing": op4_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
     "op9_shards": op9_shards,
