@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, decontam, grid_join, kneser_ney, minhash, mixing, sharding, sstable, token_count
+from plumbline.llm import chat, decontam, grid_join, kneser_ney, minhash, mixing, sharding, sstable, substring, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -111,6 +111,31 @@ FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without runs of 35 words that occur elsewhere."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, i, hash(w[i:i+34]) AS h, md5(array_to_string(w[i:i+34], ' ')) AS m
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+), rep AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h, m) AS c FROM starts) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM rep
+), words AS (
+  SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS p FROM d)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 SHARDS = 24
 
 
@@ -139,6 +164,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
@@ -146,4 +172,5 @@ QUERIES = {
 ORACLES = {
     "op1_chat": OP1_SQL,
     "op6_decontamination": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
