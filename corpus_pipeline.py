@@ -1,10 +1,63 @@
-"""Five stages that turn raw documents into sharded training data."""
-STAGES: list = []
+"""Five stages that turn raw documents into sharded training data.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import decontam, kneser_ney, minhash, mixing, sharding
+from plumbline.llm.common import store, table, without
+from plumbline.session import ship
+
+SHARDS = 24
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney model of trusted text does not reject."""
+    ship(spark)
+    scores = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
+    return without(docs, scores.where("NOT accepted"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    ship(spark)
+    found = store(minhash.near_duplicates(docs), "pipeline-near")
+    rest = without(docs, found.where("NOT kept"))
+    # Rows that repeat a kept one share its name and are links of it.
+    again = found.where("kept AND n_shingles > 0").groupBy("row").count().where("count > 1").limit(1).count()
+    return rest.dropDuplicates(["doc_id", "text"]) if again else rest
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.expand(mixing.mix(docs))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document."""
+    return sharding.shard_documents(docs, SHARDS, keep=("lang", "source", "n_chars"))
+
+
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("mixing sources", mix), ("sharding", shard)]
+
+#: The stages are iterative or models, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store(docs, f"stage{k}")
     return docs

@@ -62,3 +62,19 @@ def word_count(text: Column) -> Column:
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether df has at most that many rows; reads no more than needed to tell."""
     return df.limit(most + 1).count() <= most
+
+
+#: Names of rows to drop that are sent to all tasks (8 bytes each); more are joined by a shuffle.
+MOST_DROPPED = 2_000_000
+
+
+def row_name() -> Column:
+    """Name of a document row by its content: doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose names are in ``gone`` (row)."""
+    gone = store(gone.select(F.col("row").alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if small_enough(gone, MOST_DROPPED) else gone
+    return docs.join(gone, row_name() == F.col("__gone"), "left_anti")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_enough, store
+from plumbline.llm.common import row_name, small_enough, store
 
 ORDER = 3
 #: Characters of a block of documents, whose n-grams are counted and looked up together.
@@ -162,7 +162,7 @@ def bits(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
 
 
 def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
-    """doc_id, lang, n (characters and the end), bits (of the whole text; null without a model of the language).
+    """doc_id, row, lang, n (characters and the end), bits (of the whole text; null without a model of the language).
 
     Documents are scored in blocks. A block sends each of its distinct n-grams once to
     the shards of the model and gets its bits back; its texts travel once, compressed, to meet
@@ -187,21 +187,22 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], order: int
         values[answers["slot"].to_numpy()] = answers["bits"].to_numpy(dtype=float)
         for data in rows["rows"]:  # equal blocks share a name and get the same answers
             docs = json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
-            place, starts, grams = _grams([(d[1], d[2]) for d in docs], order)
+            place, starts, grams = _grams([(d[2], d[3]) for d in docs], order)
             if len(grams) != len(values):
                 raise ValueError("a block of documents was not read the same way twice")
             sums = np.add.reduceat(values[place], starts)
             ends = np.append(starts[1:], len(place))
-            out += [(None if d[0] is None else int(d[0]), d[1], int(e - s), None if np.isnan(x) else float(x)) for d, s, e, x in zip(docs, starts, ends, sums, strict=True)]
-        made = pd.DataFrame(out, columns=["doc_id", "lang", "n", "bits"], dtype=object)
-        return made.astype({"doc_id": "Int64", "n": "int64", "bits": "float64"})
+            out += [(None if d[0] is None else int(d[0]), int(d[1]), d[2], int(e - s), None if np.isnan(x) else float(x)) for d, s, e, x in zip(docs, starts, ends, sums, strict=True)]
+        made = pd.DataFrame(out, columns=["doc_id", "row", "lang", "n", "bits"], dtype=object)
+        return made.astype({"doc_id": "Int64", "row": "int64", "n": "int64", "bits": "float64"})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    # Numbers as text: pandas and JSON would round large ones.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("row").cast("string").alias("row"), "lang", "text")
     asked = store(rows.mapInPandas(wanted, "block string, slot int, lang string, gram string"), "kn-asked")
     known = bits(asked.select("lang", "gram").distinct(), model)
     answers = asked.join(known, ["lang", "gram"]).select("block", "slot", "bits")
     texts = rows.mapInPandas(packed, "block string, rows binary")
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, "doc_id long, lang string, n long, bits double")
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, "doc_id long, row long, lang string, n long, bits double")
     return store(out, "kn-scores")
 
 
@@ -217,7 +218,7 @@ def _name(block: pd.DataFrame) -> str:
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float = TAIL, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, n, perplexity, threshold, accepted for each row of docs.
+    """doc_id, row (row_name() of doc_id and text), lang, n, perplexity, threshold, accepted for each row of docs.
 
     The model learns from all documents that labels call good (quality 1) and not toxic. The
     perplexity is per character. A language's threshold is the quantile that leaves ``tail`` of its
@@ -228,7 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float
     own. Documents of a language without trusted text have null perplexity and threshold and are
     accepted. Repeated rows are scored each; labels repeated for a document count once.
     """
-    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", row_name().alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("ok")).where("ok AND doc_id IS NOT NULL").select("doc_id")
     good = store(good, "kn-trusted")
     ids = F.broadcast(good) if small_enough(good, MOST_IDS) else good
@@ -245,6 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float
     out = scores.join(store(limits, "kn-limits"), "lang", "left").withColumn("per", pulled)
     return out.select(
         "doc_id",
+        "row",
         "lang",
         "n",
         F.pow(F.lit(2.0), "per").alias("perplexity"),

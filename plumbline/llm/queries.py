@@ -61,7 +61,7 @@ FROM w GROUP BY conv_id
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and decision for each document."""
-    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of word pairs are similar by 80 % or more."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, drop, store
+from plumbline.llm.common import WORD, drop, row_name, store
 
 #: Words of a window, words of an anchor; words remembered by a Python worker.
 WINDOW, ANCHOR, CACHE_WORDS = 35, 8, 400_000
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     so whole copies go. An empty table gives no rows; other columns are ignored.
     """
     # A row's name comes from its content, so that any reading gives it again; equal rows have equal windows.
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select("doc_id", "text", row_name().alias("row"))
     found = repeated_windows(rows, window, anchor, most_in_shard)
     hits = found.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("hits"))
 
