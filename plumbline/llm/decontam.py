@@ -84,15 +84,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_
         return docs.withColumn("hits", _row_hits(F.col("words"), found))
     keyed = docs.withColumn("__row", F.struct(F.spark_partition_id(), F.monotonically_increasing_id()))
     w = F.col("words")
-    spots = [
-        F.transform(
-            F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("h")),
-        )
-        for n in found.lengths
-    ]
+
+    def spots(n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("h")))
+
     wins = found.table.select(F.xxhash64(F.split("win", " ")).alias("h"), F.col("n"), F.col("win"))
-    at = keyed.select("__row", F.explode(F.concat(*spots)).alias("s")).select("__row", "s.*")
+    at = keyed.select("__row", F.explode(F.concat(*[spots(n) for n in found.lengths])).alias("s")).select("__row", "s.*")
     near = at.join(wins, ["h", "n"]).groupBy("__row").agg(F.collect_list(F.struct("at", "n", "win")).alias("near"))
     joined = keyed.join(near, "__row", "left").drop("__row")
     sure = F.filter("near", lambda r: F.array_join(F.slice(w, r.at, r.n), " ") == r.win)
