@@ -27,7 +27,7 @@ def greedy_windows(sizes: Column, most_items: int = WINDOW_SPANS, most_size: int
             F.array_append(s.out, w).alias("out"),
         )
 
-    return F.aggregate(sizes, start, step, lambda s: s.out)
+    return F.aggregate(F.transform(sizes, lambda x: x.cast("int")), start, step, lambda s: s.out)
 
 
 def windows(docs: DataFrame, doc: str, spans: str) -> DataFrame:
