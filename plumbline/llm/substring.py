@@ -18,6 +18,8 @@ from plumbline.llm.common import WORD, drop, row_name, store
 WINDOW, ANCHOR, CACHE_WORDS = 35, 8, 400_000
 #: Different segments of an anchor up to which they make one automaton; windows of the rest are counted.
 MOST_IN_SHARD = 2_000
+#: Words of documents that are cut into segments together.
+CUT_WORDS = 400_000
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _words = re.compile(WORD).findall
@@ -56,30 +58,35 @@ def _runs(h: np.ndarray, length: int) -> np.ndarray:
     return _mix(out)
 
 
-def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first and end (of window starts) of each segment of a document.
+def segments(h: np.ndarray, ends: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and stop (of window starts) of each segment of documents whose words are joined in h.
 
-    A window's anchor is its least run of ``anchor`` words, the leftmost if equal. It depends on the
-    window's words alone, so equal windows have equal anchors at equal places. Consecutive windows that
-    share one anchor occurrence are a segment, and every window is in exactly one.
+    ``ends`` has for each word the end of its document. A window's anchor is its least run of ``anchor`` words,
+    the leftmost if equal. It depends on the window's words alone, so equal windows have equal anchors at equal
+    places. Consecutive windows that share one anchor occurrence are a segment, and every window is in exactly one.
     """
     starts = len(h) - window + 1
+    none = np.zeros(0, dtype=np.int64)
     if starts < 1:
-        none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none
     runs = _runs(h, anchor)
     width = window - anchor + 1
-    place = np.arange(len(runs))
     # Sliding minimum by doubling; on a tie the left one stays.
-    span, best = 1, place
+    span, best = 1, np.arange(len(runs))
     while 2 * span <= width:
         left, right = best[: len(best) - span], best[span:]
         best = np.where(runs[right] < runs[left], right, left)
         span *= 2
     left, right = best[:starts], best[width - span : width - span + starts]
     best = np.where(runs[right] < runs[left], right, left)
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    return runs[best[first]], first, np.append(first[1:], starts)
+    inside = np.flatnonzero(np.arange(starts) + window <= ends[:starts])  # windows that cross into the next document are none
+    if not len(inside):
+        return none.astype(np.uint64), none, none
+    best, owner = best[inside], ends[inside]
+    new = np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(inside)) - 1
+    return runs[best[at]], inside[at], inside[last] + 1
 
 
 class SuffixAutomaton:
@@ -169,27 +176,40 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[int] = []
+        held: list[np.ndarray] = []
+
+        def flush() -> pd.DataFrame:
+            sizes = np.array([len(x) for x in held])
+            end = np.cumsum(sizes)
+            h, start = np.concatenate(held), end - sizes
+            a, first, stop = segments(h, np.repeat(end, sizes), window, anchor)
+            doc = np.searchsorted(end, first, side="right")
+            made = pd.DataFrame(
+                {
+                    "row": np.array(rows, dtype=np.int64)[doc], "anchor": a.view(np.int64), "name": _spans(h, first, stop + window - 1).view(np.int64),
+                    "first": (first - start[doc]).astype(np.int32), "stop": (stop - start[doc]).astype(np.int32),
+                }
+            )
+            rows.clear()
+            held.clear()
+            return made
+
+        size = 0
         for batch in batches:
-            rows, anchors, names, firsts, stops = [], [], [], [], []
             for row, text in zip(batch["row"], batch["text"], strict=True):
                 h = word_hashes(split_words(text))
-                a, first, stop = segments(h, window, anchor)
-                if not len(a):
-                    continue
-                rows.append(np.full(len(a), row, dtype=np.int64))
-                anchors.append(a.view(np.int64))
-                names.append(_spans(h, first, stop + window - 1).view(np.int64))
-                firsts.append(first)
-                stops.append(stop)
-            if rows:
-                yield pd.DataFrame(
-                    {
-                        "row": np.concatenate(rows), "anchor": np.concatenate(anchors), "name": np.concatenate(names),
-                        "first": np.concatenate(firsts).astype(np.int32), "stop": np.concatenate(stops).astype(np.int32),
-                    }
-                )
-
-    all_ = docs.select("row", "text").mapInPandas(cut, "row long, anchor long, name long, first int, stop int")
+                if len(h) >= window:
+                    rows.append(row)
+                    held.append(h)
+                    size += len(h)
+                if size >= CUT_WORDS:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    all_ = store(docs.select("row", "text").mapInPandas(cut, "row long, anchor long, name long, first int, stop int"), "sub-segments")
     # One row for each different segment; the place of one of its occurrences is enough.
     kinds = all_.groupBy("anchor", "name").agg(F.count("*").alias("m"), F.min(F.struct("row", "first", "stop")).alias("at"))
     kinds = store(kinds, "sub-kinds")
@@ -211,26 +231,49 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     texts = docs.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("text", "wanted")
     texts = store(texts.mapInPandas(fetch, "anchor long, name long, m long, words binary, windows array<long>"), "sub-words")
 
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sequences = [np.frombuffer(w, np.uint64).tolist() for w in rows["words"]]
-        shard = SuffixAutomaton()
-        for s in sequences:
-            shard.add(s)
-        shard.close()
-        out = []
-        for name, m, s in zip(rows["name"], rows["m"], sequences, strict=True):
-            if m > 1:
-                continue
-            hit = np.concatenate([[False], shard.repeated(s, window), [False]]).astype(np.int8)
-            up, down = np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1)
-            out += [(key[0], name, int(i), int(j)) for i, j in zip(up, down, strict=True)]
-        return pd.DataFrame(out, columns=["anchor", "name", "i", "j"])
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchor_now: int | None = None
+        held: list[tuple[int, int, bytes]] = []
+
+        def shard() -> list[tuple[int, int, int, int]]:
+            sequences = [np.frombuffer(w, np.uint64).tolist() for _, _, w in held]
+            automaton = SuffixAutomaton()
+            for s in sequences:
+                automaton.add(s)
+            automaton.close()
+            out = []
+            for (name, m, _), s in zip(held, sequences, strict=True):
+                if m == 1:
+                    hit = automaton.repeated(s, window)
+                    i = 0
+                    while i < len(hit):
+                        j = i
+                        while j < len(hit) and hit[j]:
+                            j += 1
+                        if j > i:
+                            out.append((anchor_now, name, i, j))
+                        i = j + 1
+            held.clear()
+            return out
+
+        for batch in batches:  # sorted by anchor, so that each shard is a run of rows
+            out = []
+            for key, name, m, words in zip(batch["anchor"].tolist(), batch["name"].tolist(), batch["m"].tolist(), batch["words"], strict=True):
+                if key != anchor_now and held:
+                    out += shard()
+                anchor_now = key
+                held.append((name, m, words))
+            yield pd.DataFrame(out, columns=["anchor", "name", "i", "j"])
+        if held:
+            yield pd.DataFrame(shard(), columns=["anchor", "name", "i", "j"])
 
     shards = texts.where("words IS NOT NULL").drop("windows")
     spots = texts.where("words IS NULL").select("anchor", "name", "m", F.posexplode("windows").alias("i", "window"))
     twice = spots.groupBy("window").agg(F.sum("m").alias("times")).where("times > 1").select("window")
     counted = spots.where("m = 1").join(twice, "window", "left_semi").select("anchor", "name", "i", (F.col("i") + 1).alias("j"))
-    matched = shards.groupBy("anchor").applyInPandas(match, "anchor long, name long, i int, j int")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = shards.repartition(parts, "anchor").sortWithinPartitions("anchor")
+    matched = dealt.mapInPandas(match, "anchor long, name long, i int, j int")
     some = store(matched.unionByName(counted), "sub-some")
     drop(texts)
     part = some.join(open_.where("m = 1").select("anchor", "name", "row", "first"), ["anchor", "name"])
