@@ -28,11 +28,12 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = store(small.distinct(), f"cc-{turn}")
-        ends = new.select(F.col("b").alias("a")).distinct()
-        done = not new.join(ends, "a", "left_semi").limit(1).count() and not new.groupBy("a").count().where("count > 1").limit(1).count()
+        # Settled: no node is both below and above another, and none points at two.
+        sides = new.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(new.select("b", F.lit(0), F.lit(1)))
+        open_ = sides.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out > 0 AND into > 0)")
         last, edges = edges, new
         drop(last)
-        if done:
+        if not open_.limit(1).count():
             break
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
