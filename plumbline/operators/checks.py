@@ -67,14 +67,14 @@ def quoted_in(quotes: DataFrame, texts: DataFrame, text_key: str, words: int = 3
     """
     inner = F.split("quote", r"\s+")
     q = quotes.where("quote <> ''").withColumn("w", F.slice(inner, 2, F.greatest(F.lit(0), F.least(F.size(inner) - 2, F.lit(words)))))
-    w = F.split("text", r"\s+")
 
     def runs(n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
 
+    # The words are a column of their own, or each place would split the text again.
     keys = F.array_distinct(F.concat(*[runs(n) for n in range(1, words + 1)]))
-    spots = texts.select(text_key, F.explode(keys).alias("key"))
+    spots = texts.select(text_key, F.split("text", r"\s+").alias("w")).select(text_key, F.explode(keys).alias("key"))
     near = spots.join(q.where(F.size("w") > 0).select("quote_id", F.xxhash64("w").alias("key")), "key").select("quote_id", text_key).distinct()
     sure = near.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select(text_key, "text"), text_key).where(F.contains("text", "quote"))
     short = texts.select(text_key, "text").join(q.where(F.size("w") == 0).select("quote_id", "quote"), F.contains("text", "quote"))
