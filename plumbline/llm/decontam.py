@@ -22,6 +22,11 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def _window(w: Column, at: Column, n: int) -> Column:
+    """The n words of w from place at (from 1). Inside a lambda, slice() would copy the whole array for each place."""
+    return F.array(*[F.get(w, at - 1 + j) for j in range(n)])
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows with the items that hold them: win, n (its words), items (sorted as strings).
 
@@ -61,8 +66,8 @@ def _row_hits(w: Column, found: WindowSet) -> Column:
         probe = spark.createDataFrame([(t.split(" "),) for t in texts], "w array<string>").select(F.xxhash64("w").alias("h"))
         hashes = [r.h for r in probe.collect()]
         at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        near = F.filter(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(n))).isin(hashes))
-        rows = F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i, F.lit(n)), " ").alias("win")))
+        near = F.filter(at, lambda i: F.xxhash64(_window(w, i, n)).isin(hashes))
+        rows = F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(_window(w, i, n), " ").alias("win")))
         hits.append(F.filter(rows, lambda r: r.win.isin(texts)))
     return F.concat(*hits)
 
@@ -87,7 +92,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_
 
     def spots(n: int) -> Column:
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("h")))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(_window(w, i, n)).alias("h")))
 
     wins = found.table.select(F.xxhash64(F.split("win", " ")).alias("h"), F.col("n"), F.col("win"))
     at = keyed.select("__row", F.explode(F.concat(*[spots(n) for n in found.lengths])).alias("s")).select("__row", "s.*")
