@@ -70,7 +70,8 @@ def quoted_in(quotes: DataFrame, texts: DataFrame, text_key: str, words: int = 3
 
     def runs(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
+        # get() is direct; slice() inside a lambda would copy all words for each place
+        return F.transform(starts, lambda i: F.xxhash64(F.array(*[F.get("w", i - 1 + j) for j in range(n)])))
 
     # The words are a column of their own, or each place would split the text again.
     keys = F.array_distinct(F.concat(*[runs(n) for n in range(1, words + 1)]))
