@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import row_name, small_enough, store
@@ -19,8 +19,8 @@ BLOCK_CHARS = 6_000_000
 MOST_IDS = 2_000_000
 #: A document is scored as if it had this many more characters of average trusted text.
 PRIOR_CHARS = 200
-#: Share of trusted documents of a language that score worse than its threshold, and what is added to it.
-TAIL, MARGIN = 0.002, 0.05
+#: Share of all trusted documents that lie further above their language's median than thresholds do, and the bits added.
+TAIL, MARGIN = 0.01, 0.02
 #: Steps of the grid on which quantiles are taken, per unit of bits.
 GRID = 2000
 START, END = "\x02", "\x03"
@@ -221,8 +221,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float
     """doc_id, row (row_name() of doc_id and text), lang, n, perplexity, threshold, accepted for each row of docs.
 
     The model learns from all documents that labels call good (quality 1) and not toxic. The
-    perplexity is per character. A language's threshold is the quantile that leaves ``tail`` of its
-    trusted documents above it, plus ``margin`` bits; documents beyond it are rejected.
+    perplexity is per character. A language's threshold is the median of its trusted documents, plus the
+    distance above it that ``tail`` of the trusted documents of all languages exceed, plus ``margin`` bits;
+    documents beyond it are rejected. So a few odd trusted documents don't open a small language's gate.
     Short texts are pulled towards the trusted mean by PRIOR_CHARS.
 
     A null or empty text is scored as its end alone; a null language is a language of its
@@ -238,11 +239,14 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float
     trusted = scores.where("bits IS NOT NULL").join(good, "doc_id", "left_semi")
     means = trusted.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean"))
     pulled = (F.col("bits") + PRIOR_CHARS * F.col("mean")) / (F.col("n") + PRIOR_CHARS)
-    cells = trusted.join(means, "lang").groupBy("lang", F.ceil(pulled * GRID).alias("cell")).agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    of = F.sum("m").over(Window.partitionBy("lang"))
-    cells = cells.withColumns({"upto": upto, "of": of}).where(F.col("upto") >= F.ceil(F.col("of") * (1 - tail)))
-    limits = cells.groupBy("lang").agg((F.min("cell") / GRID + margin).alias("limit")).join(means, "lang")
+    cells = trusted.join(means, "lang").select("lang", F.ceil(pulled * GRID).alias("cell"))
+    medians = store(cells.groupBy("lang").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY cell)").alias("median")).join(means, "lang"), "kn-medians")
+    far = store(cells.join(F.broadcast(medians), "lang").select((F.col("cell") - F.col("median")).alias("far")), "kn-far")
+    n = far.count()
+    # Also of few documents the furthest does not set the limits.
+    share = max(0.0, min(1 - tail, (n - 1.5) / n)) if n else 1.0
+    spread = far.agg(F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY far)").alias("spread"))
+    limits = medians.join(F.broadcast(spread)).select("lang", "mean", ((F.col("median") + F.col("spread")) / GRID + margin).alias("limit"))
     out = scores.join(store(limits, "kn-limits"), "lang", "left").withColumn("per", pulled)
     return out.select(
         "doc_id",

@@ -156,3 +156,16 @@ def test_classifier_keeps_clean_text(spark):
     assert got[602].perplexity is None and got[1].perplexity > 1
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
     assert kneser_ney.classify(docs, labels.limit(0)).where("NOT accepted").count() == 0
+
+
+def test_odd_trusted_text_opens_no_gate(spark):
+    draw = random.Random(4)
+    prose = lambda syllables, n: " ".join("".join(draw.choice(syllables) for _ in range(draw.randint(1, 3))) for _ in range(n))
+    en, de = ["the", "an", "er", "in", "on", "tion", "ly"], ["ich", "ung", "ver", "ge", "st", "ein"]
+    rows = [(i, prose(en, 80), "en") for i in range(300)] + [(1000 + i, prose(de, 80), "de") for i in range(30)]
+    rows += [(1500, prose(de, 40) + " " + prose(en, 80), "de")] + [(2000 + i, prose(de, 60) + " " + prose(en, 60), "de") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[:331]], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.accepted for r in kneser_ney.classify(docs, labels).collect()}
+    assert not any(got[2000 + i] for i in range(10)) and not got[1500]
+    assert sum(not got[i] for i in range(300)) <= 6 and all(got[1000 + i] for i in range(30))
