@@ -183,9 +183,10 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], order: int
         import json
 
         out = []
-        values = np.full(len(answers), np.nan)
-        values[answers["slot"].to_numpy()] = answers["bits"].to_numpy(dtype=float)
-        for data in rows["rows"]:  # equal blocks share a name and get the same answers
+        slots = answers["slot"].to_numpy()
+        values = np.full(slots.max(initial=-1) + 1, np.nan)
+        values[slots] = answers["bits"].to_numpy(dtype=float)
+        for data in rows["rows"]:  # equal blocks share a name and get the same answers, each once for every block
             docs = json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
             place, starts, grams = _grams([(d[2], d[3]) for d in docs], order)
             if len(grams) != len(values):

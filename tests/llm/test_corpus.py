@@ -169,3 +169,11 @@ def test_odd_trusted_text_opens_no_gate(spark):
     got = {r.doc_id: r.accepted for r in kneser_ney.classify(docs, labels).collect()}
     assert not any(got[2000 + i] for i in range(10)) and not got[1500]
     assert sum(not got[i] for i in range(300)) <= 6 and all(got[1000 + i] for i in range(30))
+
+
+def test_equal_blocks_are_scored(spark):
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(1, "same text", "en")] * 2, 2), "doc_id long, text string, lang string")
+    assert docs.rdd.getNumPartitions() == 2
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.classify(docs, labels).collect()
+    assert len(got) == 2 and all(r.accepted for r in got) and got[0].perplexity == got[1].perplexity
