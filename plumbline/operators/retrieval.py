@@ -29,24 +29,27 @@ def depth(n: int, k: int) -> int:
     return min(n, max(4 * k, 20))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, within: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine of unit vectors in double precision.
 
     Queries go to the tasks in blocks of QUERY_BLOCK; a task multiplies its vectors with a block and keeps
     k rows of each query, so what is shuffled is k rows per query and task. Scores are rounded before
-    ranking, since summation order moves the last digits.
+    ranking, since summation order moves the last digits. With ``within``, a column of both, a query ranks only
+    vectors that have its value; null equals nothing.
     """
     spark = vectors.sparkSession
+    group = [F.col(within).alias("group")] if within else []
+    vectors = vectors.where(F.col(within).isNotNull()) if within else vectors
     out = None
-    held = queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator(prefetchPartitions=True)
+    held = queries.select("vec_id", "embedding", *group).orderBy("vec_id").toLocalIterator(prefetchPartitions=True)
     block: list = []
 
     def search(block: list) -> DataFrame:
         ids = np.array([r["vec_id"] for r in block])
-        matrix = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in block], dtype=np.float64)))
+        matrix = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in block], dtype=np.float64), [r["group"] for r in block] if within else None))
 
         def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = matrix.value
+            ids, q, groups = matrix.value
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
             for batch in batches:
                 if not len(batch):
@@ -55,7 +58,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
                 own = batch["vec_id"].to_numpy()
                 scores = np.round(q @ v.T, DIGITS)
                 for i in range(len(ids)):
-                    s, c = np.concatenate([best[i][1], scores[i]]), np.concatenate([best[i][0], own])
+                    fit = (batch["group"] == groups[i]).to_numpy() if groups else slice(None)
+                    s, c = np.concatenate([best[i][1], scores[i][fit]]), np.concatenate([best[i][0], own[fit]])
                     if skip_self:
                         s, c = s[c != ids[i]], c[c != ids[i]]
                     at = np.lexsort((c, -s))[:k]
@@ -64,7 +68,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
                 if len(c):
                     yield pd.DataFrame({"query_id": ids[i], "vec_id": c, "score": s})
 
-        return vectors.select("vec_id", "embedding").where("embedding IS NOT NULL").mapInPandas(rank, "query_id long, vec_id long, score double")
+        return vectors.select("vec_id", "embedding", *group).where("embedding IS NOT NULL").mapInPandas(rank, "query_id long, vec_id long, score double")
 
     for row in held:
         block.append(row)
@@ -215,15 +219,20 @@ def select_candidates(facts: DataFrame, items: DataFrame, least: int) -> DataFra
     return out.select("fact_id", "level", (F.col("level_no") > 0).alias("fallback"), "candidates")
 
 
-def retrieval_scores(results: DataFrame, k: int) -> list[Column]:
-    """Aggregates over rows with expected, retrieved (in rank order) and candidates: arrays of ids."""
+def retrieval_scores(results: DataFrame, k: int, pool: Column | None = None, count: Column | None = None) -> list[Column]:
+    """Aggregates over rows with expected, retrieved (in rank order) and candidates: arrays of ids.
+
+    Instead of candidates, ``pool`` can say whether all expected ones are among them and ``count`` how many they are.
+    """
+    pool = F.size(F.array_except("expected", "candidates")) == 0 if pool is None else pool
+    count = F.size("candidates") if count is None else count
     top = F.slice("retrieved", 1, k)
     hits = F.size(F.array_intersect("expected", top))
     first = F.array_min(F.filter(F.transform("expected", lambda e: F.array_position(top, e)), lambda p: p > 0))
     return [
         F.round(F.avg((hits == F.size("expected")).cast("int")), DIGITS).alias("complete_recall"),
         F.round(F.try_divide(F.sum(hits), F.sum(F.size("expected"))), DIGITS).alias("micro_recall"),
-        F.round(F.avg((F.size(F.array_except("expected", "candidates")) == 0).cast("int")), DIGITS).alias("pool_recall"),
+        F.round(F.avg(pool.cast("int")), DIGITS).alias("pool_recall"),
         F.round(F.avg(F.coalesce(1 / first, F.lit(0.0))), DIGITS).alias("mrr"),
-        F.round(F.avg(F.size("candidates")), DIGITS).alias("mean_candidates"),
+        F.round(F.avg(count), DIGITS).alias("mean_candidates"),
     ]

@@ -88,7 +88,7 @@ def metadata_filter_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
-    """query_id, expected, retrieved, candidates: expected are the three nearest vectors of the query's label."""
+    """query_id, expected, retrieved, candidates: of the 50 nearest vectors, as in the SQL; expected are the three nearest of the query's label."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 100 = 0")
     near = retrieval.dense_top_k(v, q, 50).join(v.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
@@ -113,16 +113,60 @@ near AS (SELECT query_id, vec_id, rank, label = query_label AS same, row_number(
 
 @query(NEAR + _scores_sql("TRUE"))
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics within the 50 nearest; retrieval_cells ranks all vectors."""
     return _results(spark, sf_dir, False).agg(*retrieval.retrieval_scores(None, K))
 
 
 @query(NEAR + f" SELECT 'off' AS filter, * FROM ({_scores_sql('TRUE')}) UNION ALL SELECT 'on', * FROM ({_scores_sql('same')})")
 def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics without and with the label filter."""
+    """Metrics within the 50 nearest, without and with the label filter; retrieval_cells filters and ranks all vectors."""
     rows = [_results(spark, sf_dir, on).agg(*retrieval.retrieval_scores(None, K)).select(F.lit("on" if on else "off").alias("filter"), "*") for on in (False, True)]
     return rows[0].unionByName(rows[1])
 
 
+WHOLE = f"""WITH {DENSE},
+whole AS (SELECT query_id, vec_id, rank, same, row_number() OVER (PARTITION BY query_id, same ORDER BY rank) AS same_rank
+  FROM (SELECT *, coalesce(label = query_label, FALSE) AS same FROM dense WHERE score IS NOT NULL))"""
+
+
+def _cell_sql(pool: str) -> str:
+    return f"""
+SELECT round(avg(CASE WHEN hits = n_exp THEN 1 ELSE 0 END), 6) AS complete_recall, round(sum(hits) / sum(n_exp), 6) AS micro_recall,
+  round(avg(CASE WHEN pool_hits = n_exp THEN 1 ELSE 0 END), 6) AS pool_recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(n_pool), 6) AS mean_candidates
+FROM (SELECT query_id, count(*) FILTER (is_exp) AS n_exp, count(*) FILTER (is_exp AND pool_rank <= 5) AS hits, count(*) FILTER (is_exp AND in_pool) AS pool_hits,
+  min(pool_rank) FILTER (is_exp AND pool_rank <= 5) AS first, count(*) FILTER (in_pool) AS n_pool
+  FROM (SELECT *, same AND same_rank <= 3 AS is_exp, {pool} AS in_pool, CASE WHEN {pool} THEN row_number() OVER (PARTITION BY query_id, {pool} ORDER BY rank) END AS pool_rank FROM whole) GROUP BY query_id)"""
+
+
+@query(WHOLE + f" SELECT 'off' AS filter, * FROM ({_cell_sql('TRUE')}) UNION ALL SELECT 'on', * FROM ({_cell_sql('same')})")
+def retrieval_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense cells of the matrix: all vectors are ranked, or all that the label filter leaves; expected are the three nearest of all with the query's label."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 100 = 0")
+    return cells(v, q)
+
+
+def cells(v: DataFrame, q: DataFrame) -> DataFrame:
+    """A row of metrics for each filter over vectors and queries (vec_id, label, embedding)."""
+    v, q = v.where("embedding IS NOT NULL"), q.where("embedding IS NOT NULL")
+    named = q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    sizes = v.groupBy("label").agg(F.count("*").alias("m"))
+    n = sizes.agg(F.sum("m").alias("n"))
+    ids = lambda rows, name: rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x.vec_id).alias(name))
+    inside = retrieval.dense_top_k(v, q, K, within="label").join(v.select("vec_id", "label"), "vec_id")
+    expected = inside.where("rank <= 3").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x.vec_id).alias("expected"), F.collect_set("label").alias("labels"))
+    none = F.array().cast("array<long>")
+    out = []
+    for on in (False, True):
+        found = ids(inside if on else retrieval.dense_top_k(v, q, K), "retrieved")
+        rows = named.join(expected, "query_id", "left").join(found, "query_id", "left").join(sizes, F.col("own") == F.col("label"), "left").join(F.broadcast(n))
+        rows = rows.withColumns({"expected": F.coalesce("expected", none), "retrieved": F.coalesce("retrieved", none)})
+        pool = F.coalesce(F.forall("labels", lambda x: x == F.col("own")), F.lit(True)) if on else F.lit(True)
+        count = F.coalesce("m", F.lit(0)) if on else F.col("n")
+        out.append(rows.agg(*retrieval.retrieval_scores(rows, K, pool, count)).select(F.lit("on" if on else "off").alias("filter"), "*"))
+    return out[0].unionByName(out[1])
+
+
 @query("""
 WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark)
 SELECT item_id AS query_id, CAST(len(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) AS BIGINT) AS query_tokens, CAST(len(t) AS BIGINT) AS distinct_terms FROM t JOIN benchmark b USING (item_id)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import retrieval
+from plumbline.plans import ranking
 
 
 def test_dense_ties_keep_corpus_order(spark):
@@ -48,3 +49,13 @@ def test_retrieval_scores(spark):
     r = rows.agg(*retrieval.retrieval_scores(rows, 2)).first()
     assert (r.complete_recall, r.micro_recall, r.pool_recall, r.mrr) == (0.5, round(2 / 3, 6), 1.0, 1.0)
     assert rows.select(F.size("expected")).count() == 2
+
+
+def test_cells_rank_beyond_the_nearest(spark):
+    near = [(i, 1, [1.0, 0.0]) for i in range(1, 61)]
+    far = [(100 + i, 2, [0.0, 1.0 - i / 100]) for i in range(6)]
+    v = spark.createDataFrame([*near, *far, (0, 2, [1.0, 0.0]), (200, None, [1.0, 0.0]), (300, 2, None)], "vec_id long, label int, embedding array<float>")
+    got = {r["filter"]: r for r in ranking.cells(v, v.where("vec_id = 0")).collect()}
+    assert got["on"].mean_candidates == 7 and got["off"].mean_candidates == 68
+    assert got["on"].complete_recall == 1 and got["on"].micro_recall == 1
+    assert got["off"].complete_recall == 0 and got["off"].micro_recall == round(1 / 3, 6) and got["off"].pool_recall == 1
