@@ -20,10 +20,20 @@ p AS (SELECT a.conv_id, a.turn AS first, b.turn AS second, row_number() OVER (PA
 SELECT conv_id, first, second, pair_no, (pair_no - 1) // 4 AS batch_no FROM p WHERE pair_no <= 20
 """)
 def pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a conversation's turns in order, up to the check's limit of 20, in batches of four."""
+    """Pairs of a conversation's turns in order, the first 20, in batches of four; story_pairs goes to the check's limit."""
     return relations.ordered_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", 20, 4)
 
 
+@query("""
+WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+p AS (SELECT a.conv_id, a.turn AS first, b.turn AS second, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i, b.i) AS pair_no FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.i < b.i)
+SELECT conv_id, first, second, pair_no, (pair_no - 1) // 4 AS batch_no FROM p WHERE pair_no <= 120
+""")
+def story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a conversation's turns in order, up to the story check's limit of 120, in batches of four."""
+    return relations.ordered_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", 120, 4)
+
+
 DAYS = "epoch(CAST({c} AS TIMESTAMP)) // 86400"
 
 
