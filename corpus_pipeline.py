@@ -7,9 +7,10 @@ and read again as the next one's docs. All but the last return the columns of do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, kneser_ney, minhash, mixing, sharding
-from plumbline.llm.common import store, table, without
+from plumbline.llm.common import row_name, store, table, without
 from plumbline.session import ship
 
 SHARDS = 24
@@ -23,13 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Those without words are left alone."""
     ship(spark)
-    found = store(minhash.near_duplicates(docs), "pipeline-near")
-    rest = without(docs, found.where("NOT kept"))
-    # Rows that repeat a kept one share its name and are links of it.
-    again = found.where("kept AND n_shingles > 0").groupBy("row").count().where("count > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id", "text"]) if again else rest
+    found = store(minhash.near_duplicates(docs, named=True).where("n_shingles > 0").groupBy("component", "doc_id", "row").agg(F.count("*").alias("n")), "pipeline-near")
+    best = found.groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    best = store(best, "pipeline-best")
+    rest = without(docs, found.join(best, "row", "left_anti"))
+    # Rows that repeat a kept one share its name.
+    again = store(found.where("n > 1").join(best, "row", "left_semi").select("row"), "pipeline-again")
+    if not again.limit(1).count():
+        return rest
+    named = rest.withColumn("__row", row_name())
+    single = named.join(again, F.col("__row") == F.col("row"), "left_semi").dropDuplicates(["__row"])
+    return without(rest, again).unionByName(single.drop("__row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

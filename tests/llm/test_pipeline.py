@@ -25,3 +25,13 @@ def test_stages_take_effect(spark):
     assert mixed.columns == docs.columns
     counts = [r["count"] for r in corpus_pipeline.shard(spark, docs, SF).groupBy("shard").count().collect()]
     assert sum(counts) == docs.count() and max(counts) - min(counts) <= 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = lambda *last: " ".join([*(f"w{i}" for i in range(60)), *last])
+    other = lambda *last: " ".join([*(f"v{i}" for i in range(60)), *last])
+    rows = [(1, long("a")), (1, long("b")), (None, other("a")), (None, other("b")), (None, other("b")), (2, ""), (2, ""), (None, " ")]
+    rows += [(3, "alone here"), (3, "alone here"), (None, "not " + long("c")), (5, None)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    words = [(r.doc_id, r.text) for r in kept if (r.text or "").strip()]
+    assert len(words) == 3 and {r[0] for r in words} == {1, None, 3} and len([r for r in kept if not (r.text or "").strip()]) == 4
