@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,35 +11,58 @@ from pyspark.sql import functions as F
 WINDOW_SPANS, WINDOW_CHARS, CONTEXT_SPANS = 8, 180, 2
 
 
+def _starts(sizes: np.ndarray, most_items: int, most_size: int) -> list[int]:
+    """Index of the first item of each window."""
+    out, n, chars = [], 0, 0
+    for i, size in enumerate(sizes):
+        if not n or n >= most_items or chars + size > most_size:
+            out.append(i)
+            n = chars = 0
+        n, chars = n + 1, chars + size
+    return out
+
+
 def greedy_windows(sizes: Column, most_items: int = WINDOW_SPANS, most_size: int = WINDOW_CHARS) -> Column:
     """Window number of each item of an array of sizes, from 1.
 
     A window closes before an item that would be one too many or exceed the size; an item alone may exceed it. The
-    sum starts anew at each window, which no SQL frame does, so it is a fold over the document's own array.
+    sum starts anew at each window, which no SQL frame does, and Spark's aggregate() would copy the numbers
+    for each item, so it is an Arrow function over the document's own array.
     """
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, size: Column) -> Column:
-        full = (s.n == 0) | (s.n >= most_items) | (s.chars + size > most_size)
-        w = F.when(full, s.w + 1).otherwise(s.w)
-        return F.struct(
-            w.alias("w"),
-            F.when(full, F.lit(1)).otherwise(s.n + 1).alias("n"),
-            F.when(full, size).otherwise(s.chars + size).alias("chars"),
-            F.array_append(s.out, w).alias("out"),
-        )
+    @F.pandas_udf("array<int>")
+    def numbers(rows: pd.Series) -> pd.Series:
+        def one(row: np.ndarray | None) -> np.ndarray | None:
+            if row is None:
+                return None
+            new = np.zeros(len(row), dtype=np.int32)
+            new[_starts(row, most_items, most_size)] = 1
+            return np.cumsum(new, dtype=np.int32)
 
-    return F.aggregate(F.transform(sizes, lambda x: x.cast("int")), start, step, lambda s: s.out)
+        return rows.map(one)
+
+    return numbers(F.transform(sizes, lambda x: x.cast("int")))
 
 
 def windows(docs: DataFrame, doc: str, spans: str) -> DataFrame:
-    """doc, window_no, target_ids, context_ids from documents with an array of spans (id, text)."""
-    numbered = docs.select(doc, F.col(spans).alias("s"), greedy_windows(F.transform(spans, lambda s: F.length(s.text))).alias("w"))
-    rows = numbered.select(doc, "s", "w", F.explode(F.array_distinct("w")).alias("window_no"))
-    first = F.array_position("w", F.col("window_no")).cast("int")
-    inside = F.transform(F.filter(F.arrays_zip(F.col("s").alias("s"), F.col("w").alias("w")), lambda z: z.w == F.col("window_no")), lambda z: z.s.id)
-    before = F.slice(F.col("s"), F.greatest(F.lit(1), first - CONTEXT_SPANS), F.least(F.lit(CONTEXT_SPANS), first - 1))
-    return rows.select(doc, "window_no", inside.alias("target_ids"), F.transform(before, lambda s: s.id).alias("context_ids"))
+    """doc, window_no, target_ids, context_ids from documents with an array of spans (id, text).
+
+    Ids are cut into windows in one pass over a document's spans, and only then become rows.
+    """
+
+    @F.pandas_udf("array<struct<window_no: int, target_ids: array<string>, context_ids: array<string>>>")
+    def cut(ids: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(names: np.ndarray | None, row: np.ndarray | None) -> list[dict]:
+            if names is None:
+                return []
+            at = _starts(row, WINDOW_SPANS, WINDOW_CHARS)
+            ends = [*at[1:], len(names)] if at else []
+            return [{"window_no": k + 1, "target_ids": list(names[a:b]), "context_ids": list(names[max(0, a - CONTEXT_SPANS) : a])} for k, (a, b) in enumerate(zip(at, ends, strict=True))]
+
+        return pd.Series([one(*x) for x in zip(ids, sizes, strict=True)], dtype=object)
+
+    found = cut(F.transform(spans, lambda s: s.id), F.transform(spans, lambda s: F.length(s.text)))
+    return docs.select(doc, F.explode(found).alias("w")).select(doc, "w.*")
 
 
 def recovery_context(ids: Column, missing: Column, before: int = CONTEXT_SPANS) -> Column:

@@ -58,9 +58,9 @@ def span_split_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of spans for the turns of conversations, one window row each."""
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc"), fn.split_spans(F.col("text")).alias("spans"))
-    w = sequences.windows(turns, "doc", "spans")
+    """Windows of spans for whole documents, one window row each."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), fn.split_spans(F.col("text")).alias("spans"))
+    w = sequences.windows(docs, "doc", "spans")
     return w.select("doc", "window_no", F.array_join("target_ids", ",").alias("targets"), F.array_join("context_ids", ",").alias("context"))
 
 
