@@ -43,3 +43,10 @@ def test_windows_of_whole_documents(spark, tmp_path):
             first = names.index(part[0][0])
             want.append((doc, k + 1, ",".join(s for s, _ in part), ",".join(names[max(0, first - 2) : first])))
     assert sorted(map(tuple, texts.greedy_windows(spark, str(tmp_path)).collect())) == want and len(want) > 700
+
+
+def test_a_prefix_is_no_quote(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"see {text} end"), (2, text[:100] + " but goes on")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in texts.quote_grounding(spark, str(tmp_path)).collect()] == [1]
