@@ -64,6 +64,16 @@ def split_spans(text: Column, most: int | None = SPAN_CHARS) -> Column:
     return spans(text)
 
 
+def span_sizes(text: Column, most: int | None = SPAN_CHARS) -> Column:
+    """Characters of each span of split_spans(), without the texts."""
+
+    @F.pandas_udf("array<int>")
+    def sizes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [len(s[1]) for s in _spans_of(t, most)])
+
+    return sizes(text)
+
+
 def clause_texts(text: Column, most: int = SPAN_CHARS) -> Column:
     """The texts of split_spans() without offsets, by built-in functions alone."""
     space = r"^[\s\x{1c}-\x{1f}\x{85}\x{a0}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}]+$"

@@ -49,6 +49,11 @@ def windows(docs: DataFrame, doc: str, spans: str) -> DataFrame:
 
     Ids are cut into windows in one pass over a document's spans, and only then become rows.
     """
+    return windows_of(docs, doc, F.transform(spans, lambda s: s.id), F.transform(spans, lambda s: F.length(s.text)))
+
+
+def windows_of(docs: DataFrame, doc: str, span_ids: Column, span_sizes: Column) -> DataFrame:
+    """windows() from arrays of the spans' ids and sizes."""
 
     @F.pandas_udf("array<struct<window_no: int, target_ids: array<string>, context_ids: array<string>>>")
     def cut(ids: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -61,8 +66,7 @@ def windows(docs: DataFrame, doc: str, spans: str) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(ids, sizes, strict=True)], dtype=object)
 
-    found = cut(F.transform(spans, lambda s: s.id), F.transform(spans, lambda s: F.length(s.text)))
-    return docs.select(doc, F.explode(found).alias("w")).select(doc, "w.*")
+    return docs.select(doc, F.explode(cut(span_ids, span_sizes)).alias("w")).select(doc, "w.*")
 
 
 def recovery_context(ids: Column, missing: Column, before: int = CONTEXT_SPANS) -> Column:

@@ -59,8 +59,9 @@ def span_split_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of spans for whole documents, one window row each."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), fn.split_spans(F.col("text")).alias("spans"))
-    w = sequences.windows(docs, "doc", "spans")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), fn.span_sizes(F.col("text")).alias("sizes"))
+    ids = F.transform("sizes", lambda _, i: F.concat(F.lit("S"), i + 1))
+    w = sequences.windows_of(docs, "doc", ids, F.col("sizes"))
     return w.select("doc", "window_no", F.array_join("target_ids", ",").alias("targets"), F.array_join("context_ids", ",").alias("context"))
 
 
