@@ -11,7 +11,9 @@ from plumbline.llm.common import drop, small_enough, store, word_count
 
 # Fixed values of the query contract.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-NEWTON_STEPS, TOLERANCE, REPAIRS = 40, 1e-10, 6
+NEWTON_STEPS, TOLERANCE, REPAIRS = 80, 1e-10, 6
+#: Columns that a mix adds.
+MADE = ("size", "source_size", "target", "copies")
 #: Rows of the class table up to which it is broadcast; beyond, the join is shuffled.
 MOST_BROADCAST = 500_000
 
@@ -91,6 +93,8 @@ def solve_tilts(sizes: DataFrame, wanted: DataFrame, most: float = MOST) -> Data
         drop(last)
         if not state.where(F.col("off") > TOLERANCE).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"tilts did not settle in {NEWTON_STEPS} steps")
     return state.drop("low", "high", "off")
 
 
@@ -155,8 +159,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     are taken as the rates fall and count nothing. A null source is a source, the last. An
     empty table gives no rows. Columns of docs with the names of results are replaced.
     """
-    made = ["size", "source_size", "target", "copies"]
-    docs = docs.drop(*made)
+    docs = docs.drop(*MADE)
     sized = docs.withColumns({"size": word_count(F.col("text")), "__h": F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))})
     rows = store(sized.select("source", "size", F.col("__h").alias("h")), "mix-rows")
     sizes = store(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
@@ -170,10 +173,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         plan = F.broadcast(plan)
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__size")))
     copies = F.col("base") + F.coalesce((F.col("__h") <= F.col("cut")).cast("long"), F.lit(0))
-    return joined.withColumn("copies", copies.cast("long")).select(*docs.columns, *made)
+    return joined.withColumn("copies", copies.cast("long")).select(*docs.columns, *MADE)
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """The rows of mix(), each as often as it is taken, without mix()'s columns."""
-    keep = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
+    keep = [c for c in mixed.columns if c not in MADE]
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*keep)

@@ -40,13 +40,23 @@ def test_benchmark_windows_by_both_ways(spark, most):
     docs = spark.createDataFrame([(1, "x a B c D y"), (2, "zz-zz"), (3, None), (4, "..."), (5, "É X é x"), (5, "q"), (5, "q"), (6, "pad " * 3_000 + "c d e")], DOCS).withColumn("words", F.lit(1))
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.report(docs, bench, 3, most).collect()))
     assert got == [(1, 6, 4, 2, True), (2, 2, 2, 1, True), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 1, 0, 0, False), (5, 1, 0, 0, False), (5, 4, 2, 0, True), (6, 3_003, 3, 2, True)]
-    assert sorted(r.doc_id for r in decontam.remove_documents(docs, bench, window=3, most_in_set=most).collect()) == [3, 4, 5, 5]
-    clean = {r.doc_id: r.clean for r in decontam.remove_spans(docs.where("doc_id = 1"), bench, window=3, most_in_set=most).collect()}
+    assert sorted(r.doc_id for r in decontam.remove_documents(docs, bench, window=3, most_hashes=most).collect()) == [3, 4, 5, 5]
+    clean = {r.doc_id: r.clean for r in decontam.remove_spans(docs.where("doc_id = 1"), bench, window=3, most_hashes=most).collect()}
     assert clean == {1: "x y"}
     assert decontam.report(docs.limit(0), bench).count() == 0
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_texts_are_split_once(spark):
+    bench = spark.createDataFrame([(1, "b c d"), (2, "q")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "pad " * 200_000 + "b c d " * 500, "w", 1, 2)], "doc_id long, text string, words string, hits int, clean int")
+    splits = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    assert splits(decontam.hits(docs.select("doc_id", "text"), bench, 3)) == splits(decontam.remove_spans(docs, bench, 3).where("length(clean) > 0")) == 2
+    spans, left = decontam.remove_spans(docs, bench, 3), decontam.remove_documents(docs.unionByName(docs.withColumn("text", F.lit("pad"))), bench, 3)
+    assert spans.columns == docs.columns and left.columns == docs.columns and [r.words for r in left.collect()] == ["w"]
+    assert spans.first().clean.split() == ["pad"] * 200_000
+
+
 def fill(sizes, weights=(3, 1, 2), share=1.5, most=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
