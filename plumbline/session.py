@@ -30,6 +30,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session that names none gets a temporary one; a cluster must name its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = now.get() if now.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 _shipped: set[str] = set()
 
 
