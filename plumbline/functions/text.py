@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 # CJK blocks and word characters of the tokenizer, clause marks, time labels.
 CJK = "㐀-䶿一-鿿豈-﫿"
 TOKEN = f"[{CJK}]+|[a-z0-9_]+"
+#: Texts of these characters alone have the same tokens in NFKC form.
+SAME_TOKENS = f"^[\\x00-\\x7F\\xC0-\\xFF{CJK}，。！？；：、“”‘’《》（）—–…]*$"
 CLAUSE_END = "，,。！？!?；;"
 TIME = "(?:[0-9]{3,4}年(?:[0-9]{1,2}月(?:[0-9]{1,2}日)?)?|第[零〇一二三四五六七八九十百千万0-9]+[话章节卷幕])"
 SPAN_CHARS = 180
@@ -25,10 +27,15 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def tokenize(text: Column, compatibility: bool = False) -> Column:
-    """Lower-case tokens: a CJK run gives its characters, then its pairs; other words stay whole."""
-    plain = F.lower(nfkc(text) if compatibility else text)
-    runs = F.regexp_extract_all(F.coalesce(plain, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+def tokenize(text: Column) -> Column:
+    """Lower-case tokens of the NFKC form: a CJK run gives its characters, then its pairs; other words stay whole.
+
+    Only texts whose tokens NFKC may change go through Python, and only those with CJK characters through the lambda
+    that cuts runs.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = F.lower(F.coalesce(nfkc(F.when(~text.rlike(SAME_TOKENS), text)), text))
+    runs = F.regexp_extract_all(plain, F.lit(f"({TOKEN})"), F.lit(1))
 
     def cut(run: Column) -> Column:
         n = F.length(run)
@@ -36,7 +43,12 @@ def tokenize(text: Column, compatibility: bool = False) -> Column:
         twos = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: run.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(ones, twos)).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, cut))
+    return F.when(plain.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, cut))).otherwise(runs)
+
+
+def searchable(headings: Column, text: Column) -> Column:
+    """What BM25 sees of a chunk: its headings and its text on lines of their own."""
+    return F.array_join(F.concat(F.coalesce(headings, F.array().cast("array<string>")), F.array(F.coalesce(text, F.lit("")))), "\n")
 
 
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("text", T.StringType()), ("start", T.IntegerType()), ("stop", T.IntegerType()))]))
@@ -105,8 +117,3 @@ def canonical_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(canonical)
-
-
-def chunk_id(file: Column, start: Column, stop: Column, text: Column, headings: Column) -> Column:
-    """First 20 hex digits of the SHA-256 over place, text and headings, with NUL between."""
-    return F.substring(F.sha2(F.concat_ws("\0", file, start.cast("string"), stop.cast("string"), text, F.array_join(headings, "\0")), 256), 1, 20)

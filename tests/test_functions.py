@@ -11,7 +11,7 @@ def one(spark, expr, **values):
 
 def test_tokens_of_mixed_scripts(spark):
     assert one(spark, text.tokenize(F.col("t")), t="左胸 A-12") == ["左", "胸", "左胸", "a", "12"]
-    assert one(spark, text.tokenize(F.col("t"), compatibility=True), t="ＡＢ") == ["ab"]
+    assert one(spark, text.tokenize(F.col("t")), t="ＡＢ") == ["ab"]
 
 
 def test_spans_hold_their_offsets(spark):
@@ -54,7 +54,7 @@ def test_guard_downgrades_what_is_not_proven(spark):
 def test_repair_renames_and_keeps_bytes(spark):
     bad = '{"events":[{"mentalological_state":1}]}'
     r = one(spark, wire.repair(F.col("t")), t=bad)
-    assert r.raw == '{"events":[{"mental_state":1}]}' and r.actions[0].right == "mental_state"
+    assert r.raw == '{"events":[{"mental_state":1}]}' and r.actions[0].to == "mental_state"
     kept = '{ "events" : [] }'
     assert one(spark, wire.repair(F.col("t")), t=kept).raw == kept
     assert one(spark, wire.leading_object(F.col("t")), t='{"a": 1} tail').rest == "tail"
