@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.lookup import inside
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """key, rule: one row for each rule that a row breaks; a rule that is null counts as broken."""
@@ -63,7 +65,7 @@ def quoted_in(quotes: DataFrame, texts: DataFrame, text_key: str, words: int = 3
     """quote_id, text_key: which texts hold a quote verbatim.
 
     All but the first and last word of a quote stand as whole words in any text that holds it, so quotes and texts meet
-    on up to ``words`` of those and only then are compared. Quotes without such a word are compared with every text.
+    on up to ``words`` of those and only then are compared. Quotes without such a word are found by an automaton in one pass.
     """
     inner = F.split("quote", r"\s+")
     q = quotes.where("quote <> ''").withColumn("w", F.slice(inner, 2, F.greatest(F.lit(0), F.least(F.size(inner) - 2, F.lit(words)))))
@@ -78,7 +80,8 @@ def quoted_in(quotes: DataFrame, texts: DataFrame, text_key: str, words: int = 3
     spots = texts.select(text_key, F.split("text", r"\s+").alias("w")).select(text_key, F.explode(keys).alias("key"))
     near = spots.join(q.where(F.size("w") > 0).select("quote_id", F.xxhash64("w").alias("key")), "key").select("quote_id", text_key).distinct()
     sure = near.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select(text_key, "text"), text_key).where(F.contains("text", "quote"))
-    short = texts.select(text_key, "text").join(q.where(F.size("w") == 0).select("quote_id", "quote"), F.contains("text", "quote"))
+    few = q.where(F.size("w") == 0).select("quote_id", "quote")
+    short = inside(texts, text_key, "text", few, "quote").join(few, "quote")
     return sure.select("quote_id", text_key).unionByName(short.select("quote_id", text_key).distinct())
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import nearest_rank, prf, ratio
+from plumbline.operators.scoring import take_in_turn
+from plumbline.operators.sequences import numbered
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -54,18 +56,10 @@ def detection(gold: DataFrame, alarms: DataFrame, how: str) -> DataFrame:
 def greedy_matches(alarms: DataFrame) -> DataFrame:
     """case_id, alarm_id, matched: each alarm in order takes the smallest gold_id of its list that is still free.
 
-    What one alarm may take depends on those before it, so it is a fold over the case's alarms (case_id, alarm_id,
-    gold_ids), which must fit a row, as a case does.
+    alarms: case_id, alarm_id, gold_ids. What one alarm may take depends on those before it in its case.
     """
-    g = alarms.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("alarm_id", "gold_ids"))).alias("x"))
-    none = F.array().cast("array<struct<alarm_id: string, matched: string>>")
-
-    def step(done: Column, a: Column) -> Column:
-        free = F.array_except(a.gold_ids, F.transform(done, lambda d: d.matched))
-        return F.array_append(done, F.struct(a.alarm_id.cast("string").alias("alarm_id"), F.array_min(free).alias("matched")))
-
-    rows = g.select("case_id", F.explode(F.aggregate("x", none, step)).alias("r"))
-    return rows.select("case_id", "r.*")
+    rows = alarms.select("case_id", F.col("alarm_id").cast("string").alias("alarm_id"), F.col("alarm_id").alias("ord"), F.array_sort("gold_ids").alias("may"))
+    return take_in_turn(rows).withColumnRenamed("taken", "matched")
 
 
 def funnel(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
@@ -89,8 +83,7 @@ def first_failure(stages: list[tuple[str, Column]]) -> Column:
 
 def error_ids(errors: DataFrame, order: list[str], prefix: str = "AT") -> DataFrame:
     """errors with error_id AT-0001, AT-0002, ... in the order of construction."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return errors.withColumn("error_id", F.format_string(f"{prefix}-%04d", n))
+    return numbered(errors, order, "__n").withColumn("error_id", F.format_string(f"{prefix}-%04d", "__n")).drop("__n")
 
 
 def cost_profile(calls: DataFrame, component: str) -> DataFrame:

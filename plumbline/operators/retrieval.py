@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.rules import DIMENSION_ALIASES, DIMENSIONS
 from plumbline.functions.text import tokenize
+from plumbline.operators.lookup import inside
+from plumbline.sources.scratch import scratch
 
 # BM25's saturation and length weight, the fusion constant.
 K1, B, RRF = 1.5, 0.75, 60.0
-#: Query vectors or texts that are sent to all tasks at a time.
-QUERY_BLOCK = 20_000
+#: Query vectors and vectors of a block; queries whose blocks are broadcast.
+QUERY_BLOCK, VECTOR_BLOCK, MOST_QUERIES = 512, 16_384, 50_000
 DIGITS = 6
 
 
@@ -29,70 +32,86 @@ def depth(n: int, k: int) -> int:
     return min(n, max(4 * k, 20))
 
 
+def _pack(rows: DataFrame, most: int) -> DataFrame:
+    """ids, vectors, groups: blocks of up to ``most`` rows (vec_id, embedding, group) of one length, ids in ascending order."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            whole = pd.concat(held).sort_values("vec_id", kind="stable")
+            held.clear()
+            for _, part in whole.groupby(whole["embedding"].map(len)):
+                for i in range(0, len(part), most):
+                    some = part.iloc[i : i + most]
+                    matrix = np.array([np.asarray(x, dtype="<f8") for x in some["embedding"]])
+                    yield pd.DataFrame({"ids": [some["vec_id"].to_numpy(dtype="<i8").tobytes()], "vectors": [matrix.tobytes()], "groups": [some["group"].to_numpy(dtype="<i8").tobytes()]})
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= most:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return rows.mapInPandas(pack, "ids binary, vectors binary, groups binary")
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, id and rounded score of the k best of each row of scores; ids ascend, and of equal scores the first wins."""
+    n = scores.shape[1]
+    whole = np.where(np.isfinite(scores), np.rint(scores * 10.0**DIGITS), -(2.0**40)).astype(np.int64)
+    order = whole * n + (n - 1 - np.arange(n))  # one number for score and place, so that nothing ties
+    top = np.argpartition(-order, min(k, n) - 1, axis=1)[:, : min(k, n)]
+    picked = np.take_along_axis(whole, top, axis=1)
+    row, col = np.nonzero(picked > -(2**40))
+    return row, ids[top[row, col]], picked[row, col] / 10.0**DIGITS
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, within: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine of unit vectors in double precision.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; a task multiplies its vectors with a block and keeps
-    k rows of each query, so what is shuffled is k rows per query and task. Scores are rounded before
-    ranking, since summation order moves the last digits. With ``within``, a column of both, a query ranks only
-    vectors that have its value; null equals nothing.
+    Queries and vectors are packed into blocks, and each block of queries meets each block of vectors as one matrix
+    product that keeps k rows of each query; the corpus is read once. Query blocks are broadcast while they are small.
+    Scores are rounded before ranking, since summation order moves the last digits. With ``within``, a column of
+    both, a query ranks only vectors that have its value; null equals nothing. Null vectors and those of another length
+    than the query's rank nowhere.
     """
-    spark = vectors.sparkSession
-    group = [F.col(within).alias("group")] if within else []
-    vectors = vectors.where(F.col(within).isNotNull()) if within else vectors
-    out = None
-    held = queries.select("vec_id", "embedding", *group).orderBy("vec_id").toLocalIterator(prefetchPartitions=True)
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([r["vec_id"] for r in block])
-        matrix = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in block], dtype=np.float64), [r["group"] for r in block] if within else None))
-
-        def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q, groups = matrix.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
-            for batch in batches:
-                if not len(batch):
+    group = F.xxhash64(within) if within else F.lit(0).cast("long")
+    side = lambda d: (d.where(F.col(within).isNotNull()) if within else d).where("embedding IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding", group.alias("group"))
+    asked = _pack(side(queries), QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.col("groups").alias("q_groups"))
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        asked = F.broadcast(asked)
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
+                v, q = np.frombuffer(r.vectors, "<f8").reshape(len(ids), -1), np.frombuffer(r.q, "<f8").reshape(len(q_ids), -1)
+                if v.shape[1] != q.shape[1]:
                     continue
-                v = np.array([np.asarray(x, dtype=np.float64) for x in batch["embedding"]])
-                own = batch["vec_id"].to_numpy()
-                scores = np.round(q @ v.T, DIGITS)
-                for i in range(len(ids)):
-                    fit = (batch["group"] == groups[i]).to_numpy() if groups else slice(None)
-                    s, c = np.concatenate([best[i][1], scores[i][fit]]), np.concatenate([best[i][0], own[fit]])
-                    if skip_self:
-                        s, c = s[c != ids[i]], c[c != ids[i]]
-                    at = np.lexsort((c, -s))[:k]
-                    best[i] = (c[at], s[at])
-            for i, (c, s) in enumerate(best):
-                if len(c):
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": c, "score": s})
-
-        return vectors.select("vec_id", "embedding", *group).where("embedding IS NOT NULL").mapInPandas(rank, "query_id long, vec_id long, score double")
-
-    for row in held:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return top_k(out, "query_id", "vec_id", F.col("score"), k)
-
-
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, term, tf, dl (tokens of the document)."""
-    t = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("t"))
-    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+                scores = q @ v.T
+                if within:
+                    scores[np.frombuffer(r.q_groups, "<i8")[:, None] != np.frombuffer(r.groups, "<i8")[None, :]] = -np.inf
+                if skip_self:
+                    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                row, found, score = _best(ids, scores, k)
+                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": found, "score": score})
 
+    met = _pack(side(vectors), VECTOR_BLOCK).join(asked)  # blocks against blocks of the stated queries
+    return top_k(met.mapInPandas(rank, "query_id long, vec_id long, score double"), "query_id", "vec_id", F.col("score"), k)
 
-def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n documents and their average number of tokens; a filter of candidates doesn't change them."""
-    return docs.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+def postings(docs: DataFrame, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """doc, term, tf, dl (tokens of the document)."""
+    t = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
+    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
     """term, df, idf over the whole corpus."""
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), DIGITS).alias("idf"))
 
@@ -104,38 +123,69 @@ def _with_empty(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int,
     top k, so the corpus is never crossed with the queries.
     """
     first = docs.select(F.col(doc).alias("doc")).orderBy("doc").limit(k)
-    empty = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    return scored.unionByName(empty).groupBy("query_id", "doc").agg(F.max("score").alias("score"))
+    empty = queries.select("query_id").join(F.broadcast(first)).select("*", F.lit(0.0).alias("score"), F.lit(0.0).alias("shared"), F.array().cast("array<string>").alias("terms"))
+    return scored.unionByName(empty).groupBy("query_id", "doc").agg(F.max("score").alias("score"), F.max("shared").alias("shared"), F.max_by("terms", F.size("terms")).alias("terms"))
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
-    """query_id, doc, score, rank over rows (query_id, text) and documents.
+def lexical_scores(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """query_id, doc, score (BM25), shared (distinct common terms), terms (the common ones, in the query's order).
 
-    Distinct query terms count. ``candidates`` (query_id, doc) restricts what is ranked, not the statistics. Only
-    postings of terms that occur in a query are joined, and documents are read once for them.
+    Distinct query terms count. The corpus is tokenised once: postings of terms that occur in a query, and each
+    document's length, are written as a table that statistics and scores read. ``candidates`` (query_id, doc) restricts
+    what is ranked, not the statistics. Without it, documents that share no term have their rows where they can reach
+    the top k.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    found = postings(docs, doc).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("t"))
+    terms = asked.select("query_id", F.posexplode("t").alias("place", "term"))
+    known = terms.select(F.col("term").alias("__known")).distinct()
+    t = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
+    # The null term stands for the document itself.
+    each = t.select("doc", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("term"))
+    each = each.join(known, F.col("term") == F.col("__known"), "left").where("term IS NULL OR __known IS NOT NULL")
+    found = scratch(each.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    size = found.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    found = found.where("term IS NOT NULL")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(docs)
     weighted = found.join(df, "term").join(F.broadcast(size))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     weighted = weighted.select("term", "doc", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    scored = terms.join(weighted, "term").groupBy("query_id", "doc").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+    common = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x.term)
+    scored = terms.join(weighted, "term").groupBy("query_id", "doc").agg(F.round(F.sum("w"), DIGITS).alias("score"), F.count("*").cast("double").alias("shared"), common.alias("terms"))
     if candidates is None:
-        scored = _with_empty(scored, queries, docs, k, doc)
-    else:
-        scored = candidates.select("query_id", "doc").join(scored, ["query_id", "doc"], "left").fillna(0.0, ["score"])
+        return _with_empty(scored, queries, docs, k, doc)
+    rows = candidates.select("query_id", "doc").join(scored, ["query_id", "doc"], "left").fillna(0.0, ["score", "shared"])
+    return rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """query_id, doc, score, rank over rows (query_id, text) and documents; see lexical_scores()."""
+    scored = lexical_scores(queries, docs, k, candidates, doc, text).select("query_id", "doc", "score")
     return top_k(scored, "query_id", "doc", F.col("score"), k)
 
 
+def search_report(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """query_id, doc, score, rank, matched_terms (in the query's order), query_tokens (repeats counted), candidates (how many were ranked)."""
+    ranked = top_k(lexical_scores(queries, docs, k, candidates, doc, text), "query_id", "doc", F.col("score"), k)
+    asked = queries.select("query_id", F.size(tokenize(F.col("text"))).cast("long").alias("query_tokens"))
+    if candidates is None:
+        asked = asked.join(F.broadcast(docs.agg(F.count("*").alias("candidates"))))
+    else:
+        asked = asked.join(candidates.groupBy("query_id").agg(F.count("*").alias("candidates")), "query_id")
+    return ranked.join(asked, "query_id").select("query_id", "doc", "score", "rank", F.col("terms").alias("matched_terms"), "query_tokens", "candidates")
+
+
 def overlap_top_k(queries: DataFrame, docs: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """query_id, doc, score, rank by the number of distinct shared terms."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    found = postings(docs, doc).select("doc", "term").join(terms, "term")
-    scored = found.groupBy("query_id", "doc").agg(F.count("*").cast("double").alias("score"))
-    return top_k(_with_empty(scored, queries, docs, k, doc), "query_id", "doc", F.col("score"), k)
+    scored = lexical_scores(queries, docs, k, None, doc).select("query_id", "doc", F.col("shared").alias("score"))
+    return top_k(scored, "query_id", "doc", F.col("score"), k)
+
+
+def lexical_rankings(queries: DataFrame, docs: DataFrame, k: int, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rankings of bm25_top_k() and overlap_top_k() from one pass over the corpus."""
+    scored = scratch(lexical_scores(queries, docs, k, None, doc).select("query_id", "doc", "score", "shared"), "lexical")
+    second = scored.select("query_id", "doc", F.col("shared").alias("score"))
+    return top_k(scored.drop("shared"), "query_id", "doc", F.col("score"), k), top_k(second, "query_id", "doc", F.col("score"), k)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: float = RRF, first_weight: float = 1.0, second_weight: float = 1.0) -> DataFrame:
@@ -152,18 +202,27 @@ def fuse(first: DataFrame, second: DataFrame, k: int, constant: float = RRF, fir
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def fact_dimensions(dimension: Column, dimensions: Column) -> Column:
+    """Sorted dimensions of a fact: the listed ones that exist, and those that its dimension or reason for checking names or holds."""
+    names = (*DIMENSIONS, "time")
+    said = F.coalesce(dimension, F.lit(""))
+    listed = F.filter(F.coalesce(dimensions, F.array().cast("array<string>")), lambda d: d.isin(*names))
+    told = [F.when(F.contains(said, F.lit(n)), F.lit(n)) for n in names] + [F.when(F.contains(said, F.lit(a)), F.lit(n)) for a, n in DIMENSION_ALIASES.items()]
+    return F.array_sort(F.array_distinct(F.concat(listed, F.array_compact(F.array(*told)))))
+
+
 def filter_hints(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """facts with ``entities``: names equal to the subject or an actor, else all names inside the text.
 
-    ``vocabulary`` has one column, name; facts have fact_id, subject, actors, text.
+    ``vocabulary`` has one column, name; facts have fact_id, subject, actors, text. Texts of facts without an exact match
+    are searched for all names at once.
     """
-    exact = facts.select("fact_id", F.explode(F.array_compact(F.array_append(F.coalesce("actors", F.array().cast("array<string>")), F.col("subject")))).alias("name"))
-    exact = exact.join(vocabulary, "name", "left_semi").groupBy("fact_id").agg(F.array_sort(F.collect_set("name")).alias("exact"))
-    names = vocabulary.where("name <> ''")
-    inside = facts.select("fact_id", "text").join(names, F.contains("text", "name")).groupBy("fact_id").agg(F.array_sort(F.collect_set("name")).alias("inside"))
-    none = F.array().cast("array<string>")
-    out = facts.join(exact, "fact_id", "left").join(inside, "fact_id", "left")
-    return out.withColumn("entities", F.coalesce("exact", "inside", none)).drop("exact", "inside")
+    own = F.array_compact(F.array_append(F.coalesce("actors", F.array().cast("array<string>")), F.col("subject")))
+    exact = facts.select("fact_id", F.explode(own).alias("name")).join(vocabulary, "name", "left_semi").groupBy("fact_id").agg(F.array_sort(F.collect_set("name")).alias("exact"))
+    rest = facts.join(exact, "fact_id", "left_anti").select("fact_id", "text")
+    found = inside(rest, "fact_id", "text", vocabulary).groupBy("fact_id").agg(F.array_sort(F.collect_set("name")).alias("inside"))
+    out = facts.join(exact, "fact_id", "left").join(found, "fact_id", "left")
+    return out.withColumn("entities", F.coalesce("exact", "inside", F.array().cast("array<string>"))).drop("exact", "inside")
 
 
 def filter_levels(facts: DataFrame) -> DataFrame:
@@ -187,38 +246,82 @@ def filter_levels(facts: DataFrame) -> DataFrame:
     return kept.select("fact_id", "level_no", "l.*")
 
 
-def select_candidates(facts: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    """fact_id, level, fallback, candidates: the first level that leaves at least min(n, least) items.
+def _chosen(facts: DataFrame, items: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts by hints, the chosen level of each kind of hints, and which kinds of items fit which level of them.
 
-    facts: fact_id, entities, dimensions, times; items: item_id, entities, dimension_tags, time_markers. Facts with
-    equal hints and items with equal tags are folded first. Matching is an equi-join on the hint
+    Facts with equal hints and items with equal tags are folded first. Matching is an equi-join on the hint
     values; the last level, which takes all, is answered by a count.
     """
     hints_of, tags_of = ("entities", "dimensions", "times"), ("entities", "dimension_tags", "time_markers")
     every = facts.select(F.col("fact_id").alias("fact"), F.xxhash64(*hints_of).alias("fact_id"))
     facts = facts.select(F.xxhash64(*hints_of).alias("fact_id"), *hints_of).dropDuplicates(["fact_id"])
-    items = items.groupBy(F.xxhash64(*tags_of).alias("item_id")).agg(*[F.first(c).alias(c) for c in tags_of], F.count("*").alias("m"))
+    items = items.groupBy(F.xxhash64(*tags_of).alias("item_kind")).agg(*[F.first(c).alias(c) for c in tags_of], F.count("*").alias("m"))
     levels = filter_levels(facts)
     kinds = (("entity", "entities", "entities"), ("dimension", "dimensions", "dimension_tags"), ("time", "times", "time_markers"))
     hit = None
     for kind, hints, marks in kinds:
         a = facts.select("fact_id", F.explode(hints).alias("v")).distinct()
-        b = items.select("item_id", F.explode(marks).alias("v")).distinct()
-        m = a.join(b, "v").select("fact_id", "item_id", F.lit(kind).alias("kind")).distinct()
+        b = items.select("item_kind", F.explode(marks).alias("v")).distinct()
+        m = a.join(b, "v").select("fact_id", "item_kind", F.lit(kind).alias("kind")).distinct()
         hit = m if hit is None else hit.unionByName(m)
-    hit = hit.groupBy("fact_id", "item_id").agg(F.collect_set("kind").alias("kinds"))
+    hit = hit.groupBy("fact_id", "item_kind").agg(F.collect_set("kind").alias("kinds"))
     fits = F.when(F.col("any"), F.arrays_overlap("by", "kinds")).otherwise(F.size(F.array_except("by", "kinds")) == 0)
-    some = levels.where("level <> 'all'").join(hit, "fact_id").where(fits).join(items.select("item_id", "m"), "item_id")
-    counts = some.groupBy("fact_id", "level_no").agg(F.sum("m").alias("candidates"))
+    some = levels.where("level <> 'all'").join(hit, "fact_id").where(fits).select("fact_id", "level_no", "item_kind")
+    counts = some.join(items.select("item_kind", "m"), "item_kind").groupBy("fact_id", "level_no").agg(F.sum("m").alias("candidates"))
     n = items.agg(F.sum("m").alias("n"))
     full = levels.join(counts, ["fact_id", "level_no"], "left").join(F.broadcast(n))
     full = full.withColumn("candidates", F.when(F.col("level") == "all", F.col("n")).otherwise(F.coalesce("candidates", F.lit(0))))
     enough = full.where(F.col("candidates") >= F.least("n", F.lit(least)))
     chosen = enough.groupBy("fact_id").agg(F.min(F.struct("level_no", "level", "candidates")).alias("c"))
-    out = every.join(chosen, "fact_id").select(F.col("fact").alias("fact_id"), "c.*")
+    trace = full.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("level_no", "level", "candidates"))).alias("tried"))
+    chosen = chosen.join(trace, "fact_id").select("fact_id", "c.*", F.filter("tried", lambda t: t.level_no <= F.col("c.level_no")).alias("trace"))
+    return every, chosen, some
+
+
+def select_candidates(facts: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """fact_id, level, fallback, candidates: the first level that leaves at least min(n, least) items.
+
+    facts: fact_id, entities, dimensions, times; items: item_id, entities, dimension_tags, time_markers.
+    """
+    every, chosen, _ = _chosen(facts, items, least)
+    out = every.join(chosen, "fact_id").select(F.col("fact").alias("fact_id"), "level", "level_no", "candidates")
     return out.select("fact_id", "level", (F.col("level_no") > 0).alias("fallback"), "candidates")
 
 
+def candidate_items(facts: DataFrame, items: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """select_candidates() with the trace of levels tried, and fact_id, item_id of the items of each fact's level.
+
+    Facts that no filter leaves enough for have all items as candidates and no rows in the second frame; they are ranked
+    without candidates.
+    """
+    every, chosen, some = _chosen(facts, items, least)
+    picked = every.join(chosen, "fact_id").select(F.col("fact").alias("fact_id"), "level", (F.col("level_no") > 0).alias("fallback"), "candidates", "trace")
+    kinds = chosen.where("level <> 'all'").select("fact_id", "level_no").join(some, ["fact_id", "level_no"])
+    tagged = items.select("item_id", F.xxhash64("entities", "dimension_tags", "time_markers").alias("item_kind"))
+    return picked, every.join(kinds, "fact_id").join(tagged, "item_kind").select(F.col("fact").alias("fact_id"), "item_id")
+
+
+def filter_audit(picked: DataFrame, candidates: DataFrame, expected: DataFrame) -> DataFrame:
+    """level, facts, kept (facts of which all expected items are candidates), least, most, mean (candidates): by level and, as null, overall.
+
+    picked, candidates: from candidate_items(); expected: fact_id, item_id.
+    """
+    there = candidates.withColumn("there", F.lit(True))
+    lost = expected.distinct().join(there, ["fact_id", "item_id"], "left").groupBy("fact_id").agg(F.count_if(F.col("there").isNull()).alias("lost"))
+    rows = picked.join(lost, "fact_id", "left").withColumn("kept", (F.col("level") == "all") | (F.coalesce("lost", F.lit(0)) == 0))
+    measures = [F.count("*").alias("facts"), F.count_if("kept").alias("kept"), F.min("candidates").alias("least"), F.max("candidates").alias("most"), F.round(F.avg("candidates"), DIGITS).alias("mean")]
+    return rows.groupingSets([[], [F.col("level")]], F.col("level")).agg(*measures)
+
+
+def ranked_within(asked: DataFrame, picked: DataFrame, rank) -> DataFrame:
+    """Rankings of queries whose facts have filtered candidates, and of the others over the whole corpus.
+
+    ``rank`` is called with queries and whether they have candidates, and gives query_id, doc, score, rank.
+    """
+    open_ = picked.where("level = 'all'").select(F.col("fact_id").alias("query_id"))
+    return rank(asked.join(open_, "query_id", "left_anti"), True).unionByName(rank(asked.join(open_, "query_id", "left_semi"), False))
+
+
 def retrieval_scores(results: DataFrame, k: int, pool: Column | None = None, count: Column | None = None) -> list[Column]:
     """Aggregates over rows with expected, retrieved (in rank order) and candidates: arrays of ids.
 

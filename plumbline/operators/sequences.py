@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import scratch
+
 # Spans and characters of a window, spans of context before it.
 WINDOW_SPANS, WINDOW_CHARS, CONTEXT_SPANS = 8, 180, 2
 
@@ -92,15 +94,27 @@ def first_divergence(left: DataFrame, right: DataFrame, trace: str, step: str, v
 
 
 def micro_batches(times: Column, most: int, wait_us: int) -> Column:
-    """Batch number of each arrival (sorted microseconds): a batch closes when it is full or its first one has waited."""
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.array().cast("array<int>").alias("out"))
+    """Batch number of each arrival (sorted microseconds): a batch closes when it is full or its first one has waited.
+
+    Where a batch begins depends on where the one before did, so it is one pass over a queue's own array.
+    """
+
+    @F.pandas_udf("array<int>")
+    def numbers(rows: pd.Series) -> pd.Series:
+        def one(row: np.ndarray | None) -> np.ndarray | None:
+            if row is None:
+                return None
+            out, at, batch = np.zeros(len(row), dtype=np.int32), 0, 0
+            while at < len(row):
+                batch += 1
+                stop = min(at + most, int(np.searchsorted(row, row[at] + wait_us, side="right")))
+                out[at:stop] = batch
+                at = stop
+            return out
 
-    def step(s: Column, t: Column) -> Column:
-        new = (s.n == 0) | (s.n >= most) | (t - s.t > wait_us)
-        b = F.when(new, s.b + 1).otherwise(s.b)
-        return F.struct(b.alias("b"), F.when(new, F.lit(1)).otherwise(s.n + 1).alias("n"), F.when(new, t).otherwise(s.t).alias("t"), F.array_append(s.out, b).alias("out"))
+        return rows.map(one)
 
-    return F.aggregate(times, start, step, lambda s: s.out)
+    return numbers(times)
 
 
 def left_pad(tokens: Column, width: Column, pad: int) -> Column:
@@ -112,3 +126,18 @@ def padding(rows: DataFrame, batch: str, length: str) -> DataFrame:
     """batch, rows, tokens, padded, wasted: what padding to the longest row of a batch costs."""
     g = rows.groupBy(batch).agg(F.count("*").alias("rows"), F.sum(length).alias("tokens"), F.max(length).alias("longest"))
     return g.select(batch, "rows", "tokens", (F.col("rows") * F.col("longest")).alias("padded"), (F.col("rows") * F.col("longest") - F.col("tokens")).alias("wasted"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
+    """rows with their place in the order, counted from ``first``; rows are dealt by ranges and counted there, so no task holds all.
+
+    The order must be total: rows are sorted once, written, and the counts of the ranges before are added.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = scratch(dealt, "numbered")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__m"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"))  # one row for each range
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__at", place).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__at") + (first - 1)).cast("long")).drop("__part", "__at", "__before")

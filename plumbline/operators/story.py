@@ -10,15 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import judging, rules, wire
-from plumbline.functions.text import SPAN_TYPE, digest, lines, split_spans
-from plumbline.operators import checks, retrieval, sequences
+from plumbline.functions import contracts, judging, rules, wire
+from plumbline.functions.text import SPAN_TYPE, lines, searchable, split_spans
+from plumbline.operators import checks, lore, retrieval, reviews, sequences
+from plumbline.sources.scratch import scratch
 from plumbline.streaming.batching import Model, call_model
 
-EVENT = "struct<actors: array<string>, event: string, mental_state: string, explicit: boolean, modality: string, conditions: array<string>, source_ids: array<string>, context_ids: array<string>, check_reason: string>"
+EVENT = wire.EVENT
 REPLY = f"events array<{EVENT}>, ignored_spans array<struct<source_id: string, reason: string>>, non_event_span_ids array<string>"
-ASSESSMENT = "struct<same_subject: boolean, evidence_applicable: boolean, relation: string, can_both_be_true: boolean, assumptions: array<string>>"
-ANSWER = f"verdict string, reason string, citations array<struct<evidence_id: string, quote: string>>, assessment {ASSESSMENT}"
 # Which dimensions a reason for checking stands for.
 REASON_DIMENSIONS = {
     "mechanism": ("physical_rule", "world_rule"),
@@ -47,28 +46,74 @@ def windows_of(stories: DataFrame) -> DataFrame:
     return sequences.windows(spans, "case_id", "spans").join(spans, "case_id")
 
 
-def extract(stories: DataFrame, model: Model, batch: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Events (case_id, window_no, event_no, event, error) and dispositions (case_id, id, kind) of stories.
+def decode(raw: Column, protocol: str) -> Column:
+    """struct(error, events, ignored_spans, non_event_span_ids) of a reply: full (misspelled names put right), compact or lean."""
+    if protocol == "lean":
+        made = wire.lean_payload(raw)
+        return F.struct(made.error.alias("error"), made.events.alias("events"), made.ignored_spans.alias("ignored_spans"), made.non_event_span_ids.alias("non_event_span_ids"))
+    fixed = wire.repair(raw).raw
+    r = F.from_json(fixed, REPLY)
+    rest = (r.ignored_spans.alias("ignored_spans"), r.non_event_span_ids.alias("non_event_span_ids"))
+    if protocol == "compact":
+        made = wire.expand_payload(fixed)
+        return F.struct(made.error.alias("error"), made.events.alias("events"), *rest)
+    return F.struct(F.when(r.events.isNull(), "fields").alias("error"), F.transform(r.events, wire.expand_event).alias("events"), *rest)
 
-    Replies are repaired, parsed against the wire and validated: references inside the window, actors in the text
-    referred to. Invalid events stay, with their error, and claim no span.
-    """
-    w = windows_of(stories)
+
+def _asked(windows: DataFrame, model: Model, batch: int, protocol: str) -> DataFrame:
+    """windows with reply: what a model said of them, decoded and settled."""
     pick = lambda ids: F.filter("spans", lambda s: F.array_contains(ids, s.id))
     prompt = F.to_json(F.struct(pick(F.col("target_ids")).alias("targets"), pick(F.col("context_ids")).alias("context")))
-    asked = w.select(F.concat_ws("-", "case_id", "window_no").alias("id"), prompt.alias("prompt"), "case_id", "window_no", "target_ids", "context_ids", F.to_json("spans").alias("spans"))
+    asked = windows.select(F.concat_ws("-", "case_id", "window_no").alias("id"), prompt.alias("prompt"), "case_id", "window_no", "target_ids", "context_ids", F.to_json("spans").alias("spans"))
     told = call_model(asked, model, batch).withColumn("spans", F.from_json("spans", SPAN_TYPE))
-    parsed = told.withColumn("r", F.from_json(wire.repair(F.col("reply")).raw, REPLY))
-    events = parsed.select("case_id", "window_no", "target_ids", "context_ids", "spans", F.posexplode("r.events").alias("event_no", "e")).withColumn("e", wire.expand_event(F.col("e")))
+    # What a generator gives is computed once, however often it is read.
+    told = told.withColumn("r", F.explode(F.array(decode(F.col("reply"), protocol))))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    settled = wire.settle_window(
+        none(F.col("r.events"), f"array<{EVENT}>"), none(F.col("r.ignored_spans"), "array<struct<source_id: string, reason: string>>"), none(F.col("r.non_event_span_ids"), "array<string>"),
+        F.col("spans"), F.col("context_ids"), F.col("target_ids"),
+    )
+    return told.withColumn("s", F.explode(F.array(settled))).select("case_id", "window_no", "target_ids", "context_ids", "spans", "error", F.col("r.error").alias("wire_error"), "s")
+
+
+def _events_of(said: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    events = said.select("case_id", "window_no", "target_ids", "context_ids", "spans", F.posexplode("s.events").alias("event_no", "e")).withColumn("event_no", F.col("event_no") + first)
     inside = F.concat("target_ids", "context_ids")
     referred = F.array_join(F.transform(F.filter("spans", lambda s: F.array_contains(F.concat(F.col("e.source_ids"), F.col("e.context_ids")), s.id)), lambda s: s.text), "")
     events = events.withColumn("error", wire.event_error(F.col("e"), inside, referred)).select("case_id", "window_no", "event_no", F.col("e").alias("event"), "error", "spans")
     claims = events.where("error IS NULL").select("case_id", F.explode("event.source_ids").alias("id"), F.lit("event").alias("kind"))
-    ignored = parsed.select("case_id", F.explode("r.ignored_spans.source_id").alias("id"), F.lit("ignored").alias("kind"))
-    none = parsed.select("case_id", F.explode("r.non_event_span_ids").alias("id"), F.lit("non_event").alias("kind"))
+    ignored = said.select("case_id", F.explode("s.ignored_spans.source_id").alias("id"), F.lit("ignored").alias("kind"))
+    none = said.select("case_id", F.explode("s.non_event_span_ids").alias("id"), F.lit("non_event").alias("kind"))
     return events, claims.unionByName(ignored).unionByName(none)
 
 
+RECOVERED = 1000
+
+
+def extract(stories: DataFrame, model: Model, batch: int = 8, protocol: str = "full", recover: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Events (case_id, window_no, event_no, event, error) and dispositions (case_id, id, kind) of stories.
+
+    Replies are repaired, decoded by their protocol, settled and validated: references inside the window, actors in the
+    text referred to. Invalid events stay, with their error, and claim no span. With ``recover`` the targets that a reply
+    left out are asked about once more, with the spans before them; of such a reply only what concerns them counts, and its
+    events are numbered from RECOVERED.
+    """
+    said = scratch(_asked(windows_of(stories), model, batch, protocol), "extract")
+    events, claims = _events_of(said)
+    if not recover:
+        return events, claims
+    done = claims.groupBy("case_id").agg(F.collect_set("id").alias("done"))
+    left = said.join(done, "case_id", "left").withColumn("missing", F.array_except("target_ids", F.coalesce("done", F.array().cast("array<string>")))).where(F.size("missing") > 0)
+    ids = F.transform("spans", lambda s: s.id)
+    again = left.select("case_id", "window_no", F.col("missing").alias("target_ids"), sequences.recovery_context(ids, F.col("missing")).alias("context_ids"), "spans")
+    more = _asked(again, model, batch, protocol)
+    scope = lambda ids: wire.in_scope(ids, F.col("target_ids"))
+    kept = F.filter("s.ignored_spans", lambda x: F.array_contains(F.col("target_ids"), x.source_id))
+    more = scratch(more.withColumn("s", F.struct(F.col("s.events").alias("events"), kept.alias("ignored_spans"), scope(F.col("s.non_event_span_ids")).alias("non_event_span_ids"))), "recover")
+    more_events, more_claims = _events_of(more, RECOVERED)
+    return events.unionByName(more_events), claims.unionByName(more_claims)
+
+
 def coverage(stories: DataFrame, dispositions: DataFrame) -> DataFrame:
     """What each span of the stories came to, summed up per story."""
     spans = stories.select("case_id", F.explode(split_spans(F.col("text"))).alias("s")).select("case_id", "s.id")
@@ -92,47 +137,88 @@ def event_facts(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("fact_id"), F.get(e.actors, 0).alias("subject"), e.actors.alias("actors"), e.event.alias("text"), dims.alias("dimensions"), rules.times(e.event).alias("times"))
 
 
-def find_evidence(events: DataFrame, chunks: DataFrame, config: Config, second: DataFrame | None = None) -> DataFrame:
+def early_query(event: Column, quotes: Column) -> Column:
+    """The query text of the first version: without the reason for checking, and each quoted passage once."""
+    said = lines(F.array_join(event.actors, " "), event.modality, event.event, event.mental_state, F.array_join(event.conditions, " "))
+    return lines(said, F.array_join(F.array_distinct(quotes), ""))
+
+
+def fact_query(fact: Column) -> Column:
+    """The query text of a subject-predicate-object fact with its passage, context and time, each line once."""
+    parts = F.array_join(F.filter(F.array(fact.subject, fact.predicate, fact.object), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+    return lines(parts, fact.source_text, fact.context_text, fact.time, distinct=True)
+
+
+def find_evidence(events: DataFrame, chunks: DataFrame, config: Config, second: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """event_id, evidence (array of chunk_id, text in rank order) for events (event_id, event, spans).
 
-    Equal queries are ranked once. ``second`` (query_id, doc, rank) is a dense ranking by the same query ids, for the
-    dense and hybrid methods; chunks have chunk_id, ord and text, and ord breaks ties.
+    Equal queries are ranked once, unless filtered: then an event's own facts say which chunks are ranked. ``second``
+    (query_id, doc, rank) is a dense ranking by the same query ids, for the dense and hybrid methods; chunks have
+    chunk_id, ord and text, and ord breaks ties; with heading_path, headings are searched too. ``metadata`` (lore.metadata())
+    is what the filter goes by.
     """
-    asked = events.select("event_id", event_query(F.col("event"), F.col("spans")).alias("text")).withColumn("query_id", F.xxhash64("text"))
+    text = searchable(F.col("heading_path"), F.col("text")) if "heading_path" in chunks.columns else "text"
+    if config.metadata_filter and metadata is None:
+        raise ValueError("a metadata filter needs metadata")
+    asked = events.select("event_id", event_query(F.col("event"), F.col("spans")).alias("text"), "event")
+    asked = asked.withColumn("query_id", F.col("event_id") if config.metadata_filter else F.xxhash64("text"))
     queries = asked.select("query_id", "text").dropDuplicates(["query_id"])
     depth = max(4 * config.k, 20)
+    if config.metadata_filter:
+        places = chunks.select("chunk_id", F.col("ord").alias("doc"))
+        names = metadata.select(F.explode("entities").alias("name")).distinct()
+        facts = retrieval.filter_hints(event_facts(asked.select("event_id", "event")), names)
+        items = metadata.select(F.col("chunk_id").alias("item_id"), "entities", "dimension_tags", "time_markers")
+        picked, allowed = (scratch(x, "filter") for x in retrieval.candidate_items(facts, items, depth))
+        allowed = allowed.join(places, F.col("item_id") == F.col("chunk_id")).select(F.col("fact_id").alias("query_id"), "doc")
+
+    def lexical(k: int) -> DataFrame:
+        if not config.metadata_filter:
+            return retrieval.bm25_top_k(queries, chunks, k, doc="ord", text=text)
+        return retrieval.ranked_within(queries, picked, lambda q, within: retrieval.bm25_top_k(q, chunks, k, allowed if within else None, doc="ord", text=text))
+
+    if second is not None and config.metadata_filter:
+        free = picked.where("level = 'all'").select(F.col("fact_id").alias("query_id"))
+        second = second.join(allowed, ["query_id", "doc"], "left_semi").unionByName(second.join(free, "query_id", "left_semi"))
+        second = second.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     if config.method == "dense":
         ranked = second.where(F.col("rank") <= config.k)
+    elif config.method == "hybrid" and second is not None:
+        ranked = retrieval.fuse(second.where(F.col("rank") <= depth), lexical(depth), config.k)
     else:
-        lexical = retrieval.bm25_top_k(queries, chunks, depth if config.method == "hybrid" else config.k, doc="ord")
-        ranked = retrieval.fuse(second, lexical, config.k) if config.method == "hybrid" and second is not None else lexical.where(F.col("rank") <= config.k)
+        ranked = lexical(config.k)
     found = ranked.join(chunks.select(F.col("ord").alias("doc"), "chunk_id", F.col("text").alias("t")), "doc")
     lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.col("t").alias("text")))).alias("x"))
     lists = lists.select("query_id", F.transform("x", lambda r: F.struct(r.chunk_id.alias("chunk_id"), r.text.alias("text"))).alias("evidence"))
     return asked.join(lists, "query_id", "left").select("event_id", "evidence")
 
 
-def judge(events: DataFrame, model: Model, batch: int = 8) -> DataFrame:
-    """event_id, route, status, verdict, guard_reason, citations for events (event_id, case_id, event, evidence).
+def judge(events: DataFrame, model: Model, batch: int = 8, contract: str = "joint") -> DataFrame:
+    """event_id, case_id, route, status, verdict, model_verdict, guard_reason, origin, error, citations for events (event_id, case_id, event, evidence).
 
-    Only events whose route is judge reach the model; a verdict that its assessment doesn't prove becomes uncertain.
+    Only events whose route is judge reach the model. Its answer must keep the contract; a verdict that its assessment
+    doesn't prove becomes uncertain.
     """
     routed = events.withColumn("route", judging.route(F.col("event.modality"), F.lit("check"), F.col("evidence")))
-    labelled = F.transform("evidence", lambda c, i: F.struct(F.concat(F.lit("L"), i + 1).alias("evidence_id"), c.text.alias("text")))
-    asked = routed.where("route = 'judge'").select(F.col("event_id").alias("id"), F.to_json(F.struct("event", labelled.alias("evidence"))).alias("prompt"))
-    told = call_model(asked, model, batch).select(F.col("id").alias("event_id"), F.col("error").alias("call_error"), F.from_json("reply", ANSWER).alias("a"))
-    out = routed.join(told, "event_id", "left")
-    broken = judging.answer_error(F.col("a.verdict"), F.col("a.reason"), F.col("a.assessment"), F.col("a.citations"), F.col("evidence"))
-    out = out.withColumns({"broken": F.coalesce("call_error", broken), "g": judging.guard(F.col("a.verdict"), F.col("a.assessment"))})
-    failed = (F.col("route") == "judge") & F.col("broken").isNotNull()
+    evidence = F.transform("evidence", lambda c: F.struct(c.chunk_id.alias("id"), c.text.alias("text")))
+    asked = routed.where("route = 'judge'").select(F.col("event_id").alias("id"), F.to_json(F.struct("event", lore.labelled(evidence).alias("evidence"))).alias("prompt"))
+    told = call_model(asked, model, batch).select(F.col("id").alias("event_id"), F.col("error").alias("call_error"), F.try_parse_json("reply").alias("v"))
+    out = routed.join(told, "event_id", "left").withColumn("a", F.explode(F.array(contracts.final_answer(F.col("v"), evidence, contracts.CONTRACTS[contract]))))
+    asked_of = F.col("route") == "judge"
+    error = F.when(asked_of, F.coalesce("call_error", "a.error"))
+    ok = asked_of & error.isNull()
+    origin = F.when(ok, F.col("a.origin")).when(asked_of, "judge_failure").when(F.col("route") == "non_actual", "program_nonactual_scope").when(F.col("route") == "no_evidence", "program_no_evidence")
     return out.select(
         "event_id",
         "case_id",
         "route",
-        F.when(failed, "error").otherwise("ok").alias("status"),
-        F.when(failed, F.lit(None)).when(F.col("route") == "judge", F.col("g.verdict")).when(F.col("route") != "support_only", "uncertain").alias("verdict"),
-        "g.guard_reason",
-        F.when(~failed, F.transform("a.citations", lambda c: F.struct(F.try_element_at("evidence", F.substring(c.evidence_id, 2, 9).cast("int")).chunk_id.alias("chunk_id"), c.quote.alias("quote")))).alias("citations"),
+        F.when(error.isNotNull(), "error").otherwise("ok").alias("status"),
+        F.when(ok, F.col("a.verdict")).when(~asked_of & (F.col("route") != "support_only"), "uncertain").alias("verdict"),
+        F.when(ok, F.col("a.model_verdict")).alias("model_verdict"),
+        F.when(ok, F.col("a.guard_reason")).alias("guard_reason"),
+        origin.alias("origin"),
+        error.alias("error"),
+        F.when(ok, F.col("a.chunk_ids")).alias("citations"),
     )
 
 
@@ -143,20 +229,19 @@ def report(judged: DataFrame) -> DataFrame:
     return judged.groupBy("case_id").agg(rules.status_of(F.col("status")).alias("status"), rules.verdict_of(F.col("verdict")).alias("verdict"), *[n(v) for v in judging.VERDICTS], hits.alias("findings"))
 
 
-def check_stories(stories: DataFrame, chunks: DataFrame, extractor: Model, judge_model: Model, config: Config = Config(method="bm25"), second: DataFrame | None = None) -> DataFrame:
+def check_stories(stories: DataFrame, chunks: DataFrame, extractor: Model, judge_model: Model, config: Config = Config(method="bm25"), second: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """The whole chain over stories (case_id, text) and reference chunks (chunk_id, ord, text)."""
     events, _ = extract(stories, extractor)
     valid = events.where("error IS NULL").withColumn("event_id", F.concat_ws("-", "case_id", "window_no", "event_no"))
-    evidence = find_evidence(valid, chunks, config, second)
+    evidence = find_evidence(valid, chunks, config, second, metadata)
     return report(judge(valid.join(evidence, "event_id"), judge_model))
 
 
 def review_template(events: DataFrame) -> DataFrame:
-    """A pending label for each event, signed by its content, for reviewers to fill."""
-    return events.select("case_id", "event_id", digest("case_id", "event").alias("signature"), F.lit("pending").alias("label"))
+    """A pending label for each event (case_id, event_id, event), signed by what it says, for reviewers to fill."""
+    return reviews.template(events, reviews.event_signature(F.col("event")))
 
 
 def numbered(rows: DataFrame, order: list[str], last: int = 0, prefix: str = "LLM") -> DataFrame:
     """rows with call ids that continue after the highest one saved."""
-    n = F.row_number().over(Window.orderBy(*order)) + last
-    return rows.withColumn("call_id", F.format_string(f"{prefix}-%06d", n))
+    return sequences.numbered(rows, order, "__n", last + 1).withColumn("call_id", F.format_string(f"{prefix}-%06d", "__n")).drop("__n")

@@ -30,12 +30,19 @@ def sessions(events: DataFrame, gap: str, key: str) -> DataFrame:
 
 
 def append_new(rows: DataFrame, batch_id: int, path: str, keys: list[str]) -> None:
-    """foreachBatch sink that a restart may repeat: rows whose keys are stored already are left out."""
+    """foreachBatch sink that a restart may repeat: a batch has a folder of its own, which a second try replaces as a whole.
+
+    Rows whose keys an earlier batch stored, and repeats inside the batch, are left out.
+    """
     spark = rows.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(*keys)
-        rows = rows.join(stored, keys, "left_anti")
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    rows.write.mode("append").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = rows.dropDuplicates(keys)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        stored = spark.read.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long").parquet(path)
+        rows = rows.join(stored.where(F.col("batch") < batch_id).select(*keys), keys, "left_anti")
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def replace_whole(path: str):
+    """foreachBatch sink for complete results: each batch's table replaces the one before."""
+    return lambda rows, _: rows.write.mode("overwrite").parquet(path)
