@@ -83,7 +83,16 @@ _detection("per_gold", "found", "per_gold")
 _detection("one_to_one", "found", "all_n - found")
 
 
-@query()
+GREEDY = """
+, lists AS (SELECT case_id, CAST(alarm_id // 20 AS BIGINT) AS alarm_id, list_sort(list(DISTINCT CAST(gold_id AS VARCHAR))) AS may FROM alarms WHERE gold_id IS NOT NULL GROUP BY ALL),
+queue AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY alarm_id) AS place FROM lists),
+turn AS (SELECT case_id, alarm_id, place, may[1] AS matched, may[1:1] AS gone FROM queue WHERE place = 1
+  UNION ALL SELECT q.case_id, q.alarm_id, q.place, list_filter(q.may, lambda g: NOT list_contains(t.gone, g))[1], list_concat(t.gone, list_filter(q.may, lambda g: NOT list_contains(t.gone, g))[1:1])
+  FROM turn t JOIN queue q ON q.case_id = t.case_id AND q.place = t.place + 1)
+SELECT case_id, CAST(alarm_id AS VARCHAR) AS alarm_id, matched FROM turn"""
+
+
+@query("WITH RECURSIVE " + CASES[: CASES.index("m AS (")].rstrip().rstrip(",") + GREEDY)
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms with several possible conflicts, each taking the smallest that is free."""
     o, a = _cases(spark, sf_dir)
@@ -202,9 +211,9 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'consistent' ELSE 'uncertain' END AS v, user_id % 2 = 0 AS same, event_id % 5 <> 0 AS applies,
-  CASE WHEN event_id % 2 = 0 THEN 'direct_conflict' ELSE 'direct_support' END AS rel, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN TRUE WHEN 3 THEN TRUE WHEN 5 THEN TRUE ELSE FALSE END AS joint FROM events),
-g AS (SELECT *, CASE WHEN v = 'contradiction' AND NOT (same AND applies AND rel = 'direct_conflict' AND joint IS NOT DISTINCT FROM FALSE) THEN 'coexistence_not_ruled_out'
-  WHEN v = 'consistent' AND NOT (same AND applies AND rel = 'direct_support' AND joint IS NOT DISTINCT FROM TRUE) THEN 'direct_support_not_proven' END AS reason FROM a)
+  CASE WHEN event_id % 2 = 0 THEN 'direct_conflict' ELSE 'direct_support' END AS rel, event_id % 11 = 0 AS assumed, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN TRUE WHEN 3 THEN TRUE WHEN 5 THEN TRUE ELSE FALSE END AS joint FROM events),
+g AS (SELECT *, CASE WHEN v = 'contradiction' AND NOT (same AND applies AND NOT assumed AND rel = 'direct_conflict' AND joint IS NOT DISTINCT FROM FALSE) THEN 'coexistence_not_ruled_out'
+  WHEN v = 'consistent' AND NOT (same AND applies AND NOT assumed AND rel = 'direct_support' AND joint IS NOT DISTINCT FROM TRUE) THEN 'direct_support_not_proven' END AS reason FROM a)
 SELECT event_id, CASE WHEN reason IS NULL THEN v ELSE 'uncertain' END AS verdict, CASE WHEN reason IS NOT NULL THEN v END AS model_verdict, reason AS guard_reason FROM g
 """)
 def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +221,7 @@ def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     joint = F.when(i % 7 == 0, F.lit(None)).when((i % 7).isin(1, 3, 5), True).otherwise(False)
     a = F.struct(
         (F.col("user_id") % 2 == 0).alias("same_subject"), (i % 5 != 0).alias("evidence_applicable"), F.when(i % 2 == 0, "direct_conflict").otherwise("direct_support").alias("relation"),
-        joint.alias("can_both_be_true"), F.array().cast("array<string>").alias("assumptions"),
+        joint.alias("can_both_be_true"), F.when(i % 11 == 0, F.array(F.lit("if"))).otherwise(F.array().cast("array<string>")).alias("assumptions"),
     )
     verdict = F.when(i % 3 == 0, "contradiction").when(i % 3 == 1, "consistent").otherwise("uncertain")
     rows = table(spark, sf_dir, "events").select("event_id", verdict.alias("v"), a.alias("a"))
@@ -234,10 +243,10 @@ def judge_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, rule FROM (SELECT event_id, unnest([CASE WHEN event_id % 10 = 0 THEN 'compute_tokens' END, CASE WHEN event_id % 6 = 0 THEN 'phases_sum' END,
-  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'error_text' END]) AS rule FROM events) WHERE rule IS NOT NULL
+  CASE WHEN event_id % 14 = 0 THEN 'first_token' END, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'error_text' END, CASE WHEN event_id % 22 = 0 THEN 'batch' END]) AS rule FROM events) WHERE rule IS NOT NULL
 """)
 def call_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trace rows with planted faults: token sums off by one, phases that don't add up, errors without a text."""
+    """Trace rows with planted faults: token sums off by one, phases that don't add up, late first tokens, errors without a text, empty batches."""
     i = F.col("event_id")
     c = _calls(spark, sf_dir).withColumns(
         {
@@ -245,7 +254,8 @@ def call_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "decode": F.col("decode") + F.when(i % 6 == 0, 1.0).otherwise(0.0),
             "status": F.when(F.col("component") == "error", "error").otherwise("ok"),
             "error": F.when(i % 3 != 0, "text"),
-            "batch_size": F.lit(1),
+            "batch_size": F.when(i % 22 == 0, 0).otherwise(1),
+            "ttft": F.col("ttft") + F.when(i % 14 == 0, 1.0).otherwise(0.0),
         }
     )
     return checks.violations(c, "event_id", checks.call_rules())

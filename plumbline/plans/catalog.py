@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import audits, ranking, texts, tracks
+from plumbline.plans import audits, ledgers, protocols, ranking, stages, texts, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (texts, ranking, audits, tracks):
+for part in (texts, ranking, audits, tracks, ledgers, protocols, stages):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -1,0 +1,416 @@
+"""Queries that hold replies against their contracts: events say which of the written replies they stand for, and the SQL what is wrong with it."""
+
+from __future__ import annotations
+
+import copy
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import contracts, wire
+from plumbline.functions import shapes as S
+from plumbline.plans.base import registry, table
+
+QUERIES, ORACLES, query = registry()
+
+EVIDENCE = (("c1", "alpha beta"), ("c2", "gamma"))
+
+
+def _evidence() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in EVIDENCE])
+
+
+def _literal(x: object) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, (bool, int)):
+        return str(x).upper()
+    return "'" + str(x).replace("'", "''") + "'"
+
+
+def _sql(rows: list[tuple], names: list[str]) -> str:
+    """For each event the answer of the reply that its id picks."""
+    pick = ", ".join(f"[{', '.join(_literal(r[i]) for r in rows)}][CAST(event_id % {len(rows)} AS INTEGER) + 1] AS {n}" for i, n in enumerate(names))
+    return f"SELECT event_id, {pick} FROM events"
+
+
+def _picked(spark: SparkSession, sf_dir: str, raws: list[str | None]) -> DataFrame:
+    """event_id, raw: the reply that its id picks."""
+    choice = F.get(F.array(*[F.lit(r) for r in raws]), (F.col("event_id") % len(raws)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", choice.alias("raw")).withColumn("v", S.parsed(F.col("raw")))
+
+
+def _replies(name: str, doc: str, rows: list[tuple], names: list[str], answer: Callable[[DataFrame], DataFrame]) -> None:
+    """Register a query over replies: rows are (reply, expected values ..)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return answer(_picked(spark, sf_dir, [r[0] if isinstance(r[0], (str, type(None))) else json.dumps(r[0], ensure_ascii=False) for r in rows])).select("event_id", *names)
+
+    run.__doc__ = doc
+    query(_sql([r[1:] for r in rows], names), name)(run)
+
+
+def _with(base: dict, **changes: object) -> dict:
+    """base with changes; a path is written with __, and a value of KeyError drops the field."""
+    out = copy.deepcopy(base)
+    for path, value in changes.items():
+        *way, last = path.split("__")
+        at = out
+        for step in way:
+            at = at[int(step)] if isinstance(at, list) else at[step]
+        if value is KeyError:
+            del at[last]
+        else:
+            at[last] = value
+    return out
+
+
+_SURE = {"same_subject": True, "evidence_applicable": True, "relation": "direct_conflict", "can_both_be_true": False, "assumptions": []}
+_QUOTED = {"verdict": "contradiction", "citations": [{"evidence_id": "L1", "quote": "alpha"}], "reason": "r", "assessment": _SURE}
+_FLAGGED = {"verdict": "contradiction", "evidence_ids": ["L2"], "assessment": {**{k: x for k, x in _SURE.items() if k != "assumptions"}, "assumptions_required": False}}
+_LISTED = {"verdict": "contradiction", "evidence_ids": ["L1", "L2"], "assessment": _SURE}
+GUARDED, UNPROVEN, NO_SUPPORT = "uncertain", "coexistence_not_ruled_out", "direct_support_not_proven"
+
+
+def _assessed(base: dict, cites: str) -> list[tuple]:
+    """Replies that all contracts with an assessment judge alike: (reply, error, verdict, guard_reason)."""
+    return [
+        (base, None, "contradiction", None),
+        ("no json", "fields", None, None),
+        (_with(base, extra=1), "fields", None, None),
+        (_with(base, verdict="maybe"), "verdict", None, None),
+        (_with(base, assessment__relation=KeyError), "assessment", None, None),
+        (_with(base, assessment__same_subject="yes"), "same_subject", None, None),
+        (_with(base, assessment__relation="weak"), "relation", None, None),
+        (_with(base, **{cites: []}), "missing citation", None, None),
+        (_with(base, assessment__same_subject=None), None, GUARDED, UNPROVEN),
+        (_with(base, verdict="consistent"), None, GUARDED, NO_SUPPORT),
+        (_with(base, verdict="uncertain", **{cites: []}), None, "uncertain", None),
+    ]
+
+
+_JOINT_ONLY = [(_with(_QUOTED, assessment__can_both_be_true=True), None, GUARDED, UNPROVEN), (_with(_QUOTED, assessment__can_both_be_true="no"), "can_both_be_true", None, None)]
+_QUOTES = [
+    (_with(_QUOTED, reason=" "), "reason", None, None),
+    (_with(_QUOTED, assessment__assumptions=[1]), "assumptions", None, None),
+    (_with(_QUOTED, assessment__assumptions=["if"]), None, GUARDED, UNPROVEN),
+    (_with(_QUOTED, citations={}), "citations", None, None),
+    (_with(_QUOTED, citations=[{"evidence_id": "L1", "quote": "alpha", "more": 1}]), "citation fields", None, None),
+    (_with(_QUOTED, citations=[{"evidence_id": "L3", "quote": "alpha"}]), "citation label", None, None),
+    (_with(_QUOTED, citations=[{"evidence_id": "L1", "quote": "alpha"}, {"evidence_id": "L1", "quote": "beta"}]), "citation label", None, None),
+    (_with(_QUOTED, citations=[{"evidence_id": "L2", "quote": "alpha"}]), "citation quote", None, None),
+]
+_IDS = lambda base: [
+    (_with(base, evidence_ids=["L1", "L1"]), "evidence_ids", None, None),
+    (_with(base, evidence_ids=["L9"]), "evidence label", None, None),
+    (_with(base, evidence_ids="L1"), "evidence_ids", None, None),
+]
+_OPEN = {k: x for k, x in _SURE.items() if k != "can_both_be_true"}
+ANSWERS: dict[str, list[tuple]] = {
+    "scope": _assessed(_with(_QUOTED, assessment=_OPEN), "citations"),
+    "joint": _assessed(_QUOTED, "citations") + _JOINT_ONLY + _QUOTES,
+    "lean": [
+        ({"verdict": "consistent", "evidence_ids": ["L1"]}, None, "consistent", None),
+        ({"verdict": "consistent"}, "fields", None, None),
+        ({"verdict": "yes", "evidence_ids": []}, "verdict", None, None),
+        ({"verdict": "uncertain", "evidence_ids": [1]}, "evidence_ids", None, None),
+        ({"verdict": "uncertain", "evidence_ids": ["L0"]}, "evidence label", None, None),
+        ({"verdict": "contradiction", "evidence_ids": []}, "missing citation", None, None),
+    ],
+    "structured": [*_assessed(_FLAGGED, "evidence_ids"), *_IDS(_FLAGGED), (_with(_FLAGGED, assessment__assumptions_required=None), "assumptions_required", None, None), (_with(_FLAGGED, assessment__assumptions_required=True), None, GUARDED, UNPROVEN)],
+    "short-reason": [(_with(_FLAGGED, reason="x" * 80), None, "contradiction", None), (_with(_FLAGGED, reason="x" * 81), "reason", None, None), (_FLAGGED, "fields", None, None)],
+    "assumptions-list": [*_assessed(_LISTED, "evidence_ids"), *_IDS(_LISTED), (_with(_LISTED, assessment__assumptions=[" "]), "assumptions", None, None)],
+    "rationale-120": [(_with(_LISTED, reason="y" * 120), None, "contradiction", None), (_with(_LISTED, reason="y" * 121), "reason", None, None)],
+    "rationale-240": [(_with(_LISTED, reason="y" * 240), None, "contradiction", None), (_with(_LISTED, reason=""), "reason", None, None)],
+    "story": [
+        ({"verdict": "矛盾", "reason": "r", "evidence_ids": ["c2"]}, None, "矛盾", None),
+        ({"verdict": "矛盾", "reason": "r", "evidence_ids": []}, "missing citation", None, None),
+        ({"verdict": "不确定", "reason": "r", "evidence_ids": []}, None, "不确定", None),
+        ({"verdict": "一致", "reason": "r", "evidence_ids": ["c3"]}, "evidence label", None, None),
+        ({"verdict": "contradiction", "reason": "r", "evidence_ids": ["c1"]}, "verdict", None, None),
+    ],
+}
+
+
+def _answers(name: str) -> Callable[[DataFrame], DataFrame]:
+    def answer(rows: DataFrame) -> DataFrame:
+        done = rows.withColumn("a", F.explode(F.array(contracts.final_answer(F.col("v"), _evidence(), contracts.CONTRACTS[name]))))
+        return done.select("event_id", "a.error", "a.verdict", "a.guard_reason")
+
+    return answer
+
+
+for _name, _rows in ANSWERS.items():
+    _replies("answers_" + _name.replace("-", "_"), f"Answers under the contract {_name}: what they break, and what the guard makes of valid ones.", _rows, ["error", "verdict", "guard_reason"], _answers(_name))
+
+_replies(
+    "answers_proof",
+    "Answers that must prove their verdict by themselves.",
+    [
+        (_QUOTED, None),
+        (_with(_QUOTED, assessment__can_both_be_true=None), "unproven conflict"),
+        (_with(_QUOTED, verdict="consistent"), "unproven support"),
+        (_with(_QUOTED, verdict="consistent", assessment__relation="direct_support", assessment__can_both_be_true=True), None),
+        (_with(_QUOTED, verdict="no"), "verdict"),
+    ],
+    ["error"],
+    lambda d: d.withColumn("error", contracts.proof_error(F.col("v"), _evidence())),
+)
+
+SOURCE = "Ann flies. Bob sleeps."
+_FINDING = {"findings": [{"input_quote": "Ann flies", "verdict": "一致", "evidence": [{"chunk_id": "c1", "quote": "beta"}], "reason": "r", "new_candidates": []}]}
+_NEW = {"findings": [{"input_quote": "Bob sleeps", "verdict": "不确定", "evidence": [], "reason": "r", "new_candidates": ["Bob sleeps"]}]}
+_FOUND = [
+    (_FINDING, None, "一致"),
+    (_NEW, None, "不确定"),
+    ({"findings": [*_FINDING["findings"], *_NEW["findings"]]}, None, "不确定"),
+    ({"findings": [_with(_FINDING, findings__0__verdict="矛盾")["findings"][0], *_NEW["findings"]]}, None, "矛盾"),
+    ({"other": []}, "fields", None),
+    ({"findings": []}, "findings", None),
+    (_with(_FINDING, findings__0__more=1), "finding fields", None),
+    (_with(_FINDING, findings__0__input_quote="Eve"), "input_quote", None),
+    (_with(_FINDING, findings__0__verdict="same"), "verdict", None),
+    (_with(_FINDING, findings__0__reason=""), "reason", None),
+    (_with(_FINDING, findings__0__new_candidates=["Ann flies"]), "new_candidates", None),
+    (_with(_NEW, findings__0__new_candidates=["Bob"]), "new_candidates", None),
+    (_with(_FINDING, findings__0__evidence=[]), "evidence", None),
+    (_with(_FINDING, findings__0__evidence=[{"chunk_id": "c1"}]), "citation fields", None),
+    (_with(_FINDING, findings__0__evidence=[{"chunk_id": "c9", "quote": "beta"}]), "citation label", None),
+    (_with(_FINDING, findings__0__evidence=[{"chunk_id": "c2", "quote": "beta"}]), "citation quote", None),
+]
+
+
+def _findings(labelled: bool) -> Callable[[DataFrame], DataFrame]:
+    def answer(d: DataFrame) -> DataFrame:
+        d = d.withColumn("error", contracts.findings_error(F.col("v"), F.lit(SOURCE), _evidence(), labelled))
+        return d.withColumn("verdict", F.when(F.col("error").isNull(), contracts.findings_verdict(F.col("v"))))
+
+    return answer
+
+
+def _relabelled(reply: object) -> object:
+    return json.loads(json.dumps(reply, ensure_ascii=False).replace('"c1"', '"E1"').replace('"c2"', '"E2"').replace('"c9"', '"E9"'))
+
+
+_replies("finding_contract", "Findings about a text, with evidence by id.", _FOUND, ["error", "verdict"], _findings(False))
+_replies("finding_labels", "Findings about a text, with evidence by labels.", [(_relabelled(r), *x) for r, *x in _FOUND], ["error", "verdict"], _findings(True))
+
+_LABEL = {"entity": "Ann", "category": "people", "event_time": None}
+_replies(
+    "label_contract",
+    "Suggested labels of a text.",
+    [
+        (_LABEL, None, "Ann", "ok"),
+        (_with(_LABEL, entity=None), None, None, "needs_clarification"),
+        (_with(_LABEL, entity="她"), "entity source", None, None),
+        (_with(_LABEL, entity="Eve"), "entity source", None, None),
+        (_with(_LABEL, category="odd"), "category choice", None, None),
+        (_with(_LABEL, event_time="noon"), "event_time source", None, None),
+        (_with(_LABEL, entity="A\nB"), "entity", None, None),
+        (_with(_LABEL, category=3), "category", None, None),
+        (_with(_LABEL, more=1), "fields", None, None),
+    ],
+    ["error", "entity", "status"],
+    lambda d: d.select("event_id", contracts.classification(F.col("v"), F.lit(SOURCE), F.array(F.lit("people"), F.lit("places"))).alias("c")).select("event_id", "c.*"),
+)
+
+_PLAN = {"records": [{"kind": "attribute", "entity": "Ann", "category": "skill", "text": "Ann flies"}]}
+_replies(
+    "record_contract",
+    "Plans of records taken from a text.",
+    [
+        (_PLAN, None),
+        ({"records": []}, "records"),
+        ({"records": [{"kind": "rule"}]}, "record fields"),
+        (_with(_PLAN, records__0__entity=4), "record fields"),
+        (_with(_PLAN, records__0__kind="wish"), "kind"),
+        (_with(_PLAN, records__0__category="a\nb"), "category"),
+        (_with(_PLAN, records__0__text="Ann swims"), "text source"),
+        (_with(_PLAN, records__0__target="Eve"), "target source"),
+        (_with(_PLAN, records__0__entity=None), "entity missing"),
+        (_with(_PLAN, records__0__kind="entity"), "entity_type missing"),
+        (_with(_PLAN, records__0__kind="relation"), "target missing"),
+        (_with(_PLAN, records__0__kind="timepoint"), "time missing"),
+        ({"records": _PLAN["records"] * 2}, "repeated record"),
+        ("[]", "fields"),
+    ],
+    ["error"],
+    lambda d: d.withColumn("error", contracts.plan_error(F.col("v"), F.lit(SOURCE))),
+)
+
+_WORLD = {"verdict": "一致", "evidence": ["E1"], "reason": "r"}
+_replies(
+    "world_contract",
+    "Verdicts about single records.",
+    [(_WORLD, None), (_with(_WORLD, evidence=["E1", "E1"]), "evidence label"), (_with(_WORLD, evidence=["E5"]), "evidence label"), (_with(_WORLD, evidence=[]), "missing citation"), (_with(_WORLD, verdict="x"), "verdict"), (_with(_WORLD, reason=KeyError), "fields"), (_with(_WORLD, verdict="不确定", evidence=[]), None)],
+    ["error"],
+    lambda d: d.withColumn("error", contracts.world_verdict_error(F.col("v"), _evidence())),
+)
+
+_PAIR = {"pair_id": "P1", "verdict": "contradiction", "same_subject": True, "same_scope": True, "assumptions": [], "reason": "r", "citations": [{"event_id": "E1", "quote": "flies"}, {"event_id": "E2", "quote": "sleeps"}]}
+_replies(
+    "pair_contract",
+    "Checks of two events of one story.",
+    [
+        (_PAIR, None, "contradiction", None),
+        (_with(_PAIR, assumptions=["later"]), None, "uncertain", "contradiction"),
+        (_with(_PAIR, same_scope=None), None, "uncertain", "contradiction"),
+        (_with(_PAIR, verdict="no_conflict", citations=[]), None, "no_conflict", None),
+        (_with(_PAIR, pair_id="P2"), "pair_id", None, None),
+        (_with(_PAIR, verdict="clash"), "verdict", None, None),
+        (_with(_PAIR, same_subject=1), "scope", None, None),
+        (_with(_PAIR, reason=""), "reason", None, None),
+        (_with(_PAIR, assumptions="no"), "assumptions", None, None),
+        (_with(_PAIR, citations="no"), "citations", None, None),
+        (_with(_PAIR, citations=[{"event_id": "E1"}]), "citation fields", None, None),
+        (_with(_PAIR, citations=[{"event_id": "E7", "quote": "flies"}]), "citation label", None, None),
+        (_with(_PAIR, citations=[{"event_id": "E1", "quote": "swims"}]), "citation quote", None, None),
+        (_with(_PAIR, citations=[{"event_id": "E1", "quote": "flies"}]), "both events", None, None),
+    ],
+    ["error", "verdict", "model_verdict"],
+    lambda d: d.select(
+        "event_id",
+        contracts.pair_check(F.col("v"), F.lit("P1"), F.array(*[F.struct(F.lit(i).alias("id"), F.array(F.lit(t)).alias("texts")) for i, t in (("E1", "Ann flies"), ("E2", "Bob sleeps"))])).alias("p"),
+    ).select("event_id", "p.*"),
+)
+
+_EVENT = {"actors": ["Ann"], "event": "Ann flies", "source_ids": ["S1"], "modality": "observed", "check_reason": "mechanism"}
+_EXITS = {"events": [_EVENT], "ignored_spans": [], "non_event_span_ids": ["S2"]}
+_replies(
+    "wire_expand",
+    "Compact replies: aliases, defaults and what they may not hold.",
+    [
+        (_EXITS, None, "mechanism", "true"),
+        (_with(_EXITS, events=[{**{k: x for k, x in _EVENT.items() if k != "check_reason"}, "checkReason": "mechanical"}]), None, "mechanism", "true"),
+        (_with(_EXITS, events=[{**_EVENT, "modality": "inferred"}]), None, "mechanism", "false"),
+        (_with(_EXITS, events=[{**_EVENT, "explicit": False}]), "explicit", None, None),
+        (_with(_EXITS, events=[{**_EVENT, "modality": "sung"}]), "modality", None, None),
+        (_with(_EXITS, events=[{**_EVENT, "checkReason": "mechanism"}]), "fields", None, None),
+        (_with(_EXITS, events=[{"event": "x"}]), "fields", None, None),
+        (_with(_EXITS, events=["x"]), "object", None, None),
+        (_with(_EXITS, events={}), "events", None, None),
+        (_with(_EXITS, ignored_spans=KeyError), "exits", None, None),
+    ],
+    ["error", "check_reason", "explicit"],
+    lambda d: d.select("event_id", F.explode(F.array(wire.expand_payload(F.col("raw")))).alias("p")).select("event_id", "p.error", F.get("p.events", 0).check_reason.alias("check_reason"), F.get("p.events", 0).explicit.cast("string").alias("explicit")),
+)
+_LEAN = {"events": [{**_EVENT, "context_ids": []}], "ignored_span_ids": ["S3"], "non_event_span_ids": []}
+_replies(
+    "wire_lean",
+    "Lean replies on the full wire.",
+    [
+        (_LEAN, None, "", "process_detail"),
+        (_with(_LEAN, events=[{("Actors" if k == "actors" else k): x for k, x in _LEAN["events"][0].items()}]), None, "event_field_case_normalized", "process_detail"),
+        (_with(_LEAN, events=[{**_LEAN["events"][0], "ACTORS": ["Bob"]}]), "field case", "event_field_case_normalized", None),
+        (_with(_LEAN, events=[{**_LEAN["events"][0], "mood": 1}]), "event fields", "", None),
+        (_with(_LEAN, ignored_span_ids=["S3", "S3"]), "ignored ids", "", None),
+        (_with(_LEAN, ignored_span_ids=[]), None, "", None),
+        (_EXITS, "exits", "", None),
+    ],
+    ["error", "changes", "reason"],
+    lambda d: d.select("event_id", F.explode(F.array(wire.lean_payload(F.col("raw")))).alias("p")).select("event_id", "p.error", F.coalesce(F.array_join("p.changes", ","), F.lit("")).alias("changes"), F.get("p.ignored_spans", 0).reason.alias("reason")),
+)
+_replies(
+    "wire_misspelled",
+    "Replies with misspelled fields put right; the others keep every byte.",
+    [
+        ('{"events": [{"mentalological_state": 1, "a": "é"}]}', '{"events":[{"a":"é","mental_state":1}]}', "events[0]"),
+        ('{"events":[{"mentalological_state":1,"mental_state":2}]}', '{"events":[{"mentalological_state":1,"mental_state":2}]}', ""),
+        ('{"ignored_spans":[{"source_id":"S1"},{"source_Ids":"S2"}]}', '{"ignored_spans":[{"source_id":"S1"},{"source_id":"S2"}]}', "ignored_spans[1]"),
+        ('{ "events" : [] }', '{ "events" : [] }', ""),
+        ("no json", "no json", ""),
+    ],
+    ["repaired", "paths"],
+    lambda d: d.select("event_id", F.explode(F.array(wire.repair(F.col("raw")))).alias("p")).select("event_id", F.col("p.raw").alias("repaired"), F.array_join(F.transform("p.actions", lambda a: a.path), ",").alias("paths")),
+)
+_replies(
+    "reply_trailers",
+    "What may follow the object of a reply.",
+    [('{"a":1}', None, None), ('{"a":1}"', "single_trailing_quote_removed", None), ('{"a":1} 说明：好', "trailing_explanation_removed", None), ('{"a":1} 说明：{', None, "trailing content"), ('{"a":1} more', None, "trailing content"), ("[1]", None, "no object"), ("", None, "no object")],
+    ["note", "error"],
+    lambda d: d.withColumn("lead", wire.leading_object(F.col("raw"))).select("event_id", wire.tolerated(F.col("lead")).alias("t")).select("event_id", "t.*"),
+)
+_replies(
+    "reply_cut",
+    "Uncertain answers that break off before their empty evidence.",
+    [
+        ('{"verdict":"不确定","reason":"r","evidence_ids"}', '{"verdict":"不确定","reason":"r","evidence_ids":[]}', "missing_empty_uncertain_evidence_array"),
+        ('{"verdict":"矛盾","reason":"r","evidence_ids"}', '{"verdict":"矛盾","reason":"r","evidence_ids"}', None),
+        ('{"verdict":"不确定"}', '{"verdict":"不确定"}', None),
+    ],
+    ["fixed", "note"],
+    lambda d: d.select("event_id", wire.cut_answer(F.col("raw")).alias("c")).select("event_id", F.col("c.raw").alias("fixed"), "c.note"),
+)
+_replies(
+    "filter_decisions",
+    "Filter decisions by their reason codes.",
+    [
+        ({"event_id": "e", "decision": "keep", "reason_code": "mechanism"}, None, "keep", None),
+        ({"event_id": "e", "decision": "mechanism", "reason_code": "mechanism"}, None, "keep", "decision_from_reason_code"),
+        ({"event_id": "e", "decision": "ignore", "reason_code": "mechanism"}, "decision", None, None),
+        ({"event_id": "e", "decision": "keep", "reason_code": "whim"}, "reason_code", None, None),
+        ({"event_id": "e", "decision": "keep"}, "fields", None, None),
+        ({"event_id": "e", "decision": "review", "reason_code": "unclear"}, None, "review", None),
+    ],
+    ["error", "decision", "note"],
+    lambda d: d.select("event_id", wire.decision(F.col("v")).alias("c")).select(F.col("event_id"), "c.error", "c.decision", "c.note"),
+)
+_replies(
+    "reply_projections",
+    "Replies cut down to what later stages need.",
+    [
+        ({"events": [{"a": 1}], "ignored_spans": [{"source_id": "S1", "reason": "routine"}, "S2", {"x": 1}], "non_event_span_ids": ["S3"]}, '{"events":[{"a":1}],"ignored_span_ids":["S1","S2"],"non_event_span_ids":["S3"]}'),
+        ({"events": []}, '{"events":[],"ignored_span_ids":[],"non_event_span_ids":[]}'),
+    ],
+    ["projection"],
+    lambda d: d.withColumn("projection", wire.extractor_projection(F.col("raw"))),
+)
+
+SPANS = (("S1", "Ann flies,", 0, 10), ("S2", "then rests。", 11, 22), ("S3", "Bob sleeps.", 23, 34))
+STORY = "Ann flies, then rests。 Bob sleeps."
+
+
+def _spans() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for i, t, a, b in SPANS])
+
+
+_FACT = {"subject": "Ann", "predicate": "flies", "type": "location", "source_ids": ["S1"]}
+_replies(
+    "fact_contract",
+    "Suggested facts of a story: references, subjects and what they add as context.",
+    [
+        ({"facts": [_FACT]}, None, "ok", "F1", "", "Ann flies,"),
+        ({"facts": [_FACT, _FACT]}, None, "ok", "F1", "", "Ann flies,"),
+        ({"facts": [_with(_FACT, source_ids=["S2"])]}, None, "ok", "F1", "S1", "then rests。"),
+        ({"facts": [_with(_FACT, source_ids=["S3"])]}, None, "error", "", None, None),
+        ({"facts": [_with(_FACT, type="mood"), _FACT]}, None, "partial", "F2", "", "Ann flies,"),
+        ({"facts": [_with(_FACT, subject="她")]}, None, "error", "", None, None),
+        ({"facts": [_with(_FACT, time="noon")]}, None, "error", "", None, None),
+        ({"facts": [_with(_FACT, source_ids=["S1", "S1"])]}, None, "error", "", None, None),
+        ({"facts": []}, None, "ok", "", None, None),
+        ({"fact": []}, "facts", None, None, None, None),
+    ],
+    ["error", "status", "ids", "context", "source_text"],
+    lambda d: d.select("event_id", F.explode(F.array(wire.decoded_facts(F.col("v"), F.lit(STORY), _spans()))).alias("p")).select(
+        "event_id", "p.error", "p.status", F.array_join(F.transform("p.facts", lambda f: f.id), ",").alias("ids"),
+        F.array_join(F.get("p.facts", 0).fact.context_ids, ",").alias("context"), F.get("p.facts", 0).fact.source_text.alias("source_text"),
+    ),
+)
+_SHORT = {"k": "attribute", "e": "Ann", "c": "skill", "s": "S1"}
+_replies(
+    "short_records",
+    "Records with one-letter keys: spans for texts, times that say there is none, nodes as their own text.",
+    [
+        ({"records": [_SHORT]}, None, "complete", "Ann flies,", None),
+        ({"records": [_with(_SHORT, t="未知")]}, None, "complete", "Ann flies,", None),
+        ({"records": [{"k": "entity", "e": "Bob", "y": "person"}]}, None, "complete", "Bob", None),
+        ({"records": [{"k": "timepoint", "e": "rests"}]}, None, "complete", "rests", "rests"),
+        ({"records": [_SHORT, _SHORT, _with(_SHORT, s="S9")]}, None, "partial", "Ann flies,", None),
+        ({"records": [_with(_SHORT, q=1)]}, "all rejected", None, None, None),
+        ({"records": []}, "records", None, None, None),
+    ],
+    ["error", "status", "text", "time"],
+    lambda d: d.select("event_id", F.explode(F.array(wire.decoded_records(F.col("v"), F.lit(STORY), _spans()))).alias("p")).select("event_id", "p.error", "p.status", F.get("p.records", 0).text.alias("text"), F.get("p.records", 0).time.alias("time")),
+)

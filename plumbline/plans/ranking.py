@@ -60,7 +60,7 @@ SELECT * FROM (SELECT query_id, doc, score, first_rank, second_rank, row_number(
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of BM25 and term overlap, each 20 deep."""
     q, d = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    return retrieval.fuse(retrieval.bm25_top_k(q, d, 20), retrieval.overlap_top_k(q, d, 20), K)
+    return retrieval.fuse(*retrieval.lexical_rankings(q, d, 20), K)
 
 
 @query("""
@@ -87,43 +87,6 @@ def metadata_filter_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.select_candidates(facts, items, 20)
 
 
-def _results(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
-    """query_id, expected, retrieved, candidates: of the 50 nearest vectors, as in the SQL; expected are the three nearest of the query's label."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0")
-    near = retrieval.dense_top_k(v, q, 50).join(v.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    near = near.withColumn("same", F.col("label") == F.col("own"))
-    pool = near.where("same") if filtered else near
-    ids = lambda rows, name: rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x.vec_id).alias(name))
-    out = ids(near.where("same"), "expected").withColumn("expected", F.slice("expected", 1, 3))
-    return out.join(ids(pool, "candidates"), "query_id").withColumn("retrieved", F.slice("candidates", 1, K))
-
-
-def _scores_sql(pool: str) -> str:
-    return f"""
-SELECT round(avg(CASE WHEN hits = n_exp THEN 1 ELSE 0 END), 6) AS complete_recall, round(sum(hits) / sum(n_exp), 6) AS micro_recall,
-  CAST(1.0 AS DOUBLE) AS pool_recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(n_pool), 6) AS mean_candidates
-FROM (SELECT query_id, count(*) FILTER (is_exp) AS n_exp, count(*) FILTER (is_exp AND pool_rank <= 5) AS hits, min(pool_rank) FILTER (is_exp AND pool_rank <= 5) AS first, count(pool_rank) AS n_pool
-  FROM (SELECT *, same AND same_rank <= 3 AS is_exp, CASE WHEN {pool} THEN row_number() OVER (PARTITION BY query_id, {pool} ORDER BY rank) END AS pool_rank FROM near) GROUP BY query_id)"""
-
-
-NEAR = f"""WITH {DENSE},
-near AS (SELECT query_id, vec_id, rank, label = query_label AS same, row_number() OVER (PARTITION BY query_id, label = query_label ORDER BY rank) AS same_rank FROM dense WHERE rank <= 50)"""
-
-
-@query(NEAR + _scores_sql("TRUE"))
-def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics within the 50 nearest; retrieval_cells ranks all vectors."""
-    return _results(spark, sf_dir, False).agg(*retrieval.retrieval_scores(None, K))
-
-
-@query(NEAR + f" SELECT 'off' AS filter, * FROM ({_scores_sql('TRUE')}) UNION ALL SELECT 'on', * FROM ({_scores_sql('same')})")
-def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics within the 50 nearest, without and with the label filter; retrieval_cells filters and ranks all vectors."""
-    rows = [_results(spark, sf_dir, on).agg(*retrieval.retrieval_scores(None, K)).select(F.lit("on" if on else "off").alias("filter"), "*") for on in (False, True)]
-    return rows[0].unionByName(rows[1])
-
-
 WHOLE = f"""WITH {DENSE},
 whole AS (SELECT query_id, vec_id, rank, same, row_number() OVER (PARTITION BY query_id, same ORDER BY rank) AS same_rank
   FROM (SELECT *, coalesce(label = query_label, FALSE) AS same FROM dense WHERE score IS NOT NULL))"""
@@ -138,8 +101,14 @@ FROM (SELECT query_id, count(*) FILTER (is_exp) AS n_exp, count(*) FILTER (is_ex
   FROM (SELECT *, same AND same_rank <= 3 AS is_exp, {pool} AS in_pool, CASE WHEN {pool} THEN row_number() OVER (PARTITION BY query_id, {pool} ORDER BY rank) END AS pool_rank FROM whole) GROUP BY query_id)"""
 
 
+@query(WHOLE + _cell_sql("TRUE"))
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of dense retrieval over all vectors; expected are the three nearest of all with the query's label."""
+    return retrieval_matrix(spark, sf_dir).where("filter = 'off'").drop("filter")
+
+
 @query(WHOLE + f" SELECT 'off' AS filter, * FROM ({_cell_sql('TRUE')}) UNION ALL SELECT 'on', * FROM ({_cell_sql('same')})")
-def retrieval_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense cells of the matrix: all vectors are ranked, or all that the label filter leaves; expected are the three nearest of all with the query's label."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 100 = 0")

@@ -56,7 +56,13 @@ def span_split_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.md5(F.array_join("s", "\n")).alias("spans_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS},
+z AS (SELECT doc_id, n, length(span) AS c FROM spans),
+r AS (SELECT doc_id, n, CAST(1 AS BIGINT) AS w, CAST(1 AS BIGINT) AS k, c FROM z WHERE n = 1
+  UNION ALL SELECT z.doc_id, z.n, r.w + (r.k >= 8 OR r.c + z.c > 180)::INT, CASE WHEN r.k >= 8 OR r.c + z.c > 180 THEN 1 ELSE r.k + 1 END, CASE WHEN r.k >= 8 OR r.c + z.c > 180 THEN z.c ELSE r.c + z.c END
+  FROM r JOIN z ON z.doc_id = r.doc_id AND z.n = r.n + 1)
+SELECT doc_id AS doc, CAST(w AS INTEGER) AS window_no, string_agg('S' || n, ',' ORDER BY n) AS targets,
+  concat_ws(',', CASE WHEN min(n) > 2 THEN 'S' || (min(n) - 2) END, CASE WHEN min(n) > 1 THEN 'S' || (min(n) - 1) END) AS context FROM r GROUP BY doc_id, w""")
 def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of spans for whole documents, one window row each."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), fn.span_sizes(F.col("text")).alias("sizes"))
@@ -66,16 +72,17 @@ def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SPANS},
-d AS (SELECT doc_id, n, CASE WHEN n % 7 = 0 THEN 'none' WHEN length(span) < 20 THEN 'ignored' WHEN span LIKE '%.%' THEN 'event' ELSE 'non_event' END AS kind FROM spans)
+d AS (SELECT doc_id, n, CASE WHEN n % 7 = 0 THEN 'none' WHEN n % 11 = 0 AND length(span) >= 20 THEN 'clash' WHEN length(span) < 20 THEN 'ignored' WHEN span LIKE '%.%' THEN 'event' ELSE 'non_event' END AS kind FROM spans)
 SELECT doc_id, count(*) AS targets, count(*) FILTER (kind = 'event') AS event, count(*) FILTER (kind = 'ignored') AS ignored,
-  count(*) FILTER (kind = 'non_event') AS non_event, count(*) FILTER (kind = 'none') AS uncovered, CAST(0 AS BIGINT) AS conflict,
-  count(*) FILTER (kind = 'none') = 0 AS complete FROM d GROUP BY doc_id""")
+  count(*) FILTER (kind = 'non_event') AS non_event, count(*) FILTER (kind = 'none') AS uncovered, count(*) FILTER (kind = 'clash') AS conflict,
+  count(*) FILTER (kind IN ('none', 'clash')) = 0 AS complete FROM d GROUP BY doc_id""")
 def coverage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of documents with a disposition by rule; every seventh is left out."""
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fn.split_spans(F.col("text"))).alias("p", "s")).select("doc_id", (F.col("p") + 1).alias("n"), "s.text")
+    """Spans of documents with a disposition by rule; every seventh is left out, and longer ones at every eleventh place have two."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fn.clause_texts(F.col("text"))).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("n"), "text")
     kind = F.when(F.length("text") < 20, "ignored").when(F.contains("text", F.lit(".")), "event").otherwise("non_event")
     d = s.where(F.col("n") % 7 != 0).select("doc_id", "n", kind.alias("kind"))
-    return checks.coverage_summary(checks.coverage(s, d, ["doc_id", "n"]), "doc_id")
+    more = s.where((F.col("n") % 7 != 0) & (F.col("n") % 11 == 0) & (F.length("text") >= 20)).select("doc_id", "n", F.lit("ignored").alias("kind"))
+    return checks.coverage_summary(checks.coverage(s.select("doc_id", "n"), d.unionByName(more), ["doc_id", "n"]), "doc_id")
 
 
 @query("""
@@ -161,20 +168,27 @@ def retry_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, CASE WHEN t LIKE '%history%' THEN 'history' ELSE 'other' END AS domain, sha256(t) AS digest
-FROM (SELECT page_id, lower(url) AS t FROM pages)
+SELECT page_id, ['character', 'angel', 'history', 'technology', 'other'][CAST(page_id % 5 AS INTEGER) + 1] AS domain, CASE WHEN page_id % 3 = 0 THEN 'Ann' WHEN page_id % 3 = 1 THEN NULL ELSE 'Bob' END AS scope,
+  array_to_string(list_sort(list_concat(CASE WHEN page_id % 2 = 0 THEN ['character_knowledge'] ELSE ['causality'] END, CASE WHEN page_id % 5 = 2 OR page_id % 3 = 1 THEN ['time'] ELSE [] END)), ',') AS dimensions,
+  CASE WHEN page_id % 2 = 0 THEN 'negative' ELSE 'affirmative' END AS polarity FROM pages
 """)
 def reference_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("t"))
-    return p.select("page_id", F.when(rules.any_of(F.col("t"), ("history",)), "history").otherwise("other").alias("domain"), F.sha2("t", 256).alias("digest"))
+    """Domain, scope, dimensions and polarity of chunks with made headings and texts."""
+    i = F.col("page_id")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), (at % len(names)).cast("int"))
+    h = F.array(pick(("人物 a", "天使 b", "历史", "技术", "x"), i), pick(("Ann", "2063年", " Bob "), i), F.lit("c"))
+    t = pick(("她不知道", "因此"), i)
+    p = table(spark, sf_dir, "pages").select("page_id", h.alias("h"), t.alias("t"), F.lit("a/b.md").alias("f"))
+    h, t, f = F.col("h"), F.col("t"), F.col("f")
+    return p.select("page_id", rules.domain(h, f).alias("domain"), rules.scope(h).alias("scope"), F.array_join(rules.dimension_tags(h, t, f), ",").alias("dimensions"), F.array_join(rules.polarity(t), ",").alias("polarity"))
 
 
 @query("""
-WITH q AS (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark)
+WITH q AS (SELECT item_id, text AS quote FROM benchmark)
 SELECT item_id AS quote_id, doc_id FROM q JOIN documents ON contains(text, quote) WHERE quote <> ''
 """)
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold a benchmark text word for word; the SQL looks for its first 60 characters only."""
+    """Which documents hold a benchmark text word for word."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return checks.quoted_in(q, table(spark, sf_dir, "documents"), "doc_id")
 

@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import relations, sequences
 from plumbline.plans.base import registry, table
+from plumbline.session import shared_dir
 from plumbline.streaming import batching, windows
 
 QUERIES, ORACLES, query = registry()
 
 
-@query("""
-WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-p AS (SELECT a.conv_id, a.turn AS first, b.turn AS second, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i, b.i) AS pair_no FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.i < b.i)
-SELECT conv_id, first, second, pair_no, (pair_no - 1) // 4 AS batch_no FROM p WHERE pair_no <= 20
-""")
-def pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a conversation's turns in order, the first 20, in batches of four; story_pairs goes to the check's limit."""
-    return relations.ordered_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", 20, 4)
-
-
 @query("""
 WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 p AS (SELECT a.conv_id, a.turn AS first, b.turn AS second, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i, b.i) AS pair_no FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.i < b.i)
 SELECT conv_id, first, second, pair_no, (pair_no - 1) // 4 AS batch_no FROM p WHERE pair_no <= 120
 """)
-def story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a conversation's turns in order, up to the story check's limit of 120, in batches of four."""
     return relations.ordered_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", 120, 4)
 
@@ -117,7 +108,13 @@ def label_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.correct(o, o.where("o_orderkey % 10 = 0").withColumn("label", F.lit("X")), "o_orderkey", "s", "label").select("o_orderkey", "label")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, CAST(1 AS BIGINT) AS b, CAST(1 AS BIGINT) AS n, t AS t0 FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, r.b + (r.n >= 8 OR e.t - r.t0 > 3600000000)::INT, CASE WHEN r.n >= 8 OR e.t - r.t0 > 3600000000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 8 OR e.t - r.t0 > 3600000000 THEN e.t ELSE r.t0 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, CAST(b AS INTEGER) AS batch FROM r
+""")
 def microbatch_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of a user's events: closed at eight or when the first has waited an hour."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id"))).alias("x"))
@@ -125,7 +122,17 @@ def microbatch_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("user_id", F.explode(F.arrays_zip("x", "b")).alias("z")).select("user_id", F.col("z.x.event_id").alias("event_id"), F.col("z.b").alias("batch"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS run, event_id, epoch_us(ts) / 1e6 AS arrival, value * 100 AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS i FROM events),
+s0 AS (SELECT run, i, arrival, seconds FROM e),
+r AS (SELECT run, CAST(0 AS BIGINT) AS i, [CAST(0 AS DOUBLE), 0, 0, 0] AS free, CAST(0 AS DOUBLE) AS start, CAST(0 AS DOUBLE) AS waited, CAST(0 AS DOUBLE) AS stop FROM (SELECT DISTINCT run FROM e)
+  UNION ALL SELECT e.run, e.i, list_transform([1, 2, 3, 4], lambda k: CASE WHEN k = list_position(list_transform(r.free, lambda f: greatest(f, e.arrival)), list_min(list_transform(r.free, lambda f: greatest(f, e.arrival))))
+    THEN list_min(list_transform(r.free, lambda f: greatest(f, e.arrival))) + e.seconds ELSE r.free[k] END),
+    list_min(list_transform(r.free, lambda f: greatest(f, e.arrival))), list_min(list_transform(r.free, lambda f: greatest(f, e.arrival))) - e.arrival, list_min(list_transform(r.free, lambda f: greatest(f, e.arrival))) + e.seconds
+  FROM r JOIN s0 e ON e.run = r.run AND e.i = r.i + 1),
+p AS (SELECT run, round(start, 6) AS start, round(waited, 6) AS waited, round(stop, 6) AS stop FROM r WHERE i > 0)
+SELECT run, count(*) AS requests, round(max(stop) - min(start), 4) AS makespan, round(sum(stop - start) / ((max(stop) - min(start)) * 4), 6) AS utilisation, quantile_disc(waited, 0.5) AS waited_p50, max(waited) AS waited_max FROM p GROUP BY run
+""")
 def slot_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four slots per user and run, refilled as soon as one is free."""
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -158,27 +165,25 @@ def window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})
 
 
-def _streamed(spark: SparkSession, sf_dir: str, plan, mode: str) -> DataFrame:
-    """Run a plan as a stream over the events file until all of it is read, and return the sink's rows."""
+def _streamed(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
+    """Run a plan as a stream over the events file until all of it is read, and return the table it wrote."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/")
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = named or "file://" + tempfile.mkdtemp()
-    name = f"stream_{abs(hash((sf_dir, mode, id(stream))))}"
-    q = plan(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = plan(stream).writeStream.outputMode("complete").foreachBatch(windows.replace_whole(f"{folder}/rows")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/rows")
 
 
 @query(ORACLES["window_tumbling"])
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """window_tumbling() as a stream."""
-    out = _streamed(spark, sf_dir, lambda s: windows.tumbling(s, "1 hour", "event_type"), "complete")
+    out = _streamed(spark, sf_dir, lambda s: windows.tumbling(s, "1 hour", "event_type"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(ORACLES["window_session"])
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """window_session() as a stream."""
-    out = _streamed(spark, sf_dir, lambda s: windows.sessions(s, "2 hours", "user_id"), "complete")
+    out = _streamed(spark, sf_dir, lambda s: windows.sessions(s, "2 hours", "user_id"))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})

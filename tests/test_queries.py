@@ -15,14 +15,13 @@ def test_query_equals_sql(spark, con, name):
     same(catalog.QUERIES[name], catalog.ORACLES[name], spark, con)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
-def test_story_pairs_go_to_120(spark, tmp_path):
+def test_pairs_go_to_120(spark, tmp_path):
     spark.createDataFrame([(c, t) for c, n in ((1, 8), (2, 17)) for t in range(n)], "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = tracks.story_pairs(spark, str(tmp_path)).collect()
+    got = tracks.pair_checks(spark, str(tmp_path)).collect()
     assert sorted((r.first, r.second) for r in got if r.conv_id == 1) == [(a, b) for a in range(8) for b in range(a + 1, 8)]
     assert sorted((r.first, r.second) for r in got if r.conv_id == 2) == [(a, b) for a in range(17) for b in range(a + 1, 17)][:120]
 
