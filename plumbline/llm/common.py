@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import shared_dir
+
 # The character classes that the query contracts name.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\f\r"
@@ -19,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = now.get() if now.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -47,6 +39,48 @@ def drop(*stored: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(docs: DataFrame, label: str) -> DataFrame:
+    """docs as they are if they come straight from files, whose rows keep their order; written as a table if a shuffle made them."""
+    return store(docs, label) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
+#: Rows of an Arrow batch where texts go to Python workers: a batch of long ones must fit beside the work on them.
+BATCH_ROWS = 1_000
+
+
+def small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator, which writes its tables itself, with batches of BATCH_ROWS rows while it runs."""
+
+    @functools.wraps(operator)
+    def run(rows: DataFrame, *args: object, **options: object) -> DataFrame:
+        with setting(rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+            return operator(rows, *args, **options)
+
+    return run
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+@contextmanager
+def pinned_scans(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, files are split by their sizes alone, not by how many executors there happen to be."""
+    key = "spark.sql.files.minPartitionNum"
+    with setting(spark, key, spark.conf.get(key, None) or str(spark.sparkContext.defaultParallelism)):
+        yield
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -10,52 +10,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import row_name, small_enough, store
+from plumbline.llm.common import drop, pinned_scans, row_name, settled, small_batches, small_enough, store
 
 ORDER = 3
 #: Characters of a block of documents, whose n-grams are counted and looked up together.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: Trusted ids are sent to all tasks up to this number (8 bytes each); beyond, they are joined by a shuffle.
 MOST_IDS = 2_000_000
-#: A document is scored as if it had this many more characters of average trusted text.
+#: Languages whose few numbers are sent to all tasks.
+MOST_LANGS = 10_000
+#: One in so many trusted documents is kept from training, and limits are taken on these.
+HELD_OUT = 5
+#: Short texts scatter more: a limit stands for texts that are longer by this many average characters.
 PRIOR_CHARS = 200
-#: Share of all trusted documents that lie further above their language's median than thresholds do, and the bits added.
+#: Share of held-out documents that lie further above their language's median than limits do, and the bits added.
 TAIL, MARGIN = 0.01, 0.02
 #: Steps of the grid on which quantiles are taken, per unit of bits.
 GRID = 2000
-START, END = "\x02", "\x03"
+#: Marks of a text's ends: code points that Unicode keeps for internal use.
+START, END = "\ufdd0", "\ufdd1"
 
 
 def _grams(docs: list[tuple[str, str]], order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[str, str]]]:
     """For a block of (language, text): each position's n-gram number, documents' starts, and the n-grams.
 
-    A text stands between START characters and an END; a language's own n-grams have own numbers.
+    A text stands between START characters and an END, which count as U+FFFD inside it; a language's own n-grams
+    have own numbers.
     """
     langs = {x: i for i, x in enumerate(dict.fromkeys(lang for lang, _ in docs))}
     codes, which, starts, at = [], [], [], 0
     for lang, text in docs:
+        text = text.replace(START, "\ufffd").replace(END, "\ufffd")
         c = np.frombuffer((START * (order - 1) + text + END).encode("utf-32-le", "replace"), "<u4")
         codes.append(c)
-        which.append(np.full(len(c), langs[lang], dtype=np.int64))
+        which.append(langs[lang])
         starts.append(at)
         at += len(c)
-    chars, lang_of = np.concatenate(codes), np.concatenate(which)
-    used = np.flatnonzero(np.bincount(chars))
-    dense = np.zeros(int(used[-1]) + 1, dtype=np.int64)
+    chars = np.concatenate(codes)
+    known = np.zeros(int(chars.max()) + 1, dtype=bool)
+    known[chars] = True
+    used = np.flatnonzero(known)
+    room = len(langs) * len(used) ** order
+    kind = np.int32 if room < 2**31 else np.int64
+    dense = np.zeros(len(known), dtype=kind)
     dense[used] = np.arange(len(used))
     c = dense[chars]
-    number = lang_of
+    number = np.repeat(np.array(which, dtype=kind), [len(x) for x in codes])
     for k in range(order - 1, -1, -1):
-        number = number * len(used) + np.concatenate([np.zeros(k, dtype=np.int64), c[: len(c) - k]])
+        number *= kind(len(used))
+        number[k:] += c[: len(c) - k]
     inside = np.ones(at, dtype=bool)  # n-grams that end in the START characters are none
     for k in range(order - 1):
         inside[np.array(starts) + k] = False
     number = number[inside]
     starts = np.array(starts) - (order - 1) * np.arange(len(starts))
-    room = len(langs) * len(used) ** order
     if room <= 1 << 25:
-        seen = np.flatnonzero(np.bincount(number, minlength=1))
-        where = np.zeros(int(seen[-1]) + 1, dtype=np.int32)
+        there = np.zeros(room, dtype=bool)
+        there[number] = True
+        seen = np.flatnonzero(there)
+        where = np.zeros(int(seen[-1]) + 1, dtype=np.uint16 if len(seen) < 1 << 16 else np.int32)
         where[seen] = np.arange(len(seen))
         place = where[number]
     else:
@@ -126,7 +139,8 @@ def train(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFr
     model: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, order + 1):
         c = by_order[k].withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
-        d = _discounts(by_order[k])
+        d = _discounts(by_order[k])  # a row for each language
+        d = F.broadcast(d) if small_enough(d, MOST_LANGS) else d
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         c = c.join(d, "lang").withColumn("cut", cut)
         contexts = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("backoff"), F.count("*").alias("kinds"))
@@ -166,8 +180,10 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], order: int
 
     Documents are scored in blocks. A block sends each of its distinct n-grams once to
     the shards of the model and gets its bits back; its texts travel once, compressed, to meet
-    them. So what is joined grows with blocks times distinct n-grams, not with the text.
+    them. So what is joined grows with blocks times distinct n-grams, not with the text. Documents are read twice,
+    and cut into the same blocks each time: from files whose splits are held, or else from a written table.
     """
+    docs = settled(docs, "kn-docs")
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches):
@@ -199,12 +215,15 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], order: int
 
     # Numbers as text: pandas and JSON would round large ones.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("row").cast("string").alias("row"), "lang", "text")
-    asked = store(rows.mapInPandas(wanted, "block string, slot int, lang string, gram string"), "kn-asked")
-    known = bits(asked.select("lang", "gram").distinct(), model)
-    answers = asked.join(known, ["lang", "gram"]).select("block", "slot", "bits")
-    texts = rows.mapInPandas(packed, "block string, rows binary")
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, "doc_id long, row long, lang string, n long, bits double")
-    return store(out, "kn-scores")
+    with pinned_scans(docs.sparkSession):
+        asked = store(rows.mapInPandas(wanted, "block string, slot int, lang string, gram string"), "kn-asked")
+        known = bits(asked.select("lang", "gram").distinct(), model)
+        answers = asked.join(known, ["lang", "gram"]).select("block", "slot", "bits")
+        texts = rows.mapInPandas(packed, "block string, rows binary")
+        out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, "doc_id long, row long, lang string, n long, bits double")
+        out = store(out, "kn-scores")
+    drop(asked)
+    return out
 
 
 def _name(block: pd.DataFrame) -> str:
@@ -218,43 +237,54 @@ def _name(block: pd.DataFrame) -> str:
     return h.hexdigest()
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float = TAIL, margin: float = MARGIN) -> DataFrame:
+@small_batches
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, tail: float = TAIL, margin: float = MARGIN, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, row (row_name() of doc_id and text), lang, n, perplexity, threshold, accepted for each row of docs.
 
-    The model learns from all documents that labels call good (quality 1) and not toxic. The
-    perplexity is per character. A language's threshold is the median of its trusted documents, plus the
-    distance above it that ``tail`` of the trusted documents of all languages exceed, plus ``margin`` bits;
-    documents beyond it are rejected. So a few odd trusted documents don't open a small language's gate.
-    Short texts are pulled towards the trusted mean by PRIOR_CHARS.
-
-    A null or empty text is scored as its end alone; a null language is a language of its
-    own. Documents of a language without trusted text have null perplexity and threshold and are
-    accepted. Repeated rows are scored each; labels repeated for a document count once.
+    The model learns from documents that labels call good (quality 1) and not toxic, but for one in ``held_out`` by a
+    hash of doc_id. The perplexity is per character. On the held-out documents, which the model has not seen, limits are
+    taken: a language's is their median, plus the distance above it that ``tail`` of the held-out documents of all
+    languages exceed, plus ``margin`` bits. So a few odd trusted documents don't open a small language's gate. Texts
+    of n characters may be further above the mean by PRIOR_CHARS / n of the limit's own distance, since short texts scatter
+    more; that is the threshold of a document. Documents beyond theirs are rejected.
+
+    A null or empty text is scored as its end alone; a null language is a language of its own, apart from an empty
+    one. Documents of a language without trusted text have null perplexity and threshold and are accepted, and so
+    are those of a language without a held-out document, with a null threshold. Repeated rows are scored each; labels
+    repeated for a document count once, as good if all say so. Empty tables reject nothing; other columns are ignored.
     """
-    docs = docs.select("doc_id", row_name().alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    named = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+    docs = docs.select("doc_id", row_name().alias("row"), named.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("ok")).where("ok AND doc_id IS NOT NULL").select("doc_id")
-    good = store(good, "kn-trusted")
-    ids = F.broadcast(good) if small_enough(good, MOST_IDS) else good
-    model = train(store(count_grams(docs.join(ids, "doc_id", "left_semi"), order), "kn-counts"), order)
+    good = store(good.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(held_out))), "kn-trusted")
+
+    def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    few = small_enough(good, MOST_IDS)
+    model = train(store(count_grams(among(docs, good.where("fold > 0").select("doc_id")), order), "kn-counts"), order)
     scores = score(docs, model, order)
-    trusted = scores.where("bits IS NOT NULL").join(good, "doc_id", "left_semi")
-    means = trusted.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean"))
+    held = among(scores.where("bits IS NOT NULL"), good.where("fold = 0").select("doc_id"))
+    means = held.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean"))
     pulled = (F.col("bits") + PRIOR_CHARS * F.col("mean")) / (F.col("n") + PRIOR_CHARS)
-    cells = trusted.join(means, "lang").select("lang", F.ceil(pulled * GRID).alias("cell"))
+    cells = held.join(means, "lang").select("lang", F.ceil(pulled * GRID).alias("cell"))
     medians = store(cells.groupBy("lang").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY cell)").alias("median")).join(means, "lang"), "kn-medians")
-    far = store(cells.join(F.broadcast(medians), "lang").select((F.col("cell") - F.col("median")).alias("far")), "kn-far")
+    near = F.broadcast(medians) if small_enough(medians, MOST_LANGS) else medians
+    far = store(cells.join(near, "lang").select((F.col("cell") - F.col("median")).alias("far")), "kn-far")
     n = far.count()
     # Also of few documents the furthest does not set the limits.
     share = max(0.0, min(1 - tail, (n - 1.5) / n)) if n else 1.0
-    spread = far.agg(F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY far)").alias("spread"))
-    limits = medians.join(F.broadcast(spread)).select("lang", "mean", ((F.col("median") + F.col("spread")) / GRID + margin).alias("limit"))
-    out = scores.join(store(limits, "kn-limits"), "lang", "left").withColumn("per", pulled)
+    spread = far.agg(F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY far)").alias("spread")).first()["spread"]
+    limits = medians.select("lang", "mean", ((F.col("median") + F.lit(spread)) / GRID + margin).alias("limit"))
+    per = F.col("bits") / F.col("n")
+    most = F.col("limit") + PRIOR_CHARS * (F.col("limit") - F.col("mean")) / F.col("n")
+    out = scores.join(F.broadcast(limits) if small_enough(medians, MOST_LANGS) else limits, "lang", "left")
     return out.select(
         "doc_id",
         "row",
-        "lang",
+        F.when(F.col("lang") != "", F.expr("substring(lang, 2)")).alias("lang"),
         "n",
-        F.pow(F.lit(2.0), "per").alias("perplexity"),
-        F.pow(F.lit(2.0), "limit").alias("threshold"),
-        F.coalesce(F.col("per") <= F.col("limit"), F.lit(True)).alias("accepted"),
+        F.pow(F.lit(2.0), per).alias("perplexity"),
+        F.when(most.isNotNull(), F.pow(F.lit(2.0), F.least(most, F.lit(1000.0)))).alias("threshold"),
+        F.coalesce(per <= most, F.lit(True)).alias("accepted"),
     )

@@ -142,11 +142,11 @@ def test_model_equals_definition(spark):
     rows = {r.gram: r.n for r in counts.collect()}
     want = {}
     for t in texts:
-        s = "\x02\x02" + t + "\x03"
+        s = kneser_ney.START * 2 + t + kneser_ney.END
         for i in range(2, len(s)):
             want[s[i - 2 : i + 1]] = want.get(s[i - 2 : i + 1], 0) + 1
     assert rows == want
-    grams = [*list(want)[:20], "thx", "xth", "qqq", "\x02\x02z"]
+    grams = [*list(want)[:20], "thx", "xth", "qqq", kneser_ney.START * 2 + "z"]
     got = {r.gram: r.bits for r in kneser_ney.bits(spark.createDataFrame([("en", g) for g in grams], "lang string, gram string"), kneser_ney.train(counts, 3)).collect()}
     p = kn(want, 3)
     assert all(abs(got[g] + math.log2(p(g))) < 1e-9 for g in grams)
