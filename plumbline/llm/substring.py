@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import WORD, drop, row_name, store
 
-#: Words of a window, words of an anchor; words remembered by a Python worker.
-WINDOW, ANCHOR, CACHE_WORDS = 35, 8, 400_000
+#: Words of a window, words of an anchor.
+WINDOW, ANCHOR = 35, 8
+#: Words remembered by a Python worker, and the longest of them.
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
 #: Different segments of an anchor up to which they make one automaton; windows of the rest are counted.
 MOST_IN_SHARD = 2_000
 #: Words of documents that are cut into segments together.
@@ -33,10 +35,10 @@ def word_hashes(words: list[str]) -> np.ndarray:
     try:
         return np.array([known[w] for w in words], dtype=np.uint64)
     except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.array([known[w] for w in words], dtype=np.uint64)
+        rare: dict[str, int] = {}
+        for w in set(words).difference(known):
+            (known if len(w) <= CACHE_LENGTH else rare)[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.array([rare[w] if w in rare else known[w] for w in words] if rare else [known[w] for w in words], dtype=np.uint64)
 
 
 def split_words(text: str | None) -> list[str]:
@@ -90,29 +92,32 @@ def segments(h: np.ndarray, ends: np.ndarray, window: int = WINDOW, anchor: int
 
 
 class SuffixAutomaton:
-    """Suffix automaton of several word sequences, with in how many places each state occurs."""
+    """Suffix automaton of several word sequences, with in how many places each state occurs.
+
+    A sequence is added once, with the number of places in which it stands.
+    """
 
     def __init__(self) -> None:
         self.go: list[dict[int, int]] = [{}]
         self.link, self.length, self.ends = [-1], [0], [0]
 
-    def add(self, words: list[int]) -> None:
+    def add(self, words: list[int], times: int = 1) -> None:
         go, link, length, ends = self.go, self.link, self.length, self.ends
         last = 0
         for w in words:
             old = go[last].get(w)
             if old is not None:  # the prefix is there from an earlier sequence
                 if length[old] == length[last] + 1:
-                    ends[old] += 1
+                    ends[old] += times
                     last = old
                     continue
                 last = self._clone(last, w, old)
-                ends[last] += 1
+                ends[last] += times
                 continue
             new = len(go)
             go.append({})
             length.append(length[last] + 1)
-            ends.append(1)
+            ends.append(times)
             link.append(0)
             p = last
             while p >= 0 and w not in go[p]:
@@ -166,13 +171,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """row, first, stop (of window starts) for runs of windows that also start elsewhere.
 
     ``docs`` has row (long, the same for equal texts only) and text. First every segment of every document goes, as
-    two hashes, to its anchor. A segment that occurs twice is repeated throughout; one whose anchor occurs
-    nowhere else is not repeated. What remains are anchors with several different
-    segments: each different segment is fetched once, and the segments of an anchor are a shard of
-    the reference, whose suffix automaton is streamed with them. Shards meet their segments by the anchor
-    rather than by a broadcast, since equal windows share their anchor. An anchor with more than
-    ``most_in_shard`` different segments would make one task's automaton too large; the windows of its
-    segments are counted by a sum over the cluster instead, with the same result.
+    two hashes, to its anchor; a segment whose anchor occurs nowhere else has no window that does. All others,
+    copies included, are decided by automata: each different segment of an anchor is fetched once, and the segments
+    of an anchor are a shard of the reference. Its suffix automaton holds each with the number of its places, and the
+    segments are streamed past it. Shards meet their segments by the anchor rather than by a broadcast, since equal
+    windows share their anchor. An anchor with more than ``most_in_shard`` different segments would make one
+    task's automaton too large; the windows of its segments are counted by a sum over the cluster instead,
+    with the same result. Segments and windows are named by 64 bits, and compared only within their anchor.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +218,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     # One row for each different segment; the place of one of its occurrences is enough.
     kinds = all_.groupBy("anchor", "name").agg(F.count("*").alias("m"), F.min(F.struct("row", "first", "stop")).alias("at"))
     kinds = store(kinds, "sub-kinds")
-    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("m").alias("places")).where("places > 1").drop("places")
     open_ = store(kinds.join(crowd, "anchor").select("anchor", "name", "m", "at.*", (F.col("kinds") > most_in_shard).alias("crowded")), "sub-open")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,21 +243,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         def shard() -> list[tuple[int, int, int, int]]:
             sequences = [np.frombuffer(w, np.uint64).tolist() for _, _, w in held]
             automaton = SuffixAutomaton()
-            for s in sequences:
-                automaton.add(s)
+            for (_, m, _), s in zip(held, sequences, strict=True):
+                automaton.add(s, m)
             automaton.close()
             out = []
-            for (name, m, _), s in zip(held, sequences, strict=True):
-                if m == 1:
-                    hit = automaton.repeated(s, window)
-                    i = 0
-                    while i < len(hit):
-                        j = i
-                        while j < len(hit) and hit[j]:
-                            j += 1
-                        if j > i:
-                            out.append((anchor_now, name, i, j))
-                        i = j + 1
+            for (name, _, _), s in zip(held, sequences, strict=True):
+                hit = automaton.repeated(s, window)
+                i = 0
+                while i < len(hit):
+                    j = i
+                    while j < len(hit) and hit[j]:
+                        j += 1
+                    if j > i:
+                        out.append((anchor_now, name, i, j))
+                    i = j + 1
             held.clear()
             return out
 
@@ -269,18 +273,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     shards = texts.where("words IS NOT NULL").drop("windows")
     spots = texts.where("words IS NULL").select("anchor", "name", "m", F.posexplode("windows").alias("i", "window"))
-    twice = spots.groupBy("window").agg(F.sum("m").alias("times")).where("times > 1").select("window")
-    counted = spots.where("m = 1").join(twice, "window", "left_semi").select("anchor", "name", "i", (F.col("i") + 1).alias("j"))
+    twice = spots.groupBy("anchor", "window").agg(F.sum("m").alias("times")).where("times > 1").select("anchor", "window")
+    counted = spots.join(twice, ["anchor", "window"], "left_semi").select("anchor", "name", "i", (F.col("i") + 1).alias("j"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = shards.repartition(parts, "anchor").sortWithinPartitions("anchor")
     matched = dealt.mapInPandas(match, "anchor long, name long, i int, j int")
     some = store(matched.unionByName(counted), "sub-some")
     drop(texts)
-    part = some.join(open_.where("m = 1").select("anchor", "name", "row", "first"), ["anchor", "name"])
-    part = part.select("row", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("j")).alias("stop"))
-    copies = kinds.where("m > 1").select("anchor", "name")
-    whole = all_.join(copies, ["anchor", "name"], "left_semi").select("row", "first", "stop")
-    return whole.unionByName(part)
+    at = all_.select("anchor", "name", "row", "first").join(some, ["anchor", "name"])
+    return at.select("row", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("j")).alias("stop"))
 
 
 def _spans(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
