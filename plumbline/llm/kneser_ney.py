@@ -24,7 +24,7 @@ HELD_OUT = 5
 #: Short texts scatter more: a limit stands for texts that are longer by this many average characters.
 PRIOR_CHARS = 200
 #: Share of held-out documents that lie further above their language's median than limits do, and the bits added.
-TAIL, MARGIN = 0.01, 0.02
+TAIL, MARGIN = 0.02, 0.02
 #: Steps of the grid on which quantiles are taken, per unit of bits.
 GRID = 2000
 #: Marks of a text's ends: code points that Unicode keeps for internal use.
