@@ -17,6 +17,8 @@ SIMILARITY = 0.98
 #: Leading principal dimensions that order vectors and prove blocks distant; vectors in a block;
 #: vectors below which a pair of intervals is compared instead of divided.
 DIMS, BLOCK, LEAF = 8, 1024, 64
+#: Leading dimensions in whose cells block boxes meet; longest vectors, and most lengths of them, whose axes are computed.
+BOX_DIMS, MOST_LENGTH, MOST_LENGTHS = 3, 4096, 16
 
 
 def _usable(vector) -> bool:
@@ -36,8 +38,13 @@ def _unit(vectors: list) -> np.ndarray:
 def principal_axes(vectors: DataFrame, dims: int = DIMS) -> dict[int, np.ndarray]:
     """For each vector length its leading principal axes, from second moments over all rows.
 
-    Tasks send sums of outer products, whose size depends on the length of vectors only.
+    Tasks send sums of outer products, whose size depends on the length of vectors only. Vectors of more than MOST_LENGTH
+    components, and those of other than the MOST_LENGTHS most frequent lengths, keep their first components as axes;
+    any orthonormal axes prove distances, the principal ones prove more.
     """
+    kinds = vectors.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n")
+    kinds = kinds.where(F.col("n") <= MOST_LENGTH).limit(MOST_LENGTHS).collect()
+    vectors = vectors.where(F.size("embedding").isin([r["n"] for r in kinds]))
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
@@ -68,6 +75,12 @@ def principal_axes(vectors: DataFrame, dims: int = DIMS) -> dict[int, np.ndarray
     return axes
 
 
+def project(unit: np.ndarray, axes: dict[int, np.ndarray], dims: int) -> np.ndarray:
+    """Coordinates on the axes of the vectors' length."""
+    own = axes.get(unit.shape[1])
+    return np.ascontiguousarray(unit[:, :dims]) if own is None else unit @ own
+
+
 def _join(u: np.ndarray, p: np.ndarray, v: np.ndarray, q: np.ndarray, eps: float, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of two intervals with cosine >= least; halves that are provably distant are skipped."""
     todo = [(0, len(u), 0, len(v))]
@@ -124,7 +137,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, dims: in
     A vector that is null, empty, zero or has a null or non-finite component links with nothing, and so
     does one with a null label or with a length of its own. Rows may repeat, they are links of each
     other; a null vec_id takes part and is left out as a component's name unless alone. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. Where many vectors of a label lie within epsilon on all leading
+    axes their blocks must all meet, and the work there grows with the square of the blocks.
     """
     spark = vectors.sparkSession
     eps = math.sqrt(max(0.0, 2 - 2 * similarity)) + 1e-9
@@ -144,7 +158,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, dims: in
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for n, part in batch.groupby(batch["embedding"].map(len)):
-                p = _unit(list(part["embedding"])) @ axes.value[int(n)]
+                p = project(_unit(list(part["embedding"])), axes.value, dims)
                 yield part.assign(n=int(n), cell=list(np.floor(p / eps).astype(np.int32)))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +167,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, dims: in
         def cut(part: pd.DataFrame) -> pd.DataFrame:
             u = _unit(list(part["embedding"]))
             n = u.shape[1]
-            p = u @ axes.value[n]
+            p = project(u, axes.value, dims)
             return pd.DataFrame(
                 {
                     "label": [part["label"].iloc[0]], "n": [n], "first": [int(part["id"].iloc[0])], "size": [len(part)],
@@ -191,11 +205,18 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, dims: in
     )
     made = store(cut_rows, "ego-blocks")
 
-    # Boxes alone meet first, by the cells of the first axis that they cover; data follow for the pairs that are left.
+    # Boxes alone meet first, by the cells of the leading axes that they cover; data follow for the pairs that are left.
+    # In grid order a box is thin on the first axes, and the later ones are divided the more the fuller a cell is.
     box = made.select("label", "n", "first", "low", "high")
-    spans = box.withColumn("slab", F.explode(F.sequence(F.floor(F.col("low")[0] / eps), F.floor(F.col("high")[0] / eps))))
-    near = spans.withColumn("slab", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)))
-    a, b = spans.alias("a"), near.alias("b")
+    width = min(BOX_DIMS, dims)
+
+    def covered(rows: DataFrame, more: int) -> DataFrame:
+        for k in range(width):
+            cell = lambda x, k=k: F.floor(F.coalesce(F.get(F.col(x), k), F.lit(0.0)) / eps)
+            rows = rows.withColumn(f"cell{k}", F.explode(F.sequence(cell("low") - more, cell("high") + more)))
+        return rows.select("label", "n", "first", "low", "high", F.array(*[f"cell{k}" for k in range(width)]).alias("slab"))
+
+    a, b = covered(box, 0).alias("a"), covered(box, 1).alias("b")
     gap = F.aggregate(
         F.zip_with(
             F.zip_with("a.low", "b.high", lambda x, y: x - y), F.zip_with("b.low", "a.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
@@ -214,7 +235,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, dims: in
                 for ids, copies, data in ((r.ids, r.copies, r.data), (r.ids2, r.copies2, r.data2)):
                     raw = np.frombuffer(data, "<f8").reshape(-1, r.n)
                     u = _unit(list(raw))
-                    sides.append((np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), u, u @ axes.value[r.n]))
+                    sides.append((np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), u, project(u, axes.value, dims)))
                 (ia, ca, ua, pa), (ib, cb, ub, pb) = sides
                 same = r.f == r.g
                 found = list(_join(ua, pa, ub, pb, eps, similarity, same))
