@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import store
 
-ROUNDS = 4
+ROUNDS = 8
+#: A round that moves a smaller share of the linked rows is the last.
+SETTLED = 0.001
 #: Rows of a shard that one task ranks at a time.
 RANK_ROWS = 200_000
 HUB = ["hub", "text_crc32", "size"]
@@ -60,7 +62,8 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS, keep:
     round a join tells every linked document which shard most of its neighbours are in, and it
     moves there within the shard's quota. At the end shards above their exact count hand
     over documents, unlinked ones first, to those below. The n x n flows between shards are all
-    that reaches the driver. Slots number the rows of a shard without gaps from 0.
+    that reaches the driver. Slots number the rows of a shard without gaps from 0. ``cut`` says whether a row is linked with
+    one in another shard, so that the cut can be counted. Rounds end when hardly a linked row moves, or after ``rounds``.
 
     size is the UTF-8 length of the text plus 8; a null text has size 8 and checksum 0, and
     null texts are linked with each other, not with empty ones. A null doc_id is a value like
@@ -86,7 +89,7 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS, keep:
         # Unlinked documents leave wherever there is no room, so quotas count linked ones only.
         now = {r.shard: r.n for r in state.where("members > 1").groupBy("shard").agg(F.count("*").alias("n")).collect()}
         flow = state.where("want != shard").groupBy("shard", "want").agg(F.count("*").alias("n")).collect()
-        if not flow:
+        if sum(r.n for r in flow) <= SETTLED * sum(now.values()):
             break
         quota = _quotas([now.get(s, 0) for s in range(n_shards)], {(r.shard, r.want): r.n for r in flow}, most)
         draw = F.pmod(F.xxhash64("doc_id", "hub", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
@@ -94,7 +97,10 @@ def shard_documents(docs: DataFrame, n_shards: int, rounds: int = ROUNDS, keep:
         state = state.withColumn("shard", F.when(moves, F.col("want")).otherwise(F.col("shard")))
     state = state.withColumn("linked", F.col("want").isNotNull()) if rounds else state.withColumn("linked", F.lit(False))
     state = _even(state.drop("want", "members"), n_shards, total)
-    return _rank(state, [], max(1, total // RANK_ROWS), "slot").select("doc_id", *keep, "size", "text_crc32", "shard", "slot")
+    state = store(state, "shard-even")
+    apart = state.where("linked").groupBy(*HUB).agg((F.min("shard") != F.max("shard")).alias("cut"))
+    ranked = _rank(state, [], max(1, total // RANK_ROWS), "slot").join(apart.where("cut"), HUB, "left")
+    return ranked.select("doc_id", *keep, "size", "text_crc32", "shard", "slot", F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
 def _even(state: DataFrame, n_shards: int, total: int) -> DataFrame:
