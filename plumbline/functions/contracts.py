@@ -301,3 +301,23 @@ def pair_check(v: Column, pair_id: Column, events: Column) -> Column:
     down = conflict & ~S.yes(sure)
     ok = error.isNull()
     return F.struct(error.alias("error"), F.when(ok, F.when(down, "uncertain").otherwise(S.text(v, "$.verdict"))).alias("verdict"), F.when(ok & down, "contradiction").alias("model_verdict"))
+
+
+STAGES, SYSTEMS, STATES = ("extraction", "retrieval", "judge", "report", "total"), ("baseline", "candidate"), ("ok", "partial", "error")
+
+
+def run_row_error(v: Column) -> Column:
+    """Error of a run's row: case, system, state, result, and the seconds of each stage."""
+    seconds = lambda s: F.try_variant_get(v, f"$.stage_metrics.{s}.seconds", "double")
+    number = lambda s: S.yes(S.kind(v, f"$.stage_metrics.{s}.seconds").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")) & S.yes(seconds(s) >= 0)
+    return S.first_broken(
+        [
+            ("object", S.yes(S.kind(v).startswith("OBJECT<"))),
+            ("case_id", S.yes(F.length(S.text(v, "$.case_id")) > 0)),
+            ("system", S.one_of(v, "$.system", SYSTEMS)),
+            ("status", S.one_of(v, "$.status", STATES)),
+            ("result", S.yes(S.kind(v, "$.result").startswith("OBJECT<"))),
+            ("stages", S.has_keys(v, STAGES, path="$.stage_metrics")),
+            *[(f"{s} seconds", number(s)) for s in STAGES],
+        ]
+    )

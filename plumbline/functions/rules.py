@@ -52,7 +52,7 @@ RETRY_CLASSES = (
     "BATCH_ROW_RETRY",
     "OTHER",
 )
-MISSING = ("未覆盖的target_spans", "missing target")
+MISSING_TARGETS, MISSING = "未覆盖的target_spans", "missing target"
 BAD_JSON = ("有效 json", "valid json")
 TRUNCATED = ("输出上限", "truncat", "max_new_tokens")
 BAD_REFERENCE = ("只能引用", "引用无效", "citation字段无效", "source_id无效", "context_id无效")
@@ -120,7 +120,7 @@ def retry_class(purpose: Column, error: Column, error_type: Column, raw: Column)
     e, low = F.coalesce(error, F.lit("")), F.lower(F.coalesce(error, F.lit("")))
     return _first(
         [
-            ((purpose == "recover_missing_targets") | any_of(low, MISSING), "MISSING_TARGET_COVERAGE"),
+            ((purpose == "recover_missing_targets") | F.contains(e, F.lit(MISSING_TARGETS)) | F.contains(low, F.lit(MISSING)), "MISSING_TARGET_COVERAGE"),
             (F.trim(F.coalesce(raw, F.lit(""))) == "", "EMPTY_OUTPUT"),
             (F.contains(F.lower(error_type), F.lit("jsondecode")) | any_of(low, BAD_JSON), "JSON_PARSE_ERROR"),
             (any_of(low, TRUNCATED), "TRUNCATED_OUTPUT"),
@@ -140,7 +140,7 @@ def audit_class(error: Column, error_type: Column, raw: Column) -> Column:
     e, low = F.coalesce(error, F.lit("")), F.lower(F.coalesce(error, F.lit("")))
     return _first(
         [
-            (any_of(low, MISSING), "MISSING_TARGET_COVERAGE"),
+            (F.contains(e, F.lit(MISSING_TARGETS)) | F.contains(low, F.lit(MISSING)), "MISSING_TARGET_COVERAGE"),
             (F.trim(F.coalesce(raw, F.lit(""))) == "", "EMPTY_OUTPUT"),
             (F.contains(F.lower(error_type), F.lit("jsondecode")) | any_of(low, ("expecting ", "有效 json")), "JSON_PARSE_ERROR"),
             (any_of(low, TRUNCATED), "TRUNCATED_OUTPUT"),

@@ -26,6 +26,11 @@ def linear(column: str, p: float) -> Column:
     return F.percentile(F.col(column), F.lit(p))
 
 
+def gib(column: str | Column, digits: int = 6) -> Column:
+    """Bytes as GiB."""
+    return F.round((F.col(column) if isinstance(column, str) else column) / 2**30, digits)
+
+
 def strict_sum(column: str | Column) -> Column:
     """Sum that is null as soon as one value is missing."""
     c = F.col(column) if isinstance(column, str) else column

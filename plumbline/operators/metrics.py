@@ -149,3 +149,20 @@ def by_sets(rows: DataFrame, sets: list[tuple[str, ...]], *measures: Column) ->
     grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
     level = F.concat_ws("+", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
     return grouped.agg(F.coalesce(F.nullif(level, F.lit("")), F.lit("all")).alias("level"), *measures)
+
+
+def judge_results(rows: DataFrame) -> DataFrame:
+    """One row over results (expected, predicted, status, attempts): accuracy, parse failures and retries; failures stay in the denominators."""
+    ok = F.col("status") == "ok"
+    s = rows.agg(F.count("*").alias("facts"), F.count_if(ok & (F.col("expected") == F.col("predicted"))).alias("correct"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failures"), F.count_if(F.col("attempts") > 1).alias("retried"))
+    return s.select("*", *[ratio(F.col(a), F.col("facts")).alias(b) for a, b in (("correct", "accuracy"), ("failures", "parse_failure_rate"), ("retried", "retry_rate"))])
+
+
+def performance(calls: DataFrame, stories: DataFrame, wall_seconds: float) -> DataFrame:
+    """One row: median first token, output rate weighted by time, story latency by rank, stories a second.
+
+    calls: ttft, output_tokens, decode; stories: seconds.
+    """
+    c = calls.agg(F.round(F.median("ttft"), 6).alias("ttft_median"), ratio(F.sum("output_tokens"), F.sum("decode")).alias("decode_rate"))
+    t = stories.agg(F.count("*").alias("stories"), F.round(F.median("seconds"), 6).alias("latency_median"), F.round(nearest_rank("seconds", 0.95), 6).alias("latency_p95"))
+    return c.join(F.broadcast(t)).withColumn("stories_per_second", ratio(F.col("stories"), F.lit(wall_seconds)))

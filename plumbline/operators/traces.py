@@ -110,7 +110,7 @@ def retry_audit(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     A call of the judge repeats rows of a batch; an extractor's repeat is told by what the attempt before it in its window said.
     """
     w = Window.partitionBy("case_id", "window_id").orderBy("pos")
-    last = {f"p_{c}": F.lag(c).over(w) for c in ("error", "error_type", "raw_output")}
+    last = {f"p_{c}": F.lag(c).over(w) for c in ("error", "error_type")} | {"p_raw_output": F.lag("raw_output", 1, "no attempt before").over(w)}
     a = attempts.withColumns(last).where("call_id IS NOT NULL").select("call_id", "case_id", "purpose", *last)
     rows = calls.where("is_retry").join(a, "call_id")
     category = rules.call_retry_class(F.col("component"), F.coalesce("purpose", F.lit("")), F.col("p_error"), F.coalesce("p_error_type", F.lit("")), F.col("p_raw_output"))

@@ -414,3 +414,23 @@ _replies(
     ["error", "status", "text", "time"],
     lambda d: d.select("event_id", F.explode(F.array(wire.decoded_records(F.col("v"), F.lit(STORY), _spans()))).alias("p")).select("event_id", "p.error", "p.status", F.get("p.records", 0).text.alias("text"), F.get("p.records", 0).time.alias("time")),
 )
+
+_RUN = {"case_id": "c", "system": "baseline", "status": "ok", "result": {}, "stage_metrics": {s: {"seconds": 1.5} for s in contracts.STAGES}}
+_replies(
+    "run_rows",
+    "Rows of runs.",
+    [
+        (_RUN, None),
+        (_with(_RUN, case_id=""), "case_id"),
+        (_with(_RUN, system="other"), "system"),
+        (_with(_RUN, status="done"), "status"),
+        (_with(_RUN, result=[]), "result"),
+        (_with(_RUN, stage_metrics__judge=KeyError), "stages"),
+        (_with(_RUN, stage_metrics__judge__seconds=-1), "judge seconds"),
+        (_with(_RUN, stage_metrics__total__seconds="1"), "total seconds"),
+        (_with(_RUN, stage_metrics__report__seconds=True), "report seconds"),
+        ([1], "object"),
+    ],
+    ["error"],
+    lambda d: d.withColumn("error", contracts.run_row_error(F.col("v"))),
+)

@@ -168,7 +168,7 @@ def cost_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ATTEMPTS}
 SELECT call_id, CASE WHEN event_id % 4 = 0 THEN 'judge' ELSE 'extractor' END AS component, CASE WHEN event_id % 4 = 0 THEN 'BATCH_ROW_RETRY' WHEN purpose = 'recover_missing_targets' THEN 'MISSING_TARGET_COVERAGE'
-  WHEN pos = 1 THEN 'EMPTY_OUTPUT' WHEN p_error = '只能引用' THEN 'INVALID_FIELD_OR_REFERENCE' ELSE 'OTHER' END AS category,
+  WHEN p_error = '只能引用' THEN 'INVALID_FIELD_OR_REFERENCE' ELSE 'OTHER' END AS category,
   CASE WHEN event_id % 4 = 0 THEN 'judge_row_retry' WHEN purpose = 'recover_missing_targets' THEN 'coverage_recovery' ELSE 'failed_attempt' END AS kind FROM x WHERE event_id % 3 = 0""")
 def retry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.retry_audit(*_attempts(spark, sf_dir)).select("call_id", "component", "category", "kind")

@@ -117,3 +117,81 @@ def test_queries_of_facts_and_reports(spark):
     assert {r.rule for r in reports.input_problems(bad).collect()} == {"id", "actors", "event", "modality", "explicit", "conditions"}
     m = reviews.mapping_problems(spark.createDataFrame([("c", "G1", "E1"), ("c", "G2", "E2")], "case_id string, gold_id string, event_id string"), spark.createDataFrame([("c", "G1")], "case_id string, gold_id string"), spark.createDataFrame([("c", "E2")], "case_id string, event_id string"))
     assert sorted((r.gold_id, r.rule) for r in m.collect()) == [("G1", "event"), ("G2", "gold")]
+
+
+def test_replies_are_held_against_their_contract(spark):
+    from plumbline.functions import contracts
+    from plumbline.streaming import batching
+
+    def model(prompts):
+        good = json.dumps({"verdict": "一致", "evidence": ["E1"], "reason": "r"})
+        return [(good if p == "good" else "no json", None) for p in prompts]
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad")], "id long, prompt string")
+    evidence = F.array(F.struct(F.lit("c").alias("id"), F.lit("t").alias("text")))
+    got = {r.id: (r.error, r.attempt) for r in batching.ask(rows, model, lambda v: contracts.world_verdict_error(v, evidence)).collect()}
+    assert got == {1: (None, 1), 2: ("fields", 2)}
+
+
+def test_texts_are_encoded(spark):
+    import numpy as np
+
+    from plumbline.streaming import batching
+
+    def encoder(texts):
+        return np.array([[len(t), 3.0] for t in texts])
+
+    rows = spark.createDataFrame([(1, "four"), (2, "")], "id long, t string")
+    got = {r.id: r.embedding for r in batching.encode(rows.where("id = 1"), "t", encoder, 1).collect()}
+    assert [round(x, 6) for x in got[1]] == [0.8, 0.6]
+    assert len(batching.encode(rows, "t", encoder, prefix="q: ").collect()) == 2
+
+
+def test_runs(spark, tmp_path):
+    from plumbline.operators import metrics, runs
+
+    cases = spark.createDataFrame([("b",), ("a",)], "case_id string")
+    config = {"system": "candidate", "retrieval": "hybrid", "contract": "joint"}
+    assert runs.run_identity("d", config, cases) == runs.run_identity("d", config, cases.orderBy("case_id")) != runs.run_identity("e", config, cases)
+    with pytest.raises(ValueError, match="repeated case"):
+        runs.run_identity("d", config, cases.union(cases))
+    with pytest.raises(ValueError, match="no such system"):
+        runs.run_identity("d", {**config, "retrieval": "dense"}, cases)
+    path = f"file://{tmp_path}/manifest.json"
+    assert [runs.ensure_manifest(spark, path, {"a": 1}), runs.ensure_manifest(spark, path, {"a": 1})] == [False, True]
+    with pytest.raises(ValueError, match="another run"):
+        runs.ensure_manifest(spark, path, {"a": 2})
+    runs.enough_space(spark, f"file://{tmp_path}", 1)
+    with pytest.raises(OSError):
+        runs.enough_space(spark, f"file://{tmp_path}", 2**60)
+    a = runs.arms(spark, batch=[1, 8], ngram=[2])
+    assert sorted(r.arm for r in a.collect()) == ["batch1-ngram2", "batch8-ngram2"]
+    assert runs.arm_table(a, spark.createDataFrame([("batch1-ngram2", 5)], "arm string, n int")).where("n IS NULL").count() == 1
+    e = spark.createDataFrame([(1,), (2,)], "x int")
+    out = runs.paired(e, {"r1": lambda d: d, "r2": lambda d: d.where("x = 1")}, {"j1": lambda d: d.withColumn("v", F.lit("a")), "j2": lambda d: d.withColumn("v", F.lit("b"))})
+    assert {(r.retrieval, r.judge): r["count"] for r in out.groupBy("retrieval", "judge").count().collect()} == {("r1", "j1"): 2, ("r1", "j2"): 2, ("r2", "j1"): 1, ("r2", "j2"): 1}
+    rows = spark.createDataFrame([("a", ("x", 1.0)), ("b", ("x", 2.0))], "case_id string, r struct<said: string, seconds: double>")
+    ref = runs.quality_reference(rows, runs.semantic_digest(F.col("r"), "seconds"))
+    assert ref.select("digest").distinct().count() == 1
+    assert [n for n, _ in runs.admission_orders("t", ("a",), ("b",))] == ["alone", "first", "last", "other"]
+    trace = lambda *v: spark.createDataFrame(list(enumerate(v)), "step int, token string")
+    assert {(r.left, r.right): r.step for r in runs.divergences({"x": trace("a", "b"), "y": trace("a", "c"), "z": trace("a", "b")}, "step", "token").collect()} == {("x", "y"): 1, ("x", "z"): None, ("y", "z"): 1}
+    results = spark.createDataFrame([("c", "c", "ok", 1), ("c", None, "error", 2)], "expected string, predicted string, status string, attempts int")
+    assert tuple(metrics.judge_results(results).first()) == (2, 1, 1, 1, 0.5, 0.5, 0.5)
+    p = metrics.performance(spark.createDataFrame([(1.0, 10, 2.0), (3.0, 10, 2.0)], "ttft double, output_tokens int, decode double"), spark.createDataFrame([(4.0,), (6.0,)], "seconds double"), 5.0).first()
+    assert (p.ttft_median, p.decode_rate, p.latency_p95, p.stories_per_second) == (2.0, 5.0, 6.0, 0.4)
+    schema = wire.event_schema()
+    assert schema["required"] == ["events", "ignored_spans", "non_event_span_ids"] and schema["properties"]["events"]["items"]["additionalProperties"] is False
+
+
+def test_commands(spark, tmp_path, capsys):
+    from plumbline import cli
+
+    (tmp_path / "lore").mkdir()
+    (tmp_path / "lore" / "a.md").write_text("# 人物\n## 安娜\n### x\n\n安娜会飞。\n\n# other\n\nplain text", encoding="utf-8")
+    folder = f"file://{tmp_path}/index"
+    assert cli.main(["index", f"file://{tmp_path}/lore", folder, "--most", "100"]) == 0
+    assert cli.main(["search", folder, "安娜", "-k", "1"]) == 0 and cli.main(["inspect", folder]) == 0
+    said = capsys.readouterr().out
+    assert "a.md:5" in said and "domain character: 1 (0.5)" in said
+
