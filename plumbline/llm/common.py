@@ -44,6 +44,21 @@ def settled(docs: DataFrame, label: str) -> DataFrame:
     return store(docs, label) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
+class Memory(dict):
+    """What a function makes of words, remembered by a Python worker: of up to ``most`` words of up to ``longest`` characters."""
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, word):
+        value = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
+        return value
+
+
 #: Rows of an Arrow batch where texts go to Python workers: a batch of long ones must fit beside the work on them.
 BATCH_ROWS = 1_000
 
