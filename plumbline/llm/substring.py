@@ -12,12 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, drop, row_name, store
+from plumbline.llm.common import WORD, Memory, drop, row_name, store
 
 #: Words of a window, words of an anchor.
 WINDOW, ANCHOR = 35, 8
-#: Words remembered by a Python worker, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Words remembered by a Python worker.
+CACHE_WORDS = 300_000
 #: Different segments of an anchor up to which they make one automaton; windows of the rest are counted.
 MOST_IN_SHARD = 2_000
 #: Words of documents that are cut into segments together.
@@ -25,20 +25,11 @@ CUT_WORDS = 400_000
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _words = re.compile(WORD).findall
-_known: dict[str, int] = {}
+_known = Memory(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), CACHE_WORDS)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    known = _known
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    try:
-        return np.array([known[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        rare: dict[str, int] = {}
-        for w in set(words).difference(known):
-            (known if len(w) <= CACHE_LENGTH else rare)[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.array([rare[w] if w in rare else known[w] for w in words] if rare else [known[w] for w in words], dtype=np.uint64)
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def split_words(text: str | None) -> list[str]:
