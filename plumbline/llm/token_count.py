@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD
+from plumbline.llm.common import WORD, Memory
 
 WORD_MARK = "▁"
 #: Words remembered by a Python worker between batches; the memory is emptied when it is full.
@@ -99,24 +99,15 @@ _words = re.compile(WORD).findall
 
 
 @lru_cache(maxsize=4)
-def _memory(vocabulary: str) -> dict[str, int]:
-    return {}
+def _memory(vocabulary: str) -> Memory:
+    match = automaton(vocabulary)
+    return Memory(lambda word: match.count(WORD_MARK + word), CACHE_WORDS)
 
 
 def count_text(text: str | None, vocabulary: str) -> tuple[int, int]:
     """Words and tokens of one text."""
-    if not text:
-        return 0, 0
-    words, known, match = _words(text), _memory(vocabulary), automaton(vocabulary)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    total = 0
-    for w in words:
-        n = known.get(w)
-        if n is None:
-            n = known[w] = match.count(WORD_MARK + w)
-        total += n
-    return len(words), total
+    words = _words(text or "")
+    return len(words), sum(map(_memory(vocabulary).__getitem__, words))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
