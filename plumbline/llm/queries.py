@@ -69,6 +69,16 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT x AS vec_id, any_value(coalesce(n, 0)) AS n_links, min(y) AS component_id, min(y) = x AS kept FROM reach LEFT JOIN n ON a = x GROUP BY x
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -80,6 +90,18 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM d),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON x = doc_id
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -171,6 +193,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat": OP1_SQL,
+    "op3_embedding_dedup": OP3_SQL,
+    "op5_near_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
 }
