@@ -1,4 +1,4 @@
-"""The ten registered queries; each reads its rows back from its operator's output."""
+"""The registered queries; each reads its rows back from its operator's output."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import chat, decontam, grid_join, kneser_ney, minhash, mixing, sharding, sstable, substring, token_count
+from plumbline.llm import alignment, chat, decontam, fingerprints, grid_join, kneser_ney, minhash, mixing, prefix_trie, sharding, sstable, substring, token_count
 from plumbline.llm.common import table
 
 PROBE = -7
@@ -179,6 +179,65 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of those with equal texts up to white space."""
+    return fingerprints.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST)
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, over all documents."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# crc32 by its bitwise rule, since DuckDB has no such function; each node meets the nodes above it by (conversation, depth).
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS i, x, b FROM (
+    SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL)
+), bits AS (
+  SELECT DISTINCT c, 0 AS k, CAST(4294967295 AS BIGINT) AS crc FROM t
+  UNION ALL
+  SELECT c, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+  FROM (SELECT c, k, CASE WHEN k % 8 = 0 THEN xor(crc, CAST(ascii(substr(CAST(c AS VARCHAR), k // 8 + 1, 1)) AS BIGINT)) ELSE crc END AS v FROM bits WHERE k < 8 * length(CAST(c AS VARCHAR)))
+), h AS (
+  SELECT c, xor(crc, 4294967295) % 9 AS h FROM bits WHERE k = 8 * length(CAST(c AS VARCHAR))
+), raw AS (
+  SELECT h.c, 0 AS own, i, x, b FROM h JOIN t ON t.c = h.c - h.c % 5 AND i <= h
+  UNION ALL SELECT h.c, 1, i, x, b FROM h JOIN t ON t.c = h.c AND i > h
+), seq AS (
+  SELECT c, row_number() OVER w AS d, b, string_agg(x, '') OVER (w ROWS UNBOUNDED PRECEDING) AS p FROM raw WINDOW w AS (PARTITION BY c ORDER BY own, i)
+), all_at AS (
+  SELECT c, d, b, p FROM seq UNION ALL SELECT c, 0, 0, '' FROM h
+), deepest AS (
+  SELECT c, max(d) AS d FROM all_at GROUP BY c
+), node AS (
+  SELECT p, d, any_value(b) AS b, min(c) AS c, count(*) AS n FROM all_at GROUP BY p, d
+), up AS (
+  SELECT y.p, a.p AS above FROM node y JOIN all_at a ON a.c = y.c AND a.d <= y.d
+), below AS (
+  SELECT y.p, count(*) AS kids, y.d FROM node y JOIN node k ON k.d = y.d + 1 AND left(k.p, 32 * y.d) = y.p GROUP BY y.p, y.d
+), sums AS (
+  SELECT above AS p, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * b) AS saved FROM up JOIN node USING (p) LEFT JOIN below USING (p) GROUP BY above
+), ends AS (
+  SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e FROM all_at JOIN deepest USING (c, d) GROUP BY p
+)
+SELECT node.c AS conv_id, CAST(node.d AS BIGINT) AS depth, (SELECT m.c FROM node m WHERE m.d = node.d - 1 AND m.p = left(node.p, 32 * (node.d - 1))) AS parent_conv_id,
+  n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM node LEFT JOIN below USING (p) JOIN sums USING (p) LEFT JOIN ends USING (p)
+"""
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -190,6 +249,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_alignment": op12_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_chat": OP1_SQL,
@@ -197,4 +259,6 @@ ORACLES = {
     "op5_near_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
