@@ -3,34 +3,53 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Memory, small_batches, store
+from plumbline.llm.common import small_batches, store
 
-#: Units (words with the spaces before them) remembered by a Python worker.
-CACHE_UNITS = 300_000
+#: Characters of a text that are encoded at a time, up to the next place where both tokenizers start anew.
+PIECE = 1 << 16
+#: Names of groups remembered by a Python worker.
+CACHE_NAMES = 500_000
 #: A group in more than this part of all (document, group) rows is broadcast; there can be HOT_PARTS such groups at most.
 HOT_PARTS = 100_000
 
 #: What a cut before a space must not follow: white space, controls and other characters that engines class differently.
 _ODD = r"\s\x00-\x20\x7f-\xa0\xad\u0600-\u0605\u061c\u06dd\u070f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff\ufff0-\uffff"
-_odd = re.compile(f"[{_ODD}](?: |\\Z)").search
-_cut = re.compile(f"(?<=[^{_ODD}])(?= )").split
+_place = re.compile(f"(?<=[^{_ODD}]) ").search
+#: Texts of these characters, whose classes no Unicode version and no engine tells apart.
+_plain = re.compile("[\\t\\n\\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
+_gap = re.compile(r"\s{1000}").search
+# Fixed value: how byte-level tokenizers of the usual make cut a text before they pair.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class _Names(dict):
+    """The text of a group, by both ids in one number if it has one A and one B token, else by both lists of ids."""
+
+    def __missing__(self, ids: int | tuple[tuple, tuple]) -> str:
+        if len(self) >= CACHE_NAMES:
+            self.clear()
+        name = f"{ids >> 32}|{ids & 0xFFFFFFFF}" if isinstance(ids, int) else "|".join(",".join(map(str, x)) for x in ids)
+        self[ids] = name
+        return name
 
 
 class TwoTokenizers:
     """Token ids of a text by a byte-level tokenizer (A) and by pieces with byte fallback (B), and the groups they form.
 
-    A splits a text before every space that follows other characters, before it pairs, and no piece of B has a space after
-    another character. So a text's tokens are those of its units: a word with the spaces before it. Units are encoded
-    once and remembered. Where B has such a piece, a text is one unit.
+    A long text is encoded in pieces: A splits a text before every space that follows other characters, before it pairs, and
+    where no piece of B has a space after another character, B does not join over it either. Where A is of the usual make, plain
+    texts go to the faster of two libraries that pair by the same merges.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -41,48 +60,80 @@ class TwoTokenizers:
         self.a.encode_special_tokens = True
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
         shown = {chr(256 + i): b for i, b in enumerate(odd)} | {chr(b): b for b in range(256) if b not in odd}
-        self.bytes_a = {i: bytes(map(shown.__getitem__, t)) if all(c in shown for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        bytes_a = {i: bytes(map(shown.__getitem__, t)) if all(c in shown for c in t) else t.encode() for t, i in vocabulary.items()}
+        self.bytes_a = [bytes_a.get(i, b"") for i in range(max(bytes_a) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
         self.space = self.b.piece_to_id("▁")
-        self.units = Memory(self._unit, CACHE_UNITS)
-
-    def _unit(self, unit: str) -> tuple | None:
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.fast = self._faster(path_a, vocabulary, shown)
+        self.names = _Names()
+
+    @staticmethod
+    def _faster(path: str, vocabulary: dict[str, int], shown: dict[str, int]):
+        """The same tokenizer from ranks, if it cuts texts by the usual pattern alone and its ids are in the order of its merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        before, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges") or []]
+        ids = [vocabulary.get(m.replace(" ", ""), -1) for m in merges]
+        usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type") == "BPE"
+        if not usual or made.get("normalizer") or made.get("post_processor") or not ids or ids != sorted(set(ids)) or ids[0] < 256:
+            return None
+        added = {t["content"] for t in made.get("added_tokens") or []}
+        ranks = {bytes(map(shown.__getitem__, t)): i for t, i in vocabulary.items() if t not in added}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        start = 0
+        while self.apart and len(text) - start > PIECE and (found := _place(text, start + PIECE)):
+            yield text[start : found.start()]
+            start = found.start()
+        yield text[start:]
+
+    def _groups(self, piece: str) -> tuple[int, int, list[str]] | None:
         """n_a, n_b, groups of a text that begins with a space; None if the bytes of either side differ from it."""
-        a = self.a.encode(unit, add_special_tokens=False).ids
-        b = self.b.encode(unit[1:]) if unit != " " else [self.space]
-        left, right = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(left) == b"".join(right) == unit.encode():
+        data = piece.encode()
+        if self.fast and _plain(piece) and not _gap(piece):
+            a = np.array(self.fast.encode_ordinary(piece), dtype=np.int64)
+        else:
+            a = np.array(self.a.encode(piece, add_special_tokens=False).ids, dtype=np.int64)
+        b = np.array(self.b.encode(piece[1:]) if piece != " " else [self.space], dtype=np.int64)
+        in_a, in_b = a.tolist(), b.tolist()
+        if not b"".join(map(self.bytes_a.__getitem__, in_a)) == b"".join(map(self.bytes_b.__getitem__, in_b)) == data:
             return None
-        groups, i, j = [], 0, 0
-        while i < len(a):
-            begun, other, ahead = i, j, len(left[i])  # ahead: bytes by which A is further than B
-            i += 1
-            while ahead or j == other:
-                if ahead > 0 or j == other:
-                    ahead, j = ahead - len(right[j]), j + 1
-                else:
-                    ahead, i = ahead + len(left[i]), i + 1
-            groups.append(",".join(map(str, a[begun:i])) + "|" + ",".join(map(str, b[other:j])))
-        return len(a), len(b), groups, ";".join(groups)
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        at = np.searchsorted(ends_b, ends_a)  # both end with the text
+        last_a = np.flatnonzero(ends_b[at] == ends_a)
+        last_b = at[last_a]
+        first_a, first_b = (np.concatenate([[0], x[:-1] + 1]) for x in (last_a, last_b))
+        keys = (a[last_a] << 32 | b[last_b]).tolist()
+        longer = np.flatnonzero((first_a < last_a) | (first_b < last_b))
+        for k, i, j, m, n in zip(*(x.tolist() for x in (longer, first_a[longer], last_a[longer], first_b[longer], last_b[longer])), strict=True):
+            keys[k] = (tuple(in_a[i : j + 1]), tuple(in_b[m : n + 1]))
+        names = list(map(self.names.__getitem__, keys))
+        return len(a), len(b), names
 
     def align(self, text: str | None) -> tuple[int, int, int, str, dict[str, int]]:
         """n_a, n_b, n_groups, digest of all groups in order, and how often each group occurs."""
-        none = (0, 0, 0, "", {})
-        if not text:
-            return none
-        units = [" " + text] if not self.apart else _cut(" " + text) if _odd(" " + text) else [" " + w for w in text.split(" ")]
-        looked = list(map(self.units.__getitem__, units))
-        if None in looked:
-            return none
-        tally: Counter[str] = Counter()
-        for unit, n in Counter(units).items():
-            for g in self.units[unit][2]:
-                tally[g] += n
-        digest = hashlib.sha256(";".join(x[3] for x in looked).encode()).hexdigest()
-        return sum(x[0] for x in looked), sum(x[1] for x in looked), sum(len(x[2]) for x in looked), digest, tally
+        n_a, n_b, tally, digest = 0, 0, Counter(), None
+        for piece in self._pieces(" " + text) if text else ():
+            found = self._groups(piece)
+            if found is None:
+                return 0, 0, 0, "", {}
+            n_a, n_b = n_a + found[0], n_b + found[1]
+            tally.update(found[2])
+            if digest is None:
+                digest = hashlib.sha256()
+            else:
+                digest.update(b";")
+            digest.update(";".join(found[2]).encode())
+        return n_a, n_b, tally.total(), digest.hexdigest() if digest else "", tally
 
 
 @lru_cache(maxsize=2)

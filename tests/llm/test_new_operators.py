@@ -72,11 +72,16 @@ def brute_groups(text, a, b):
     for side in (bytes_a, bytes_b):
         total = 0
         ends.append([total := total + len(x) for x in side])
-    both = sorted(set(ends[0]) & set(ends[1]))
-    groups, start = [], 0
-    for e in both:
-        groups.append(tuple(tuple(i for i, x in zip(ids, at, strict=True) if start < x <= e) for ids, at in zip((left.ids, ids_b), ends, strict=True)))
-        start = e
+    both = set(ends[0]) & set(ends[1])
+    cut = []
+    for ids, at in zip((left.ids, ids_b), ends, strict=True):
+        runs = [[]]
+        for i, x in zip(ids, at, strict=True):
+            runs[-1].append(i)
+            if x in both:
+                runs.append([])
+        cut.append([tuple(r) for r in runs[:-1]])
+    groups = list(zip(*cut, strict=True))
     return groups
 
 
