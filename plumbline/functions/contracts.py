@@ -1,6 +1,6 @@
 """What answers, findings, labels and records must satisfy, and what becomes of valid ones.
 
-Each contract is a list of named rules over a reply (a variant) and what it was asked about; the first
+Each contract is a list of named rules over a reply (typed, see replies, or a variant) and what it was asked about; the first
 broken one is its error. Rules are Catalyst expressions, so replies of all contracts are checked in one scan.
 """
 
@@ -65,123 +65,131 @@ def _known(label: Column, evidence: Column, letter: str = "L") -> Column:
     return S.yes(_number(label, letter) <= F.size(evidence))
 
 
-def answer_rules(v: Column, evidence: Column, contract: Contract) -> S.Rules:
-    """Rules of an answer over its evidence: array of struct(id, text)."""
-    rules: S.Rules = [("fields", S.has_keys(v, contract.fields)), ("verdict", S.one_of(v, "$.verdict", contract.verdicts))]
+def _exactly(keys: Column, need: tuple[str, ...]) -> Column:
+    """Whether an object has all these keys and no others; null keys are those of no object."""
+    return S.yes((F.size(keys) == len(need)) & (F.size(F.array_except(F.array(*[F.lit(k) for k in need]), keys)) == 0))
+
+
+def _filled(texts: Column) -> Column:
+    """Whether a list has only texts that hold more than white space."""
+    return S.yes(F.forall(texts, lambda x: S.filled(x)))
+
+
+def answer_rules(a: Column, evidence: Column, contract: Contract) -> S.Rules:
+    """Rules of an answer (see replies.answer) over its evidence: array of struct(id, text)."""
+    rules: S.Rules = [("fields", _exactly(a["keys"], contract.fields)), ("verdict", S.yes(a["verdict"].isin(*contract.verdicts)))]
     sure = contract.verdicts[-1] if contract.verdicts == SAID else "uncertain"
     if contract.reason:
-        limit = F.length(S.text(v, "$.reason")) <= contract.reason if contract.reason > 0 else F.lit(True)
-        rules.append(("reason", S.is_text(v, "$.reason") & limit))
+        limit = F.length(a["reason"]) <= contract.reason if contract.reason > 0 else F.lit(True)
+        rules.append(("reason", S.filled(a["reason"]) & limit))
     if contract.flags:
         held = "assumptions_required" if contract.assumptions == "flag" else "assumptions"
-        rules.append(("assessment", S.has_keys(v, (*contract.flags, "relation", held), path="$.assessment")))
-        rules += [(flag, S.is_flag(v, f"$.assessment.{flag}", or_null=True)) for flag in contract.flags]
-        rules.append(("relation", S.one_of(v, "$.assessment.relation", judging.RELATIONS)))
-        rules.append((held, S.is_flag(v, f"$.assessment.{held}") if contract.assumptions == "flag" else S.is_texts(v, f"$.assessment.{held}")))
-    decided = S.text(v, "$.verdict") != sure
+        rules.append(("assessment", _exactly(a["held"], (*contract.flags, "relation", held))))
+        rules += [(flag, S.yes(a[flag].isin("true", "false", "null"))) for flag in contract.flags]
+        rules.append(("relation", S.yes(a["relation"].isin(*judging.RELATIONS))))
+        rules.append((held, S.yes(a[held].isin("true", "false")) if contract.assumptions == "flag" else _filled(a[held])))
+    decided = a["verdict"] != sure
     if contract.cites == "quotes":
-        cited = S.rows(v, "$.citations")
-        label = lambda c: S.text(c, "$.evidence_id")
-        labels = F.transform(cited, label)
-        told = lambda c: F.try_element_at(evidence, F.coalesce(_number(label(c)), F.lit(1))).text
-        quoted = lambda c: S.is_text(c, "$.quote") & F.contains(told(c), S.text(c, "$.quote"))
+        cited = a["citations"]
+        labels = F.transform(cited, lambda c: c.label)
+        told = lambda c: F.try_element_at(evidence, F.coalesce(_number(c.label), F.lit(1))).text
         rules += [
-            ("citations", S.is_list(v, "$.citations") & (F.size(cited) <= F.size(evidence))),
+            ("citations", S.yes(F.size(cited) <= F.size(evidence)) & cited.isNotNull()),
             ("missing citation", ~S.yes(decided) | (F.size(cited) > 0)),
-            ("citation fields", F.forall(cited, lambda c: S.has_keys(c, ("evidence_id", "quote")))),
+            ("citation fields", F.forall(cited, lambda c: _exactly(c["keys"], ("evidence_id", "quote")))),
             ("citation label", F.forall(labels, lambda x: _known(x, evidence)) & (F.size(F.array_distinct(labels)) == F.size(labels))),
-            ("citation quote", F.forall(cited, lambda c: S.yes(quoted(c)))),
+            ("citation quote", F.forall(cited, lambda c: S.yes(S.filled(c.quote) & F.contains(told(c), c.quote)))),
         ]
         return rules
-    ids = S.texts(v, "$.evidence_ids")
+    ids = a["ids"]
     known = (lambda x: _known(x, evidence)) if contract.cites == "labels" else (lambda x: F.exists(evidence, lambda e: e.id == x))
     rules += [
-        ("evidence_ids", S.yes(S.kind(v, "$.evidence_ids").isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(ids, lambda x: x.isNotNull()) & (F.size(F.array_distinct(ids)) == F.size(ids)))),
+        ("evidence_ids", S.yes(F.forall(ids, lambda x: x.isNotNull()) & (F.size(F.array_distinct(ids)) == F.size(ids)))),
         ("evidence label", F.forall(ids, lambda x: S.yes(known(x)))),
         ("missing citation", ~S.yes(decided) | (F.size(ids) > 0)),
     ]
     return rules
 
 
-def assessment(v: Column) -> Column:
-    """The assessment of an answer as a typed struct; null if it has none."""
-    flag = lambda name: F.try_variant_get(v, f"$.assessment.{name}", "boolean").alias(name)
-    required = F.when(F.try_variant_get(v, "$.assessment.assumptions_required", "boolean"), F.array(F.lit("required")))
-    held = F.coalesce(S.texts(v, "$.assessment.assumptions"), required, F.array().cast("array<string>"))
-    return F.when(S.kind(v, "$.assessment").startswith("OBJECT<"), F.struct(*[flag(n) for n in _JOINT], S.text(v, "$.assessment.relation").alias("relation"), held.alias("assumptions")))
+def assessment(a: Column) -> Column:
+    """The assessment of an answer with flags as booleans; null if it has none."""
+    flag = lambda name: F.when(a[name].isin("true", "false"), a[name] == "true").alias(name)
+    required = F.when(a["assumptions_required"] == "true", F.array(F.lit("required")))
+    held = F.coalesce(a["assumptions"], required, F.array().cast("array<string>"))
+    return F.when(a["held"].isNotNull(), F.struct(*[flag(n) for n in _JOINT], a["relation"].alias("relation"), held.alias("assumptions")))
 
 
-def final_answer(v: Column, evidence: Column, contract: Contract) -> Column:
-    """struct(error, verdict, model_verdict, guard_reason, origin, chunk_ids) of an answer.
+def final_answer(a: Column, evidence: Column, contract: Contract) -> Column:
+    """struct(error, verdict, model_verdict, guard_reason, origin, chunk_ids) of an answer (see replies.answer).
 
     An invalid answer has its error and nothing else. An unproven verdict becomes uncertain where the contract has an assessment.
     """
-    error = S.first_broken(answer_rules(v, evidence, contract))
-    guarded = judging.guard(S.text(v, "$.verdict"), assessment(v), "can_both_be_true" in contract.flags)
-    labels = F.transform(S.rows(v, "$.citations"), lambda c: S.text(c, "$.evidence_id")) if contract.cites == "quotes" else S.texts(v, "$.evidence_ids")
+    guarded = judging.guard(a["verdict"], assessment(a), "can_both_be_true" in contract.flags)
+    labels = F.transform(a["citations"], lambda c: c.label) if contract.cites == "quotes" else a["ids"]
     chunks = labels if contract.cites == "ids" else F.transform(labels, lambda x: F.try_element_at(evidence, F.coalesce(_number(x), F.lit(1))).id)
-    ok = error.isNull()
-    return F.struct(
-        error.alias("error"),
-        F.when(ok, guarded.verdict).alias("verdict"),
-        F.when(ok, guarded.model_verdict).alias("model_verdict"),
-        F.when(ok, guarded.guard_reason).alias("guard_reason"),
-        F.when(ok, F.when(guarded.guard_reason.isNotNull(), "program_scope_guard").otherwise("model")).alias("origin"),
-        F.when(ok, chunks).alias("chunk_ids"),
-    )
+
+    def made(parts: Column) -> Column:
+        ok, g = parts.error.isNull(), parts.guarded
+        return F.struct(
+            parts.error.alias("error"),
+            F.when(ok, g.verdict).alias("verdict"),
+            F.when(ok, g.model_verdict).alias("model_verdict"),
+            F.when(ok, g.guard_reason).alias("guard_reason"),
+            F.when(ok, F.when(g.guard_reason.isNotNull(), "program_scope_guard").otherwise("model")).alias("origin"),
+            F.when(ok, chunks).alias("chunk_ids"),
+        )
+
+    # As a lambda's variable, error and guard are computed once for all fields.
+    return S.let(F.struct(S.first_broken(answer_rules(a, evidence, contract)).alias("error"), guarded.alias("guarded")), made)
 
 
-def proof_error(v: Column, evidence: Column) -> Column:
-    """Error of a joint answer that must prove its verdict by itself, without a guard after it."""
-    a, verdict = assessment(v), S.text(v, "$.verdict")
+def proof_error(a: Column, evidence: Column) -> Column:
+    """Error of a joint answer (see replies.answer) that must prove its verdict by itself, without a guard after it."""
+    held, verdict = assessment(a), a["verdict"]
     return S.first_broken(
         [
-            *answer_rules(v, evidence, CONTRACTS["joint"]),
-            ("unproven conflict", (verdict != "contradiction") | judging.proven(a, "direct_conflict", False)),
-            ("unproven support", (verdict != "consistent") | judging.proven(a, "direct_support", True)),
+            *answer_rules(a, evidence, CONTRACTS["joint"]),
+            ("unproven conflict", (verdict != "contradiction") | judging.proven(held, "direct_conflict", False)),
+            ("unproven support", (verdict != "consistent") | judging.proven(held, "direct_support", True)),
         ]
     )
 
 
-def findings_error(v: Column, source: Column, evidence: Column, labelled: bool = False) -> Column:
-    """Error of a reply with findings about a source text; evidence is array of struct(id, text).
+def findings_error(r: Column, source: Column, evidence: Column, labelled: bool = False) -> Column:
+    """Error of a reply with findings (see replies.findings) about a source text; evidence is array of struct(id, text).
 
     Quotes must stand in the source and in the evidence that they name: by id, or by E1.. if ``labelled``.
     """
-    found = S.rows(v, "$.findings")
+    found = r["findings"]
     every = lambda f: F.forall(found, lambda x: S.yes(f(x)))
-    cited = lambda x: S.rows(x, "$.evidence")
-    name = lambda c: S.text(c, "$.chunk_id")
     if labelled:
-        text_of = lambda c: F.try_element_at(evidence, F.coalesce(_number(name(c), "E"), F.lit(1))).text
-        known = lambda c: _known(name(c), evidence, "E")
+        text_of = lambda c: F.try_element_at(evidence, F.coalesce(_number(c.label, "E"), F.lit(1))).text
+        known = lambda c: _known(c.label, evidence, "E")
     else:
-        text_of = lambda c: F.get(F.filter(evidence, lambda e: e.id == name(c)), 0).text
-        known = lambda c: F.exists(evidence, lambda e: e.id == name(c))
-    verdict = lambda x: S.text(x, "$.verdict")
-    offered = lambda x: S.texts(x, "$.new_candidates")
-    only_quote = lambda x: (verdict(x) == SAID[2]) & (F.size(offered(x)) == 1) & (F.get(offered(x), 0) == S.text(x, "$.input_quote"))
+        text_of = lambda c: F.get(F.filter(evidence, lambda e: e.id == c.label), 0).text
+        known = lambda c: F.exists(evidence, lambda e: e.id == c.label)
+    only_quote = lambda x: (x.verdict == SAID[2]) & (F.size(x.new_candidates) == 1) & (F.get(x.new_candidates, 0) == x.input_quote)
     fields = ("input_quote", "verdict", "evidence", "reason", "new_candidates")
     return S.first_broken(
         [
-            ("fields", S.has_keys(v, ("findings",))),
-            ("findings", S.is_list(v, "$.findings") & (F.size(found) > 0)),
-            ("finding fields", every(lambda x: S.has_keys(x, fields))),
-            ("input_quote", every(lambda x: S.is_text(x, "$.input_quote") & F.contains(source, S.text(x, "$.input_quote")))),
-            ("verdict", every(lambda x: S.one_of(x, "$.verdict", SAID))),
-            ("reason", every(lambda x: S.is_text(x, "$.reason"))),
-            ("new_candidates", every(lambda x: S.is_texts(x, "$.new_candidates") & ((F.size(offered(x)) == 0) | S.yes(only_quote(x))))),
-            ("evidence", every(lambda x: S.is_list(x, "$.evidence") & ((verdict(x) == SAID[2]) | (F.size(cited(x)) > 0)))),
-            ("citation fields", every(lambda x: F.forall(cited(x), lambda c: S.has_keys(c, ("chunk_id", "quote"))))),
-            ("citation label", every(lambda x: F.forall(cited(x), lambda c: S.yes(known(c))))),
-            ("citation quote", every(lambda x: F.forall(cited(x), lambda c: S.yes(S.is_text(c, "$.quote") & F.contains(text_of(c), S.text(c, "$.quote")))))),
+            ("fields", _exactly(r["keys"], ("findings",))),
+            ("findings", S.yes(F.size(found) > 0)),
+            ("finding fields", every(lambda x: _exactly(x["keys"], fields))),
+            ("input_quote", every(lambda x: S.filled(x.input_quote) & F.contains(source, x.input_quote))),
+            ("verdict", every(lambda x: x.verdict.isin(*SAID))),
+            ("reason", every(lambda x: S.filled(x.reason))),
+            ("new_candidates", every(lambda x: _filled(x.new_candidates) & ((F.size(x.new_candidates) == 0) | S.yes(only_quote(x))))),
+            ("evidence", every(lambda x: x.evidence.isNotNull() & ((x.verdict == SAID[2]) | (F.size(x.evidence) > 0)))),
+            ("citation fields", every(lambda x: F.forall(x.evidence, lambda c: _exactly(c["keys"], ("chunk_id", "quote"))))),
+            ("citation label", every(lambda x: F.forall(x.evidence, lambda c: S.yes(known(c))))),
+            ("citation quote", every(lambda x: F.forall(x.evidence, lambda c: S.yes(S.filled(c.quote) & F.contains(text_of(c), c.quote))))),
         ]
     )
 
 
-def findings_verdict(v: Column) -> Column:
+def findings_verdict(r: Column) -> Column:
     """The verdict of all findings: 矛盾 before 不确定 before 一致."""
-    said = F.transform(S.rows(v, "$.findings"), lambda x: S.text(x, "$.verdict"))
+    said = F.transform(r["findings"], lambda x: x.verdict)
     return F.when(F.array_contains(said, SAID[1]), SAID[1]).when(F.array_contains(said, SAID[2]), SAID[2]).otherwise(SAID[0])
 
 

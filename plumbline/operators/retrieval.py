@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import DIMENSION_ALIASES, DIMENSIONS
 from plumbline.functions.text import tokenize
+from plumbline.operators import impacts
 from plumbline.operators.lookup import inside
 from plumbline.sources.scratch import scratch
 
-# BM25's saturation and length weight, the fusion constant.
-K1, B, RRF = 1.5, 0.75, 60.0
+# Fixed value: the fusion constant.
+RRF = 60.0
 #: Query vectors and vectors of a block; queries whose blocks are broadcast.
 QUERY_BLOCK, VECTOR_BLOCK, MOST_QUERIES = 512, 16_384, 50_000
 DIGITS = 6
@@ -103,12 +104,6 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
     return top_k(met.mapInPandas(rank, "query_id long, vec_id long, score double"), "query_id", "vec_id", F.col("score"), k)
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """doc, term, tf, dl (tokens of the document)."""
-    t = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
-    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-
-
 def term_statistics(docs: DataFrame) -> DataFrame:
     """term, df, idf over the whole corpus."""
     df = docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -137,19 +132,7 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, k: int, candidates: Data
     """
     asked = queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("t"))
     terms = asked.select("query_id", F.posexplode("t").alias("place", "term"))
-    known = terms.select(F.col("term").alias("__known")).distinct()
-    t = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
-    # The null term stands for the document itself.
-    each = t.select("doc", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("term"))
-    each = each.join(known, F.col("term") == F.col("__known"), "left").where("term IS NULL OR __known IS NOT NULL")
-    found = scratch(each.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    size = found.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    found = found.where("term IS NOT NULL")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = found.join(df, "term").join(F.broadcast(size))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weighted = weighted.select("term", "doc", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    weighted = impacts.weights(*impacts.postings(docs, terms, doc, text))
     common = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x.term)
     scored = terms.join(weighted, "term").groupBy("query_id", "doc").agg(F.round(F.sum("w"), DIGITS).alias("score"), F.count("*").cast("double").alias("shared"), common.alias("terms"))
     if candidates is None:
@@ -159,9 +142,29 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, k: int, candidates: Data
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """query_id, doc, score, rank over rows (query_id, text) and documents; see lexical_scores()."""
-    scored = lexical_scores(queries, docs, k, candidates, doc, text).select("query_id", "doc", "score")
-    return top_k(scored, "query_id", "doc", F.col("score"), k)
+    """query_id, doc, score, rank over rows (query_id, text) and documents.
+
+    All documents are ranked by an impact-ordered index of the queries' terms (see impacts), those of ``candidates`` by
+    lexical_scores().
+    """
+    if candidates is not None:
+        scored = lexical_scores(queries, docs, k, candidates, doc, text).select("query_id", "doc", "score")
+        return top_k(scored, "query_id", "doc", F.col("score"), k)
+    asked = _asked(queries)
+    return _ranked(impacts.build(docs, asked.select(F.explode("terms").alias("term")), doc, text), asked, docs, k, doc)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, terms: the distinct tokens of each query, as a table."""
+    return scratch(queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("terms")), "queries")
+
+
+def _ranked(index: DataFrame, asked: DataFrame, docs: DataFrame, k: int, doc: str, ones: bool = False) -> DataFrame:
+    """The k best of all documents for each query; those that share no term have score 0 and come in corpus order."""
+    first = docs.select(F.col(doc).alias("doc")).orderBy("doc").limit(k)
+    empty = asked.select("query_id").join(F.broadcast(first)).select("*", F.lit(0.0).alias("score"))  # k rows
+    scored = impacts.search(index, asked, k, ones).unionByName(empty)
+    return top_k(scored.groupBy("query_id", "doc").agg(F.max("score").alias("score")), "query_id", "doc", F.col("score"), k)
 
 
 def search_report(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
@@ -177,15 +180,14 @@ def search_report(queries: DataFrame, docs: DataFrame, k: int, candidates: DataF
 
 def overlap_top_k(queries: DataFrame, docs: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """query_id, doc, score, rank by the number of distinct shared terms."""
-    scored = lexical_scores(queries, docs, k, None, doc).select("query_id", "doc", F.col("shared").alias("score"))
-    return top_k(scored, "query_id", "doc", F.col("score"), k)
+    return lexical_rankings(queries, docs, k, doc)[1]
 
 
 def lexical_rankings(queries: DataFrame, docs: DataFrame, k: int, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The rankings of bm25_top_k() and overlap_top_k() from one pass over the corpus."""
-    scored = scratch(lexical_scores(queries, docs, k, None, doc).select("query_id", "doc", "score", "shared"), "lexical")
-    second = scored.select("query_id", "doc", F.col("shared").alias("score"))
-    return top_k(scored.drop("shared"), "query_id", "doc", F.col("score"), k), top_k(second, "query_id", "doc", F.col("score"), k)
+    """The rankings of bm25_top_k() and overlap_top_k() from one index, made in one pass over the corpus."""
+    asked = _asked(queries)
+    index = impacts.build(docs, asked.select(F.explode("terms").alias("term")), doc)
+    return _ranked(index, asked, docs, k, doc), _ranked(index, asked, docs, k, doc, ones=True)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: float = RRF, first_weight: float = 1.0, second_weight: float = 1.0) -> DataFrame:

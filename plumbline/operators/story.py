@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import contracts, judging, rules, wire
+from plumbline.functions import contracts, judging, replies, rules, wire
 from plumbline.functions.text import SPAN_TYPE, lines, searchable, split_spans
 from plumbline.operators import checks, lore, retrieval, reviews, sequences
 from plumbline.sources.scratch import scratch
@@ -202,8 +202,8 @@ def judge(events: DataFrame, model: Model, batch: int = 8, contract: str = "join
     routed = events.withColumn("route", judging.route(F.col("event.modality"), F.lit("check"), F.col("evidence")))
     evidence = F.transform("evidence", lambda c: F.struct(c.chunk_id.alias("id"), c.text.alias("text")))
     asked = routed.where("route = 'judge'").select(F.col("event_id").alias("id"), F.to_json(F.struct("event", lore.labelled(evidence).alias("evidence"))).alias("prompt"))
-    told = call_model(asked, model, batch).select(F.col("id").alias("event_id"), F.col("error").alias("call_error"), F.try_parse_json("reply").alias("v"))
-    out = routed.join(told, "event_id", "left").withColumn("a", F.explode(F.array(contracts.final_answer(F.col("v"), evidence, contracts.CONTRACTS[contract]))))
+    told = call_model(asked, model, batch).select(F.col("id").alias("event_id"), F.col("error").alias("call_error"), replies.answer(F.col("reply")).alias("typed"))
+    out = routed.join(told, "event_id", "left").withColumn("a", F.explode(F.array(contracts.final_answer(F.col("typed"), evidence, contracts.CONTRACTS[contract]))))
     asked_of = F.col("route") == "judge"
     error = F.when(asked_of, F.coalesce("call_error", "a.error"))
     ok = asked_of & error.isNull()

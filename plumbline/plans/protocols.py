@@ -67,135 +67,7 @@ def _with(base: dict, **changes: object) -> dict:
     return out
 
 
-_SURE = {"same_subject": True, "evidence_applicable": True, "relation": "direct_conflict", "can_both_be_true": False, "assumptions": []}
-_QUOTED = {"verdict": "contradiction", "citations": [{"evidence_id": "L1", "quote": "alpha"}], "reason": "r", "assessment": _SURE}
-_FLAGGED = {"verdict": "contradiction", "evidence_ids": ["L2"], "assessment": {**{k: x for k, x in _SURE.items() if k != "assumptions"}, "assumptions_required": False}}
-_LISTED = {"verdict": "contradiction", "evidence_ids": ["L1", "L2"], "assessment": _SURE}
-GUARDED, UNPROVEN, NO_SUPPORT = "uncertain", "coexistence_not_ruled_out", "direct_support_not_proven"
-
-
-def _assessed(base: dict, cites: str) -> list[tuple]:
-    """Replies that all contracts with an assessment judge alike: (reply, error, verdict, guard_reason)."""
-    return [
-        (base, None, "contradiction", None),
-        ("no json", "fields", None, None),
-        (_with(base, extra=1), "fields", None, None),
-        (_with(base, verdict="maybe"), "verdict", None, None),
-        (_with(base, assessment__relation=KeyError), "assessment", None, None),
-        (_with(base, assessment__same_subject="yes"), "same_subject", None, None),
-        (_with(base, assessment__relation="weak"), "relation", None, None),
-        (_with(base, **{cites: []}), "missing citation", None, None),
-        (_with(base, assessment__same_subject=None), None, GUARDED, UNPROVEN),
-        (_with(base, verdict="consistent"), None, GUARDED, NO_SUPPORT),
-        (_with(base, verdict="uncertain", **{cites: []}), None, "uncertain", None),
-    ]
-
-
-_JOINT_ONLY = [(_with(_QUOTED, assessment__can_both_be_true=True), None, GUARDED, UNPROVEN), (_with(_QUOTED, assessment__can_both_be_true="no"), "can_both_be_true", None, None)]
-_QUOTES = [
-    (_with(_QUOTED, reason=" "), "reason", None, None),
-    (_with(_QUOTED, assessment__assumptions=[1]), "assumptions", None, None),
-    (_with(_QUOTED, assessment__assumptions=["if"]), None, GUARDED, UNPROVEN),
-    (_with(_QUOTED, citations={}), "citations", None, None),
-    (_with(_QUOTED, citations=[{"evidence_id": "L1", "quote": "alpha", "more": 1}]), "citation fields", None, None),
-    (_with(_QUOTED, citations=[{"evidence_id": "L3", "quote": "alpha"}]), "citation label", None, None),
-    (_with(_QUOTED, citations=[{"evidence_id": "L1", "quote": "alpha"}, {"evidence_id": "L1", "quote": "beta"}]), "citation label", None, None),
-    (_with(_QUOTED, citations=[{"evidence_id": "L2", "quote": "alpha"}]), "citation quote", None, None),
-]
-_IDS = lambda base: [
-    (_with(base, evidence_ids=["L1", "L1"]), "evidence_ids", None, None),
-    (_with(base, evidence_ids=["L9"]), "evidence label", None, None),
-    (_with(base, evidence_ids="L1"), "evidence_ids", None, None),
-]
-_OPEN = {k: x for k, x in _SURE.items() if k != "can_both_be_true"}
-ANSWERS: dict[str, list[tuple]] = {
-    "scope": _assessed(_with(_QUOTED, assessment=_OPEN), "citations"),
-    "joint": _assessed(_QUOTED, "citations") + _JOINT_ONLY + _QUOTES,
-    "lean": [
-        ({"verdict": "consistent", "evidence_ids": ["L1"]}, None, "consistent", None),
-        ({"verdict": "consistent"}, "fields", None, None),
-        ({"verdict": "yes", "evidence_ids": []}, "verdict", None, None),
-        ({"verdict": "uncertain", "evidence_ids": [1]}, "evidence_ids", None, None),
-        ({"verdict": "uncertain", "evidence_ids": ["L0"]}, "evidence label", None, None),
-        ({"verdict": "contradiction", "evidence_ids": []}, "missing citation", None, None),
-    ],
-    "structured": [*_assessed(_FLAGGED, "evidence_ids"), *_IDS(_FLAGGED), (_with(_FLAGGED, assessment__assumptions_required=None), "assumptions_required", None, None), (_with(_FLAGGED, assessment__assumptions_required=True), None, GUARDED, UNPROVEN)],
-    "short-reason": [(_with(_FLAGGED, reason="x" * 80), None, "contradiction", None), (_with(_FLAGGED, reason="x" * 81), "reason", None, None), (_FLAGGED, "fields", None, None)],
-    "assumptions-list": [*_assessed(_LISTED, "evidence_ids"), *_IDS(_LISTED), (_with(_LISTED, assessment__assumptions=[" "]), "assumptions", None, None)],
-    "rationale-120": [(_with(_LISTED, reason="y" * 120), None, "contradiction", None), (_with(_LISTED, reason="y" * 121), "reason", None, None)],
-    "rationale-240": [(_with(_LISTED, reason="y" * 240), None, "contradiction", None), (_with(_LISTED, reason=""), "reason", None, None)],
-    "story": [
-        ({"verdict": "矛盾", "reason": "r", "evidence_ids": ["c2"]}, None, "矛盾", None),
-        ({"verdict": "矛盾", "reason": "r", "evidence_ids": []}, "missing citation", None, None),
-        ({"verdict": "不确定", "reason": "r", "evidence_ids": []}, None, "不确定", None),
-        ({"verdict": "一致", "reason": "r", "evidence_ids": ["c3"]}, "evidence label", None, None),
-        ({"verdict": "contradiction", "reason": "r", "evidence_ids": ["c1"]}, "verdict", None, None),
-    ],
-}
-
-
-def _answers(name: str) -> Callable[[DataFrame], DataFrame]:
-    def answer(rows: DataFrame) -> DataFrame:
-        done = rows.withColumn("a", F.explode(F.array(contracts.final_answer(F.col("v"), _evidence(), contracts.CONTRACTS[name]))))
-        return done.select("event_id", "a.error", "a.verdict", "a.guard_reason")
-
-    return answer
-
-
-for _name, _rows in ANSWERS.items():
-    _replies("answers_" + _name.replace("-", "_"), f"Answers under the contract {_name}: what they break, and what the guard makes of valid ones.", _rows, ["error", "verdict", "guard_reason"], _answers(_name))
-
-_replies(
-    "answers_proof",
-    "Answers that must prove their verdict by themselves.",
-    [
-        (_QUOTED, None),
-        (_with(_QUOTED, assessment__can_both_be_true=None), "unproven conflict"),
-        (_with(_QUOTED, verdict="consistent"), "unproven support"),
-        (_with(_QUOTED, verdict="consistent", assessment__relation="direct_support", assessment__can_both_be_true=True), None),
-        (_with(_QUOTED, verdict="no"), "verdict"),
-    ],
-    ["error"],
-    lambda d: d.withColumn("error", contracts.proof_error(F.col("v"), _evidence())),
-)
-
 SOURCE = "Ann flies. Bob sleeps."
-_FINDING = {"findings": [{"input_quote": "Ann flies", "verdict": "一致", "evidence": [{"chunk_id": "c1", "quote": "beta"}], "reason": "r", "new_candidates": []}]}
-_NEW = {"findings": [{"input_quote": "Bob sleeps", "verdict": "不确定", "evidence": [], "reason": "r", "new_candidates": ["Bob sleeps"]}]}
-_FOUND = [
-    (_FINDING, None, "一致"),
-    (_NEW, None, "不确定"),
-    ({"findings": [*_FINDING["findings"], *_NEW["findings"]]}, None, "不确定"),
-    ({"findings": [_with(_FINDING, findings__0__verdict="矛盾")["findings"][0], *_NEW["findings"]]}, None, "矛盾"),
-    ({"other": []}, "fields", None),
-    ({"findings": []}, "findings", None),
-    (_with(_FINDING, findings__0__more=1), "finding fields", None),
-    (_with(_FINDING, findings__0__input_quote="Eve"), "input_quote", None),
-    (_with(_FINDING, findings__0__verdict="same"), "verdict", None),
-    (_with(_FINDING, findings__0__reason=""), "reason", None),
-    (_with(_FINDING, findings__0__new_candidates=["Ann flies"]), "new_candidates", None),
-    (_with(_NEW, findings__0__new_candidates=["Bob"]), "new_candidates", None),
-    (_with(_FINDING, findings__0__evidence=[]), "evidence", None),
-    (_with(_FINDING, findings__0__evidence=[{"chunk_id": "c1"}]), "citation fields", None),
-    (_with(_FINDING, findings__0__evidence=[{"chunk_id": "c9", "quote": "beta"}]), "citation label", None),
-    (_with(_FINDING, findings__0__evidence=[{"chunk_id": "c2", "quote": "beta"}]), "citation quote", None),
-]
-
-
-def _findings(labelled: bool) -> Callable[[DataFrame], DataFrame]:
-    def answer(d: DataFrame) -> DataFrame:
-        d = d.withColumn("error", contracts.findings_error(F.col("v"), F.lit(SOURCE), _evidence(), labelled))
-        return d.withColumn("verdict", F.when(F.col("error").isNull(), contracts.findings_verdict(F.col("v"))))
-
-    return answer
-
-
-def _relabelled(reply: object) -> object:
-    return json.loads(json.dumps(reply, ensure_ascii=False).replace('"c1"', '"E1"').replace('"c2"', '"E2"').replace('"c9"', '"E9"'))
-
-
-_replies("finding_contract", "Findings about a text, with evidence by id.", _FOUND, ["error", "verdict"], _findings(False))
-_replies("finding_labels", "Findings about a text, with evidence by labels.", [(_relabelled(r), *x) for r, *x in _FOUND], ["error", "verdict"], _findings(True))
 
 _LABEL = {"entity": "Ann", "category": "people", "event_time": None}
 _replies(

@@ -12,9 +12,9 @@ def event_time(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", lateness) if events.isStreaming else events
 
 
-def tumbling(events: DataFrame, size: str, *keys: str) -> DataFrame:
+def tumbling(events: DataFrame, size: str, *keys: str, lateness: str = "10 minutes") -> DataFrame:
     """start, keys, n, value_sum in windows of fixed size."""
-    g = event_time(events).groupBy(F.window("ts", size), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value_sum"))
+    g = event_time(events, lateness).groupBy(F.window("ts", size), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value_sum"))
     return g.select(F.col("window.start").alias("start"), *keys, "n", "value_sum")
 
 
