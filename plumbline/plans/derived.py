@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import contracts, judging, replies
+from plumbline.functions import contracts, judging, replies, wire
 from plumbline.plans.base import registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -265,3 +265,179 @@ def finding_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings about the turn before, with evidence by labels."""
     return _found(spark, sf_dir, ("E1", "E2", "E9"), True)
+
+
+# ---- labels, verdicts about records, pairs
+
+CATEGORIES = ("people", "places")
+LABEL_RAW = spoilt(
+    obj(
+        ("entity", by(1, (7, text("q1")), (9, "'null'"), (11, said("她")), (13, said("Nobody")), (14, "'4'"), (15, said(" ")), (16, "NULL"))),
+        ("category", by(2, (10, said("people")), (13, "'null'"), (14, said("odd")), (15, "'3'"), (16, said(" ")))),
+        ("event_time", by(3, (8, "'null'"), (13, text("substr(t1, 1, 4)")), (15, said("noon")), (16, "NULL"))),
+    )
+)
+_VALUE = {n: f"trim(j->>'$.{n}')" for n in ("entity", "category", "event_time")}
+
+
+@query(f"""
+WITH {ctes(LABEL_RAW)}, e AS (SELECT *, {_VALUE["entity"]} AS v1, {_VALUE["category"]} AS v2, {_VALUE["event_time"]} AS v3, {first_broken([
+    ("fields", keys(("entity", "category", "event_time"))),
+    *[(n, f"json_type(j, '$.{n}') = 'NULL' OR {is_text('$.' + n)}") for n in ("entity", "category", "event_time")],
+    ("entity source", f"{_VALUE['entity']} IS NULL OR contains(t1 || ' 她', {_VALUE['entity']})"),
+    ("category choice", f"{_VALUE['category']} IS NULL OR {_VALUE['category']} IN {CATEGORIES}"),
+    ("event_time source", f"{_VALUE['event_time']} IS NULL OR contains(t1 || ' 她', {_VALUE['event_time']})"),
+])} AS error FROM r)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL AND v1 <> '她' THEN v1 END AS entity, CASE WHEN error IS NULL THEN v2 END AS category, CASE WHEN error IS NULL THEN v3 END AS event_time,
+  CASE WHEN error IS NULL THEN CASE WHEN v1 IS NULL OR v1 = '她' OR v2 IS NULL THEN 'needs_clarification' ELSE 'ok' END END AS status FROM e
+""")
+def label_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggested labels of a turn."""
+    rows = derived(spark, sf_dir, LABEL_RAW).withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+    made = contracts.classification(F.col("v"), F.concat("t1", F.lit(" 她")), F.array(*map(F.lit, CATEGORIES)))
+    return rows.select("conv_id", "turn", F.explode(F.array(made)).alias("c")).select("conv_id", "turn", "c.*")
+
+
+WORLD_RAW = spoilt(obj(("verdict", by(1, (6, said("一致")), (11, said("矛盾")), (14, said("不确定")), (15, said("x")), (16, "'1'"))), ("evidence", NAMED("E1", "E2", "E9")), ("reason", REASON)))
+_WORLD_IDS = "CAST(json_extract_string(j, '$.evidence[*]') AS VARCHAR[])"
+
+
+@query(f"""
+WITH {ctes(WORLD_RAW)} SELECT conv_id, turn, {first_broken([
+    ("fields", keys(("verdict", "evidence", "reason")) + " AND json_type(j, '$.evidence') = 'ARRAY'"),
+    ("evidence label", f"len(list_filter({_WORLD_IDS}, lambda x: x NOT IN ('E1', 'E2'))) = 0 AND len(list_distinct({_WORLD_IDS})) = len({_WORLD_IDS})"),
+    ("verdict", one_of("$.verdict", contracts.SAID)),
+    ("reason", is_text("$.reason")),
+    ("missing citation", f"j->>'$.verdict' = '不确定' OR len({_WORLD_IDS}) > 0"),
+])} AS error FROM r
+""")
+def world_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts about single records, with two pieces of evidence."""
+    rows = derived(spark, sf_dir, WORLD_RAW).withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+    return rows.select("conv_id", "turn", contracts.world_verdict_error(F.col("v"), evidence("c1", "c2")).alias("error"))
+
+
+_quote = lambda event, sql: obj(("event_id", said(event)), ("quote", text(sql)))
+_FLAGGED = lambda i: by(i, (13, "'true'"), (14, "'false'"), (15, "'null'"), (16, "'1'"))
+PAIR_RAW = spoilt(
+    obj(
+        ("verdict", by(1, (10, said("contradiction")), (12, said("no_conflict")), (15, said("uncertain")), (16, said("clash")))),
+        ("pair_id", by(2, (15, said("P1")), (16, said("P2")))),
+        ("same_subject", _FLAGGED(3)),
+        ("same_scope", _FLAGGED(4)),
+        ("assumptions", ASSUMED),
+        ("reason", by(5, (14, said("because")), (15, said(" ")), (16, "NULL"))),
+        ("citations", by(8, (9, f"'[' || {_quote('E1', 'q1')} || ', ' || {_quote('E2', 'q2')} || ']'"), (11, f"'[' || {_quote('E1', 'q1')} || ']'"), (12, f"'[' || {_quote('E1', 'q1')} || ', ' || {_quote('E2', 'q1')} || ']'"), (13, f"'[' || {_quote('E7', 'q1')} || ']'"), (14, "'[]'"), (15, "'[{}]'"), (16, said("no")))),
+    )
+)
+_PAIR_CITED = "json_extract(j, '$.citations[*]')"
+_NO_CONFLICT = "coalesce(j->>'$.verdict', '') <> 'contradiction' OR "
+_EACH_CITED = lambda good: f"{_NO_CONFLICT}len(list_filter({_PAIR_CITED}, lambda x: NOT coalesce({good}, FALSE))) = 0"
+
+
+@query(f"""
+WITH {ctes(PAIR_RAW)}, e AS (SELECT *, {first_broken([
+    ("fields", keys(("pair_id", "verdict", "same_subject", "same_scope", "assumptions", "reason", "citations"))),
+    ("pair_id", "j->>'$.pair_id' = 'P1'"),
+    ("verdict", one_of("$.verdict", contracts.PAIR_VERDICTS)),
+    ("scope", "json_type(j, '$.same_subject') IN ('BOOLEAN', 'NULL') AND json_type(j, '$.same_scope') IN ('BOOLEAN', 'NULL')"),
+    ("reason", is_text("$.reason")),
+    ("assumptions", is_texts("$.assumptions", filled=False)),
+    ("citations", "json_type(j, '$.citations') = 'ARRAY'"),
+    ("citation fields", _EACH_CITED("list_sort(json_keys(x)) = ['event_id', 'quote']")),
+    ("citation label", _EACH_CITED("x->>'$.event_id' IN ('E1', 'E2')")),
+    ("citation quote", _EACH_CITED("regexp_matches(x->>'$.quote', '\\S') AND contains(CASE x->>'$.event_id' WHEN 'E1' THEN t1 ELSE t2 END, x->>'$.quote')")),
+    ("both events", _NO_CONFLICT + f"len(list_distinct(list_transform({_PAIR_CITED}, lambda x: x->>'$.event_id'))) = 2"),
+])} AS error, j->>'$.verdict' = 'contradiction' AND NOT coalesce((j->>'$.same_subject') = 'true' AND (j->>'$.same_scope') = 'true' AND len(json_extract(j, '$.assumptions[*]')) = 0, FALSE) AS down FROM r)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN CASE WHEN down THEN 'uncertain' ELSE j->>'$.verdict' END END AS verdict, CASE WHEN error IS NULL AND down THEN 'contradiction' END AS model_verdict FROM e
+""")
+def pair_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a turn and the one before for a contradiction."""
+    rows = derived(spark, sf_dir, PAIR_RAW).withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+    events = F.array(*[F.struct(F.lit(i).alias("id"), F.array(t).alias("texts")) for i, t in (("E1", "t1"), ("E2", "t2"))])
+    return rows.select("conv_id", "turn", F.explode(F.array(contracts.pair_check(F.col("v"), F.lit("P1"), events))).alias("p")).select("conv_id", "turn", "p.*")
+
+
+# ---- decisions, rows of runs, replies that break off or go on
+
+_CODES = tuple(wire.DECISIONS)
+DECISION_RAW = spoilt(
+    obj(
+        ("event_id", text("h")),
+        ("decision", by(1, (6, said("keep")), (9, said("ignore")), (11, said("review")), (14, said(_CODES[0])), (15, said("drop")), (16, "NULL"))),
+        ("reason_code", by(2, (4, said(_CODES[0])), (8, said(_CODES[-1])), (12, said(_CODES[len(_CODES) // 2])), (14, said(_CODES[1])), (15, said("whim")), (16, "'7'"))),
+    )
+)
+_DUE = "CASE j->>'$.reason_code' " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in wire.DECISIONS.items()) + " END"
+
+
+@query(f"""
+WITH {ctes(DECISION_RAW)}, e AS (SELECT *, {_DUE} AS due, {first_broken([
+    ("fields", keys(("event_id", "decision", "reason_code"))),
+    ("reason_code", f"{_DUE} IS NOT NULL"),
+    ("decision", f"j->>'$.decision' IN ({_DUE}, j->>'$.reason_code')"),
+])} AS error FROM r)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN due END AS decision, CASE WHEN error IS NULL AND j->>'$.decision' = j->>'$.reason_code' THEN 'decision_from_reason_code' END AS note FROM e
+""")
+def filter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter decisions by their reason codes."""
+    rows = derived(spark, sf_dir, DECISION_RAW).withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+    return rows.select("conv_id", "turn", F.explode(F.array(wire.decision(F.col("v")))).alias("c")).select("conv_id", "turn", "c.error", "c.decision", "c.note")
+
+
+_SECONDS = lambda s, i: (s, f"'{{' || chr(34) || 'seconds' || chr(34) || ': ' || {by(i, (13, f'CAST(length(t1) AS STRING) || chr(46) || CAST(n{i} AS STRING)'), (14, said('1')), (15, chr(39) + '-1.5' + chr(39)), (16, chr(39) + 'true' + chr(39)))} || '}}'")
+RUN_RAW = by(
+    0,
+    (1, "'[1]'"),
+    (16, obj(
+        ("case_id", by(1, (14, text("h")), (15, said("")), (16, "'5'"))),
+        ("system", by(2, (8, said("baseline")), (15, said("candidate")), (16, said("other")))),
+        ("status", by(3, (8, said("ok")), (12, said("partial")), (15, said("error")), (16, said("done")))),
+        ("result", by(4, (15, "'{}'"), (16, "'[]'"))),
+        ("stage_metrics", obj(*[_SECONDS(s, i) for i, s in enumerate(contracts.STAGES[:-1], 5)], ("total", by(9, (15, "'{' || chr(34) || 'seconds' || chr(34) || ': 3}'"), (16, "NULL"))))),
+    )),
+)
+
+
+@query(f"""
+WITH {ctes(RUN_RAW)} SELECT conv_id, turn, {first_broken([
+    ("object", "json_type(j) = 'OBJECT'"),
+    ("case_id", "json_type(j, '$.case_id') = 'VARCHAR' AND length(j->>'$.case_id') > 0"),
+    ("system", one_of("$.system", contracts.SYSTEMS)),
+    ("status", one_of("$.status", contracts.STATES)),
+    ("result", "json_type(j, '$.result') = 'OBJECT'"),
+    ("stages", keys(contracts.STAGES, "$.stage_metrics")),
+    *[(f"{s} seconds", f"json_type(j, '$.stage_metrics.{s}.seconds') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND TRY_CAST(j->>'$.stage_metrics.{s}.seconds' AS DOUBLE) >= 0") for s in contracts.STAGES],
+])} AS error FROM r
+""")
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of runs with their stages' seconds."""
+    rows = derived(spark, sf_dir, RUN_RAW).withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+    return rows.select("conv_id", "turn", contracts.run_row_error(F.col("v")).alias("error"))
+
+
+CUT_RAW = f"'{{' || chr(34) || 'verdict' || chr(34) || ':' || {by(1, (8, said('不确定')), (12, said('矛盾')), (16, said('uncertain')))} || ',' || chr(34) || 'reason' || chr(34) || ':' || {text('q1')} || {by(2, (9, chr(39) + ',' + chr(34) + 'evidence_ids' + chr(34) + '}' + chr(39)), (12, chr(39) + ',' + chr(34) + 'evidence_ids' + chr(34) + ':[]}' + chr(39)), (16, chr(39) + '}' + chr(39)))}"
+
+
+@query(f"""
+WITH {ctes(CUT_RAW)}, e AS (SELECT *, j IS NULL AND raw LIKE '%,"evidence_ids"}}' AND raw LIKE '{{"verdict":"不确定"%' AS cut FROM r)
+SELECT conv_id, turn, CASE WHEN cut THEN left(raw, length(raw) - 1) || ':[]}}' ELSE raw END AS fixed, CASE WHEN cut THEN 'missing_empty_uncertain_evidence_array' END AS note FROM e
+""")
+def reply_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertain answers that break off before their empty evidence, completed."""
+    return derived(spark, sf_dir, CUT_RAW).select("conv_id", "turn", wire.cut_answer(F.col("raw")).alias("c")).select("conv_id", "turn", F.col("c.raw").alias("fixed"), "c.note")
+
+
+_AFTER = by(2, (6, "''"), (8, "chr(34)"), (10, "' 说明：' || q1"), (11, "' 解释:'"), (12, "' 说明：{' || q1"), (14, "' ' || chr(10) || ' more ' || q2"), (15, "'  '"), (16, "' 说明 ' || q1"))
+TRAILER_RAW = f"{by(1, (13, obj(('verdict', text('q1')))), (14, chr(39) + '[1]' + chr(39)), (15, chr(39) + 'so ' + chr(39)), (16, chr(39) + chr(39)))} || {_AFTER}"
+
+
+@query(f"""
+WITH {ctes(TRAILER_RAW)}, e AS (SELECT *, CASE WHEN n1 < 13 THEN trim(substr(raw, strpos(raw, '}}') + 1), ' ' || chr(10)) END AS rest FROM r)
+SELECT conv_id, turn, CASE WHEN rest = '"' THEN 'single_trailing_quote_removed' WHEN regexp_matches(rest, '^(说明|解释)\\s*[：:]') AND NOT regexp_matches(rest, '[{{}}\\[\\]]') THEN 'trailing_explanation_removed' END AS note,
+  CASE WHEN rest IS NULL THEN 'no object' WHEN NOT (rest = '' OR rest = '"' OR (regexp_matches(rest, '^(说明|解释)\\s*[：:]') AND NOT regexp_matches(rest, '[{{}}\\[\\]]'))) THEN 'trailing content' END AS error FROM e
+""")
+def reply_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may follow the object of a reply."""
+    rows = derived(spark, sf_dir, TRAILER_RAW).withColumn("lead", wire.leading_object(F.col("raw")))
+    return rows.select("conv_id", "turn", wire.tolerated(F.col("lead")).alias("t")).select("conv_id", "turn", "t.note", "t.error")

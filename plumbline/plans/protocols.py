@@ -69,25 +69,6 @@ def _with(base: dict, **changes: object) -> dict:
 
 SOURCE = "Ann flies. Bob sleeps."
 
-_LABEL = {"entity": "Ann", "category": "people", "event_time": None}
-_replies(
-    "label_contract",
-    "Suggested labels of a text.",
-    [
-        (_LABEL, None, "Ann", "ok"),
-        (_with(_LABEL, entity=None), None, None, "needs_clarification"),
-        (_with(_LABEL, entity="她"), "entity source", None, None),
-        (_with(_LABEL, entity="Eve"), "entity source", None, None),
-        (_with(_LABEL, category="odd"), "category choice", None, None),
-        (_with(_LABEL, event_time="noon"), "event_time source", None, None),
-        (_with(_LABEL, entity="A\nB"), "entity", None, None),
-        (_with(_LABEL, category=3), "category", None, None),
-        (_with(_LABEL, more=1), "fields", None, None),
-    ],
-    ["error", "entity", "status"],
-    lambda d: d.select("event_id", contracts.classification(F.col("v"), F.lit(SOURCE), F.array(F.lit("people"), F.lit("places"))).alias("c")).select("event_id", "c.*"),
-)
-
 _PLAN = {"records": [{"kind": "attribute", "entity": "Ann", "category": "skill", "text": "Ann flies"}]}
 _replies(
     "record_contract",
@@ -112,42 +93,6 @@ _replies(
     lambda d: d.withColumn("error", contracts.plan_error(F.col("v"), F.lit(SOURCE))),
 )
 
-_WORLD = {"verdict": "一致", "evidence": ["E1"], "reason": "r"}
-_replies(
-    "world_contract",
-    "Verdicts about single records.",
-    [(_WORLD, None), (_with(_WORLD, evidence=["E1", "E1"]), "evidence label"), (_with(_WORLD, evidence=["E5"]), "evidence label"), (_with(_WORLD, evidence=[]), "missing citation"), (_with(_WORLD, verdict="x"), "verdict"), (_with(_WORLD, reason=KeyError), "fields"), (_with(_WORLD, verdict="不确定", evidence=[]), None)],
-    ["error"],
-    lambda d: d.withColumn("error", contracts.world_verdict_error(F.col("v"), _evidence())),
-)
-
-_PAIR = {"pair_id": "P1", "verdict": "contradiction", "same_subject": True, "same_scope": True, "assumptions": [], "reason": "r", "citations": [{"event_id": "E1", "quote": "flies"}, {"event_id": "E2", "quote": "sleeps"}]}
-_replies(
-    "pair_contract",
-    "Checks of two events of one story.",
-    [
-        (_PAIR, None, "contradiction", None),
-        (_with(_PAIR, assumptions=["later"]), None, "uncertain", "contradiction"),
-        (_with(_PAIR, same_scope=None), None, "uncertain", "contradiction"),
-        (_with(_PAIR, verdict="no_conflict", citations=[]), None, "no_conflict", None),
-        (_with(_PAIR, pair_id="P2"), "pair_id", None, None),
-        (_with(_PAIR, verdict="clash"), "verdict", None, None),
-        (_with(_PAIR, same_subject=1), "scope", None, None),
-        (_with(_PAIR, reason=""), "reason", None, None),
-        (_with(_PAIR, assumptions="no"), "assumptions", None, None),
-        (_with(_PAIR, citations="no"), "citations", None, None),
-        (_with(_PAIR, citations=[{"event_id": "E1"}]), "citation fields", None, None),
-        (_with(_PAIR, citations=[{"event_id": "E7", "quote": "flies"}]), "citation label", None, None),
-        (_with(_PAIR, citations=[{"event_id": "E1", "quote": "swims"}]), "citation quote", None, None),
-        (_with(_PAIR, citations=[{"event_id": "E1", "quote": "flies"}]), "both events", None, None),
-    ],
-    ["error", "verdict", "model_verdict"],
-    lambda d: d.select(
-        "event_id",
-        contracts.pair_check(F.col("v"), F.lit("P1"), F.array(*[F.struct(F.lit(i).alias("id"), F.array(F.lit(t)).alias("texts")) for i, t in (("E1", "Ann flies"), ("E2", "Bob sleeps"))])).alias("p"),
-    ).select("event_id", "p.*"),
-)
-
 _EVENT = {"actors": ["Ann"], "event": "Ann flies", "source_ids": ["S1"], "modality": "observed", "check_reason": "mechanism"}
 _EXITS = {"events": [_EVENT], "ignored_spans": [], "non_event_span_ids": ["S2"]}
 _replies(
@@ -197,38 +142,6 @@ _replies(
     ["repaired", "paths"],
     lambda d: d.select("event_id", F.explode(F.array(wire.repair(F.col("raw")))).alias("p")).select("event_id", F.col("p.raw").alias("repaired"), F.array_join(F.transform("p.actions", lambda a: a.path), ",").alias("paths")),
 )
-_replies(
-    "reply_trailers",
-    "What may follow the object of a reply.",
-    [('{"a":1}', None, None), ('{"a":1}"', "single_trailing_quote_removed", None), ('{"a":1} 说明：好', "trailing_explanation_removed", None), ('{"a":1} 说明：{', None, "trailing content"), ('{"a":1} more', None, "trailing content"), ("[1]", None, "no object"), ("", None, "no object")],
-    ["note", "error"],
-    lambda d: d.withColumn("lead", wire.leading_object(F.col("raw"))).select("event_id", wire.tolerated(F.col("lead")).alias("t")).select("event_id", "t.*"),
-)
-_replies(
-    "reply_cut",
-    "Uncertain answers that break off before their empty evidence.",
-    [
-        ('{"verdict":"不确定","reason":"r","evidence_ids"}', '{"verdict":"不确定","reason":"r","evidence_ids":[]}', "missing_empty_uncertain_evidence_array"),
-        ('{"verdict":"矛盾","reason":"r","evidence_ids"}', '{"verdict":"矛盾","reason":"r","evidence_ids"}', None),
-        ('{"verdict":"不确定"}', '{"verdict":"不确定"}', None),
-    ],
-    ["fixed", "note"],
-    lambda d: d.select("event_id", wire.cut_answer(F.col("raw")).alias("c")).select("event_id", F.col("c.raw").alias("fixed"), "c.note"),
-)
-_replies(
-    "filter_decisions",
-    "Filter decisions by their reason codes.",
-    [
-        ({"event_id": "e", "decision": "keep", "reason_code": "mechanism"}, None, "keep", None),
-        ({"event_id": "e", "decision": "mechanism", "reason_code": "mechanism"}, None, "keep", "decision_from_reason_code"),
-        ({"event_id": "e", "decision": "ignore", "reason_code": "mechanism"}, "decision", None, None),
-        ({"event_id": "e", "decision": "keep", "reason_code": "whim"}, "reason_code", None, None),
-        ({"event_id": "e", "decision": "keep"}, "fields", None, None),
-        ({"event_id": "e", "decision": "review", "reason_code": "unclear"}, None, "review", None),
-    ],
-    ["error", "decision", "note"],
-    lambda d: d.select("event_id", wire.decision(F.col("v")).alias("c")).select(F.col("event_id"), "c.error", "c.decision", "c.note"),
-)
 _replies(
     "reply_projections",
     "Replies cut down to what later stages need.",
@@ -287,22 +200,3 @@ _replies(
     lambda d: d.select("event_id", F.explode(F.array(wire.decoded_records(F.col("v"), F.lit(STORY), _spans()))).alias("p")).select("event_id", "p.error", "p.status", F.get("p.records", 0).text.alias("text"), F.get("p.records", 0).time.alias("time")),
 )
 
-_RUN = {"case_id": "c", "system": "baseline", "status": "ok", "result": {}, "stage_metrics": {s: {"seconds": 1.5} for s in contracts.STAGES}}
-_replies(
-    "run_rows",
-    "Rows of runs.",
-    [
-        (_RUN, None),
-        (_with(_RUN, case_id=""), "case_id"),
-        (_with(_RUN, system="other"), "system"),
-        (_with(_RUN, status="done"), "status"),
-        (_with(_RUN, result=[]), "result"),
-        (_with(_RUN, stage_metrics__judge=KeyError), "stages"),
-        (_with(_RUN, stage_metrics__judge__seconds=-1), "judge seconds"),
-        (_with(_RUN, stage_metrics__total__seconds="1"), "total seconds"),
-        (_with(_RUN, stage_metrics__report__seconds=True), "report seconds"),
-        ([1], "object"),
-    ],
-    ["error"],
-    lambda d: d.withColumn("error", contracts.run_row_error(F.col("v"))),
-)
