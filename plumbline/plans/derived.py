@@ -441,3 +441,176 @@ def reply_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may follow the object of a reply."""
     rows = derived(spark, sf_dir, TRAILER_RAW).withColumn("lead", wire.leading_object(F.col("raw")))
     return rows.select("conv_id", "turn", wire.tolerated(F.col("lead")).alias("t")).select("conv_id", "turn", "t.note", "t.error")
+
+
+# ---- records, compact and lean events, misspelled fields, projections
+
+
+def listed(*items: str) -> str:
+    """SQL of a JSON list."""
+    return "'[' || " + " || ', ' || ".join(items) + " || ']'"
+
+
+def _record(category: str) -> str:
+    kind = by(1, (5, said("attribute")), (7, said("rule")), (9, said("entity")), (11, said("relation")), (13, said("timepoint")), (15, said("event")), (16, said("wish")))
+    return obj(
+        ("kind", kind),
+        ("entity", by(2, (10, text("q1")), (12, "'null'"), (13, said("Nobody")), (14, "'4'"), (15, said("我")), (16, "NULL"))),
+        ("category", by(3, (14, said(category)), (15, said(" ")), (16, "NULL"))),
+        ("text", by(4, (13, text("substr(t1, 1, 20)")), (14, said("Something else")), (15, "'null'"), (16, text("t1")))),
+        ("target", by(5, (8, "NULL"), (14, text("substr(t1, 2, 5)")), (16, said("Nobody")))),
+        ("time", by(6, (9, "NULL"), (14, text("substr(t1, 4, 4)")), (16, said("noon")))),
+        ("entity_type", by(7, (8, "NULL"), (15, said("person")), (16, said(" ")))),
+    )
+
+
+PLAN_RAW = by(0, (1, "'no plan'"), (2, "'{}'"), (3, obj(("records", "'[]'"))), (4, obj(("records", "'{}'"))), (10, obj(("records", listed(_record("skill"))))), (13, obj(("records", listed(_record("skill"), _record("place"))))), (16, obj(("records", listed(_record("skill"), _record("skill"))))))
+_RECORDS = "json_extract(j, '$.records[*]')"
+
+
+def _record_error(x: str) -> str:
+    of = lambda n: f"({x}->>'$.{n}')"
+    line = lambda n: f"{of(n)} IS NULL OR (regexp_matches({of(n)}, '\\S') AND NOT regexp_matches({of(n)}, '[\\n\\r]'))"
+    named = ("entity", "target", "time", "valid_from", "valid_until")
+    return first_broken(
+        [
+            ("source", "regexp_matches(t1, '\\S')"),
+            ("kind", f"{of('kind')} IN {contracts.RECORD_KINDS}"),
+            *[(n, line(n)) for n in contracts.RECORD_FIELDS[1:]],
+            ("category missing", f"{of('category')} IS NOT NULL"),
+            ("text source", f"contains(t1, {of('text')})"),
+            *[(f"{n} source", f"{of(n)} IS NULL OR contains(t1, {of(n)})") for n in named],
+            ("pronoun", f"NOT coalesce({of('entity')} IN {contracts.PRONOUNS} OR {of('target')} IN {contracts.PRONOUNS}, FALSE)"),
+            ("entity missing", f"{of('kind')} NOT IN ('entity', 'attribute', 'relation', 'timepoint') OR {of('entity')} IS NOT NULL"),
+            ("entity_type missing", f"{of('kind')} <> 'entity' OR {of('entity_type')} IS NOT NULL"),
+            ("target missing", f"{of('kind')} <> 'relation' OR {of('target')} IS NOT NULL"),
+            ("time missing", f"{of('kind')} <> 'timepoint' OR {of('time')} IS NOT NULL"),
+        ]
+    )
+
+
+_SHAPED = f"len(list_filter({_RECORDS}, lambda x: NOT coalesce(len(list_filter(['kind', 'category', 'text'], lambda k: NOT list_contains(json_keys(x), k))) = 0 AND len(list_filter(json_keys(x), lambda k: k NOT IN {contracts.RECORD_FIELDS} OR json_type(x, '$.' || k) NOT IN ('VARCHAR', 'NULL'))) = 0, FALSE))) = 0"
+
+
+@query(f"""
+WITH {ctes(PLAN_RAW)}, e AS (SELECT *, {first_broken([("fields", keys(("records",))), ("records", f"json_type(j, '$.records') = 'ARRAY' AND len({_RECORDS}) BETWEEN 1 AND 20"), ("record fields", _SHAPED)])} AS shape, list_filter(list_transform({_RECORDS}, lambda x: {_record_error('x')}), lambda e: e IS NOT NULL)[1] AS broken FROM r)
+SELECT conv_id, turn, coalesce(shape, broken, CASE WHEN len(list_distinct(list_transform({_RECORDS}, lambda x: CAST(x AS VARCHAR)))) < len({_RECORDS}) THEN 'repeated record' END) AS error FROM e
+""")
+def record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of records taken from a turn."""
+    rows = derived(spark, sf_dir, PLAN_RAW).withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+    return rows.select("conv_id", "turn", contracts.plan_error(F.col("v"), F.col("t1")).alias("error"))
+
+
+_MODALITY = by(1, (9, said("observed")), (11, said("belief")), (14, said("inferred")), (15, said("sung")), (16, "'1'"))
+_REASONED = by(2, (6, said("mechanism")), (9, said("mechanical")), (12, said("observed")), (16, said("knowledge_relation")))
+COMPACT_EVENT = obj(
+    ("actors", listed(text("q1"))),
+    ("event", text("t1")),
+    ("source_ids", listed(said("S1"))),
+    ("modality", _MODALITY),
+    ("check_reason", by(3, (12, _REASONED), (16, "NULL"))),
+    ("checkReason", by(3, (11, "NULL"), (15, _REASONED), (16, "NULL"))),
+    ("explicit", by(4, (8, "NULL"), (13, "'true'"), (15, "'false'"), (16, said("yes")))),
+    ("conditions", by(5, (9, "NULL"), (15, listed(text("q2"))), (16, "'[]'"))),
+    ("mood", by(6, (15, "NULL"), (16, "'1'"))),
+)
+EXPAND_RAW = by(0, (1, "'{'"), (2, obj(("events", "'[]'"), ("non_event_span_ids", "'[]'"))), (3, obj(("events", "'{}'"), ("ignored_spans", "'[]'"), ("non_event_span_ids", "'[]'"))), (4, obj(("events", "'[1]'"), ("ignored_spans", "'[]'"), ("non_event_span_ids", "'[]'"))), (16, obj(("events", listed(COMPACT_EVENT)), ("ignored_spans", "'[]'"), ("non_event_span_ids", listed(said("S2"))))))
+_KNOWN_EVENT = (*wire.NEEDED, *wire.OPTIONAL, *wire.FIELD_ALIASES)
+_WITH_ALIAS = f"(list_contains(json_keys(e), 'check_reason') <> list_contains(json_keys(e), 'checkReason')) AND len(list_filter(json_keys(e), lambda k: k NOT IN {_KNOWN_EVENT})) = 0 AND len(list_filter({list(wire.NEEDED[:-1])}, lambda k: NOT list_contains(json_keys(e), k))) = 0"
+_CODE = "coalesce(e->>'$.check_reason', e->>'$.checkReason')"
+
+
+@query(f"""
+WITH {ctes(EXPAND_RAW)}, f AS (SELECT *, j->'$.events[0]' AS e FROM r),
+g AS (SELECT *, coalesce({first_broken([("exits", keys(wire.EXITS)), *[(x, f"json_type(j, '$.{x}') = 'ARRAY'") for x in wire.EXITS]])}, CASE WHEN json_array_length(j, '$.events') > 0 THEN {first_broken([
+    ("object", "json_type(e) = 'OBJECT'"),
+    ("fields", _WITH_ALIAS),
+    ("modality", f"json_type(e, '$.modality') = 'VARCHAR' AND e->>'$.modality' IN {wire.MODALITIES}"),
+    ("explicit", "json_type(e, '$.explicit') IS NULL OR (json_type(e, '$.explicit') = 'BOOLEAN' AND (e->>'$.explicit') = CAST(e->>'$.modality' <> 'inferred' AS VARCHAR))"),
+])} END) AS error FROM f)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN CASE {_CODE} WHEN 'mechanical' THEN 'mechanism' WHEN 'observed' THEN 'state_time_space' ELSE {_CODE} END END AS check_reason,
+  CASE WHEN error IS NULL AND e IS NOT NULL THEN CAST(e->>'$.modality' <> 'inferred' AS VARCHAR) END AS explicit, CASE WHEN error IS NULL AND e IS NOT NULL THEN coalesce(json_array_length(e, '$.conditions'), 0) END AS conditions,
+  CASE WHEN error IS NULL THEN e->>'$.actors[0]' END AS actor FROM g
+""")
+def wire_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact replies: aliases, defaults and what they may not hold."""
+    rows = derived(spark, sf_dir, EXPAND_RAW).select("conv_id", "turn", F.explode(F.array(wire.expand_payload(F.col("raw")))).alias("p"))
+    e = F.get("p.events", 0)
+    return rows.select("conv_id", "turn", "p.error", e.check_reason.alias("check_reason"), e.explicit.cast("string").alias("explicit"), F.when(e.isNotNull(), F.size(e.conditions)).cast("long").alias("conditions"), F.get(e.actors, 0).alias("actor"))
+
+
+LEAN_EVENT = obj(
+    ("actors", by(1, (11, listed(text("q1"))), (16, "NULL"))),
+    ("Actors", by(1, (11, "NULL"), (15, listed(text("q1"))), (16, "NULL"))),
+    ("ACTORS", by(3, (15, "NULL"), (16, "'[]'"))),
+    ("event", text("t1")),
+    ("Modality", said("observed")),
+    ("source_ids", listed(said("S1"))),
+    ("context_ids", "'[]'"),
+    ("check_reason", by(2, (15, said("mechanism")), (16, "NULL"))),
+    ("mood", by(4, (15, "NULL"), (16, "'1'"))),
+)
+LEAN_RAW = by(0, (1, "'{}'"), (2, obj(("events", "'[3]'"), ("ignored_span_ids", "'[]'"), ("non_event_span_ids", "'[]'"))), (16, obj(("events", listed(LEAN_EVENT)), ("ignored_span_ids", by(5, (8, listed(said("S3"))), (12, "'[]'"), (14, listed(said("S3"), said("S3"))), (15, "'[3]'"), (16, said("S3")))), ("non_event_span_ids", by(6, (15, "'[]'"), (16, "'{}'"))))))
+_LEAN_NAMES = (*wire.LEAN_NEEDED, *wire.LEAN_OPTIONAL)
+_LOW = f"list_filter(list_transform(json_keys(e), lambda k: lower(k)), lambda k: k IN {_LEAN_NAMES})"
+
+
+@query(f"""
+WITH {ctes(LEAN_RAW)}, f AS (SELECT *, j->'$.events[0]' AS e FROM r),
+g AS (SELECT *, coalesce({first_broken([("exits", keys(wire.LEAN_EXITS)), *[(x, f"json_type(j, '$.{x}') = 'ARRAY'") for x in wire.LEAN_EXITS], ("ignored ids", is_texts("$.ignored_span_ids") + " AND len(list_distinct(json_extract(j, '$.ignored_span_ids[*]'))) = json_array_length(j, '$.ignored_span_ids')")])}, {first_broken([
+    ("event object", "json_type(e) = 'OBJECT'"),
+    ("field case", f"len(list_distinct({_LOW})) = len({_LOW})"),
+    ("event fields", f"len(list_filter({list(wire.LEAN_NEEDED)}, lambda n: NOT list_contains({_LOW}, n))) = 0 AND len({_LOW}) = len(json_keys(e))"),
+])}) AS error FROM f)
+SELECT conv_id, turn, error, CASE WHEN json_type(e) = 'OBJECT' THEN 'event_field_case_normalized' ELSE '' END AS changes, CASE WHEN error IS NULL THEN j->>'$.ignored_span_ids[0]' END AS ignored,
+  CASE WHEN error IS NULL THEN coalesce(e->>'$.actors[0]', e->>'$.Actors[0]') END AS actor FROM g
+""")
+def wire_lean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lean replies on the full wire: names in any case, ignored ids as process details."""
+    rows = derived(spark, sf_dir, LEAN_RAW).select("conv_id", "turn", F.explode(F.array(wire.lean_payload(F.col("raw")))).alias("p"))
+    changes = F.coalesce(F.array_join("p.changes", ","), F.lit("")).alias("changes")
+    return rows.select("conv_id", "turn", "p.error", changes, F.get("p.ignored_spans", 0).source_id.alias("ignored"), F.get(F.get("p.events", 0).actors, 0).alias("actor"))
+
+
+MISSPELLED_RAW = by(
+    0,
+    (2, "'no json ' || q1"),
+    (16, obj(
+        ("events", listed(obj(("a", text("q1")), ("mentalological_state", by(1, (9, text("q2")), (16, "NULL"))), ("mental_state", by(2, (5, said("calm")), (16, "NULL")))), obj(("mentalological_state", by(3, (5, "'null'"), (16, "NULL")))))),
+        ("ignored_spans", listed(obj(("source_id", said("S1"))), obj(("source_Ids", by(4, (9, said("S2")), (16, "NULL")))))),
+    )),
+)
+_HAS = lambda at, name: f"list_contains(json_keys(j, '{at}'), '{name}')"
+_MOVES = "concat_ws(',', " + ", ".join(f"CASE WHEN {_HAS('$.' + at, wrong)} AND NOT {_HAS('$.' + at, right)} THEN '{at}' END" for at, wrong, right in (("events[0]", "mentalological_state", "mental_state"), ("events[1]", "mentalological_state", "mental_state"), ("ignored_spans[0]", "source_Ids", "source_id"), ("ignored_spans[1]", "source_Ids", "source_id"))) + ")"
+
+
+@query(f"""
+WITH {ctes(MISSPELLED_RAW)}, m AS (SELECT *, CASE WHEN j IS NULL THEN '' ELSE {_MOVES} END AS paths FROM r)
+SELECT conv_id, turn, paths, paths = '' AS untouched, CASE WHEN contains(paths, 'events[0]') THEN j->>'$.events[0].mentalological_state' ELSE j->>'$.events[0].mental_state' END AS state,
+  CASE WHEN contains(paths, 'spans[1]') THEN j->>'$.ignored_spans[1].source_Ids' END AS span FROM m
+""")
+def wire_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with misspelled fields put right; the others keep every byte."""
+    rows = derived(spark, sf_dir, MISSPELLED_RAW).select("conv_id", "turn", "raw", F.explode(F.array(wire.repair(F.col("raw")))).alias("p"))
+    paths = F.array_join(F.transform("p.actions", lambda a: a.path), ",")
+    told = lambda path: F.get_json_object("p.raw", path)
+    return rows.select("conv_id", "turn", paths.alias("paths"), (F.col("p.raw") == F.col("raw")).alias("untouched"), told("$.events[0].mental_state").alias("state"), told("$.ignored_spans[1].source_id").alias("span"))
+
+
+PROJECTED_RAW = obj(
+    ("events", by(1, (12, listed(obj(("a", text("q1"))))), (14, "'[]'"), (16, "NULL"))),
+    ("ignored_spans", by(2, (9, listed(obj(("source_id", said("S1")), ("reason", text("q2"))), said("S2"), obj(("x", "'1'")))), (12, listed(obj(("source_id", said(""))))), (14, "'[]'"), (16, "NULL"))),
+    ("non_event_span_ids", by(3, (9, listed(said("S3"), text("h"))), (13, "'[]'"), (16, "NULL"))),
+)
+_IGNORED = "list_filter(list_transform(json_extract(j, '$.ignored_spans[*]'), lambda x: CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$' ELSE nullif(x->>'$.source_id', '') END), lambda i: i IS NOT NULL)"
+
+
+@query(f"""
+WITH {ctes(PROJECTED_RAW)} SELECT conv_id, turn, coalesce(json_array_length(j, '$.events'), 0) AS events, j->>'$.events[0].a' AS said, coalesce(array_to_string({_IGNORED}, ','), '') AS ignored, coalesce(array_to_string(json_extract_string(j, '$.non_event_span_ids[*]'), ','), '') AS others FROM r
+""")
+def reply_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies cut down to what later stages need, read back."""
+    made = wire.extractor_projection(F.col("raw"))
+    rows = derived(spark, sf_dir, PROJECTED_RAW).select("conv_id", "turn", F.from_json(made, "events array<struct<a: string>>, ignored_span_ids array<string>, non_event_span_ids array<string>").alias("p"))
+    return rows.select("conv_id", "turn", F.size("p.events").cast("long").alias("events"), F.get("p.events", 0).a.alias("said"), F.array_join("p.ignored_span_ids", ",").alias("ignored"), F.array_join("p.non_event_span_ids", ",").alias("others"))

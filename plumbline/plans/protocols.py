@@ -69,90 +69,6 @@ def _with(base: dict, **changes: object) -> dict:
 
 SOURCE = "Ann flies. Bob sleeps."
 
-_PLAN = {"records": [{"kind": "attribute", "entity": "Ann", "category": "skill", "text": "Ann flies"}]}
-_replies(
-    "record_contract",
-    "Plans of records taken from a text.",
-    [
-        (_PLAN, None),
-        ({"records": []}, "records"),
-        ({"records": [{"kind": "rule"}]}, "record fields"),
-        (_with(_PLAN, records__0__entity=4), "record fields"),
-        (_with(_PLAN, records__0__kind="wish"), "kind"),
-        (_with(_PLAN, records__0__category="a\nb"), "category"),
-        (_with(_PLAN, records__0__text="Ann swims"), "text source"),
-        (_with(_PLAN, records__0__target="Eve"), "target source"),
-        (_with(_PLAN, records__0__entity=None), "entity missing"),
-        (_with(_PLAN, records__0__kind="entity"), "entity_type missing"),
-        (_with(_PLAN, records__0__kind="relation"), "target missing"),
-        (_with(_PLAN, records__0__kind="timepoint"), "time missing"),
-        ({"records": _PLAN["records"] * 2}, "repeated record"),
-        ("[]", "fields"),
-    ],
-    ["error"],
-    lambda d: d.withColumn("error", contracts.plan_error(F.col("v"), F.lit(SOURCE))),
-)
-
-_EVENT = {"actors": ["Ann"], "event": "Ann flies", "source_ids": ["S1"], "modality": "observed", "check_reason": "mechanism"}
-_EXITS = {"events": [_EVENT], "ignored_spans": [], "non_event_span_ids": ["S2"]}
-_replies(
-    "wire_expand",
-    "Compact replies: aliases, defaults and what they may not hold.",
-    [
-        (_EXITS, None, "mechanism", "true"),
-        (_with(_EXITS, events=[{**{k: x for k, x in _EVENT.items() if k != "check_reason"}, "checkReason": "mechanical"}]), None, "mechanism", "true"),
-        (_with(_EXITS, events=[{**_EVENT, "modality": "inferred"}]), None, "mechanism", "false"),
-        (_with(_EXITS, events=[{**_EVENT, "explicit": False}]), "explicit", None, None),
-        (_with(_EXITS, events=[{**_EVENT, "modality": "sung"}]), "modality", None, None),
-        (_with(_EXITS, events=[{**_EVENT, "checkReason": "mechanism"}]), "fields", None, None),
-        (_with(_EXITS, events=[{"event": "x"}]), "fields", None, None),
-        (_with(_EXITS, events=["x"]), "object", None, None),
-        (_with(_EXITS, events={}), "events", None, None),
-        (_with(_EXITS, ignored_spans=KeyError), "exits", None, None),
-    ],
-    ["error", "check_reason", "explicit"],
-    lambda d: d.select("event_id", F.explode(F.array(wire.expand_payload(F.col("raw")))).alias("p")).select("event_id", "p.error", F.get("p.events", 0).check_reason.alias("check_reason"), F.get("p.events", 0).explicit.cast("string").alias("explicit")),
-)
-_LEAN = {"events": [{**_EVENT, "context_ids": []}], "ignored_span_ids": ["S3"], "non_event_span_ids": []}
-_replies(
-    "wire_lean",
-    "Lean replies on the full wire.",
-    [
-        (_LEAN, None, "", "process_detail"),
-        (_with(_LEAN, events=[{("Actors" if k == "actors" else k): x for k, x in _LEAN["events"][0].items()}]), None, "event_field_case_normalized", "process_detail"),
-        (_with(_LEAN, events=[{**_LEAN["events"][0], "ACTORS": ["Bob"]}]), "field case", "event_field_case_normalized", None),
-        (_with(_LEAN, events=[{**_LEAN["events"][0], "mood": 1}]), "event fields", "", None),
-        (_with(_LEAN, ignored_span_ids=["S3", "S3"]), "ignored ids", "", None),
-        (_with(_LEAN, ignored_span_ids=[]), None, "", None),
-        (_EXITS, "exits", "", None),
-    ],
-    ["error", "changes", "reason"],
-    lambda d: d.select("event_id", F.explode(F.array(wire.lean_payload(F.col("raw")))).alias("p")).select("event_id", "p.error", F.coalesce(F.array_join("p.changes", ","), F.lit("")).alias("changes"), F.get("p.ignored_spans", 0).reason.alias("reason")),
-)
-_replies(
-    "wire_misspelled",
-    "Replies with misspelled fields put right; the others keep every byte.",
-    [
-        ('{"events": [{"mentalological_state": 1, "a": "é"}]}', '{"events":[{"a":"é","mental_state":1}]}', "events[0]"),
-        ('{"events":[{"mentalological_state":1,"mental_state":2}]}', '{"events":[{"mentalological_state":1,"mental_state":2}]}', ""),
-        ('{"ignored_spans":[{"source_id":"S1"},{"source_Ids":"S2"}]}', '{"ignored_spans":[{"source_id":"S1"},{"source_id":"S2"}]}', "ignored_spans[1]"),
-        ('{ "events" : [] }', '{ "events" : [] }', ""),
-        ("no json", "no json", ""),
-    ],
-    ["repaired", "paths"],
-    lambda d: d.select("event_id", F.explode(F.array(wire.repair(F.col("raw")))).alias("p")).select("event_id", F.col("p.raw").alias("repaired"), F.array_join(F.transform("p.actions", lambda a: a.path), ",").alias("paths")),
-)
-_replies(
-    "reply_projections",
-    "Replies cut down to what later stages need.",
-    [
-        ({"events": [{"a": 1}], "ignored_spans": [{"source_id": "S1", "reason": "routine"}, "S2", {"x": 1}], "non_event_span_ids": ["S3"]}, '{"events":[{"a":1}],"ignored_span_ids":["S1","S2"],"non_event_span_ids":["S3"]}'),
-        ({"events": []}, '{"events":[],"ignored_span_ids":[],"non_event_span_ids":[]}'),
-    ],
-    ["projection"],
-    lambda d: d.withColumn("projection", wire.extractor_projection(F.col("raw"))),
-)
-
 SPANS = (("S1", "Ann flies,", 0, 10), ("S2", "then rests。", 11, 22), ("S3", "Bob sleeps.", 23, 34))
 STORY = "Ann flies, then rests。 Bob sleeps."
 
