@@ -614,3 +614,137 @@ def reply_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = wire.extractor_projection(F.col("raw"))
     rows = derived(spark, sf_dir, PROJECTED_RAW).select("conv_id", "turn", F.from_json(made, "events array<struct<a: string>>, ignored_span_ids array<string>, non_event_span_ids array<string>").alias("p"))
     return rows.select("conv_id", "turn", F.size("p.events").cast("long").alias("events"), F.get("p.events", 0).a.alias("said"), F.array_join("p.ignored_span_ids", ",").alias("ignored"), F.array_join("p.non_event_span_ids", ",").alias("others"))
+
+
+# ---- facts and short records over a story of two spans: the turn before, a full stop or a comma, and the turn
+
+
+MARK = by(15, (8, "', '"), (16, "'。'"))
+SPANNED = {"mark": MARK, "story": f"t2 || {MARK} || t1", "a2": "0", "b2": "length(t2)", "a1": f"length(t2) + length({MARK})", "b1": f"length(t2) + length({MARK}) + length(t1)"}
+
+
+def spans() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("id"), F.col(t).alias("text"), F.col(a).cast("int").alias("start"), F.col(b).cast("int").alias("stop")) for i, t, a, b in (("S1", "t2", "a2", "b2"), ("S2", "t1", "a1", "b1"))])
+
+
+def spanned(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
+    """derived() with the story, its spans and the reply's variant."""
+    rows = table(spark, sf_dir, "conversations").select(*[F.expr(v).alias(k) for k, v in BASE.items()])
+    rows = rows.select("*", *[F.expr(v).alias(k) for k, v in {**QUOTES, **DIGITS}.items()])
+    rows = rows.select("*", *[F.expr(v).alias(k) for k, v in SPANNED.items()], F.expr(raw).alias("raw"))
+    return rows.withColumn("v", F.explode(F.array(F.try_parse_json("raw"))))
+
+
+def spanned_ctes(raw: str) -> str:
+    return ctes(raw) + ", s AS (SELECT *, " + ", ".join(f"{duck(v)} AS {k}" for k, v in SPANNED.items()) + " FROM r)"
+
+
+def _fact(kind: str) -> str:
+    return obj(
+        ("subject", by(1, (9, text("q1")), (12, text("q2")), (13, said("Nobody")), (14, said("她")), (15, "'4'"), (16, "NULL"))),
+        ("predicate", by(2, (15, said("says")), (16, said(" ")))),
+        ("type", by(3, (14, said(kind)), (15, said("mood")), (16, "NULL"))),
+        ("source_ids", by(4, (7, listed(said("S2"))), (10, listed(said("S1"))), (12, listed(said("S2"), said("S1"))), (13, listed(said("S1"), said("S1"))), (14, listed(said("S7"))), (15, "'[]'"), (16, said("S2")))),
+        ("context_ids", by(5, (10, "NULL"), (13, "'[]'"), (15, listed(said("S1"))), (16, listed(said("S9"))))),
+        ("time", by(6, (10, "NULL"), (12, "'null'"), (15, text("substr(t2, 1, 4)")), (16, said("noon")))),
+        ("object", by(7, (9, "NULL"), (13, text("q2")), (15, said(" ")), (16, "'8'"))),
+    )
+
+
+FACT_RAW = by(0, (1, "'facts'"), (2, obj(("fact", "'[]'"))), (3, obj(("facts", "'[]'"))), (9, obj(("facts", listed(_fact("location"))))), (12, obj(("facts", listed(_fact("location"), _fact("location"))))), (16, obj(("facts", listed(_fact("timeline"), _fact("identity"), "'3'")))))
+_FACTS = "json_extract(j, '$.facts[*]')"
+_F = lambda n: f"(x->>'$.{n}')"
+_FT = lambda n: f"json_type(x, '$.{n}') = 'VARCHAR' AND regexp_matches({_F(n)}, '\\S')"
+_IDS = lambda n: f"CAST(json_extract_string(x, '$.{n}[*]') AS VARCHAR[])"
+_REFS = lambda n: f"json_type(x, '$.{n}') = 'ARRAY' AND len(list_filter({_IDS(n)}, lambda i: i NOT IN ('S1', 'S2'))) = 0 AND len(list_distinct({_IDS(n)})) = len({_IDS(n)})"
+_SAYS = lambda of: f"len(list_filter({of}, lambda i: contains(CASE i WHEN 'S1' THEN t2 ELSE t1 END, {_F('subject')}))) > 0"
+_ALL = f"list_concat({_IDS('source_ids')}, coalesce({_IDS('context_ids')}, []))"
+_FROM = f"list_min(list_transform({_IDS('source_ids')}, lambda i: CASE i WHEN 'S1' THEN a2 ELSE a1 END))"
+#: Only the first span can end before another begins: it alone names the subject, and no sentence ends in between.
+_NEAR = f"(contains(t2, {_F('subject')}) AND NOT contains(t1, {_F('subject')}) AND b2 <= {_FROM} AND NOT regexp_matches(substr(story, b2, greatest({_FROM} - b2 + 1, 0)), '[。！？!?；;\\r\\n]'))"
+_FACT_ERROR = first_broken(
+    [
+        ("fields", "len(list_filter(['subject', 'predicate', 'type', 'source_ids'], lambda k: NOT list_contains(json_keys(x), k))) = 0 AND len(list_filter(json_keys(x), lambda k: k NOT IN ('subject', 'predicate', 'type', 'source_ids', 'object', 'context_ids', 'time'))) = 0"),
+        *[(n, _FT(n)) for n in ("subject", "predicate", "type")],
+        ("object", "json_type(x, '$.object') IS NULL OR json_type(x, '$.object') IN ('VARCHAR', 'NULL')"),
+        ("type", f"{_F('type')} IN {wire.FACT_TYPES}"),
+        ("named subject", f"{_F('subject')} NOT IN {wire.FACT_PRONOUNS} AND contains(story, {_F('subject')})"),
+        ("source_ids", _REFS("source_ids") + f" AND len({_IDS('source_ids')}) > 0"),
+        ("context_ids", f"json_type(x, '$.context_ids') IS NULL OR ({_REFS('context_ids')})"),
+        ("grounding", f"{_SAYS(_ALL)} OR {_NEAR}"),
+        ("time", f"json_type(x, '$.time') IS NULL OR json_type(x, '$.time') = 'NULL' OR ({_FT('time')} AND contains(story, {_F('time')}))"),
+    ]
+)
+_SOURCE = f"substr(story, {_FROM} + 1, list_max(list_transform({_IDS('source_ids')}, lambda i: CASE i WHEN 'S1' THEN b2 ELSE b1 END)) - {_FROM})"
+_ADDED = f"list_concat(coalesce({_IDS('context_ids')}, []), CASE WHEN NOT {_SAYS(_ALL)} THEN ['S1'] ELSE [] END)"
+
+
+@query(f"""
+WITH {spanned_ctes(FACT_RAW)}, e AS (SELECT *, {first_broken([("facts", keys(("facts",)) + f" AND json_type(j, '$.facts') = 'ARRAY' AND len({_FACTS}) <= 20")])} AS error, list_transform({_FACTS}, lambda x: {_FACT_ERROR}) AS bad,
+  list_transform({_FACTS}, lambda x: {_SOURCE}) AS sources, list_transform({_FACTS}, lambda x: array_to_string(list_sort({_ADDED}), ',')) AS contexts, list_transform({_FACTS}, lambda x: CAST(x AS VARCHAR)) AS said FROM s),
+k AS (SELECT *, list_filter(range(1, len(bad) + 1), lambda i: bad[i] IS NULL) AS good FROM e), g AS (SELECT *, list_filter(good, lambda i: list_position(said, said[i]) = i) AS kept FROM k)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN CASE WHEN len(good) = len(bad) THEN 'ok' WHEN len(kept) > 0 THEN 'partial' ELSE 'error' END END AS status,
+  CASE WHEN error IS NULL THEN array_to_string(list_transform(kept, lambda i: 'F' || i), ',') ELSE '' END AS ids, CASE WHEN error IS NULL AND len(kept) > 0 THEN contexts[kept[1]] END AS context, CASE WHEN error IS NULL AND len(kept) > 0 THEN sources[kept[1]] END AS source_text,
+  CASE WHEN error IS NULL THEN array_to_string(list_filter(bad, lambda b: b IS NOT NULL), ',') ELSE '' END AS rejected FROM g
+""")
+def fact_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggested facts of a story of two turns: references, subjects and what they add as context."""
+    rows = spanned(spark, sf_dir, FACT_RAW)
+    rows = rows.select("conv_id", "turn", F.explode(F.array(wire.decoded_facts(F.col("v"), F.col("story"), spans()))).alias("p"))
+    first = F.get("p.facts", 0).fact
+    listed_ = lambda c, of: F.coalesce(F.array_join(F.transform(c, of), ","), F.lit(""))
+    return rows.select("conv_id", "turn", "p.error", "p.status", listed_("p.facts", lambda f: f.id).alias("ids"), F.array_join(first.context_ids, ",").alias("context"), first.source_text.alias("source_text"), listed_("p.rejected", lambda r: r.error).alias("rejected"))
+
+
+def _short(category: str) -> str:
+    return obj(
+        ("k", by(1, (8, said("attribute")), (10, said("entity")), (12, said("timepoint")), (14, said("event")), (15, said("wish")), (16, "NULL"))),
+        ("e", by(2, (11, text("q1")), (13, text("q2")), (14, said("Nobody")), (15, "'null'"), (16, "'4'"))),
+        ("c", by(3, (10, said(category)), (13, "NULL"), (16, said(" ")))),
+        ("y", by(4, (8, "NULL"), (16, said("person")))),
+        ("t", by(5, (7, "NULL"), (10, said("未知")), (14, text("substr(t1, 1, 4)")), (16, said("noon")))),
+        ("s", by(6, (10, said("S2")), (12, said("S1")), (13, said("S9")), (16, "NULL"))),
+        ("q", by(7, (15, "NULL"), (16, "'1'"))),
+    )
+
+
+SHORT_RAW = by(0, (1, "'records'"), (2, obj(("records", "'[]'"))), (3, obj(("records", "'{}'"))), (8, obj(("records", listed(_short("skill"))))), (11, obj(("records", listed(_short("skill"), _short("skill"))))), (16, obj(("records", listed(_short("skill"), _short("place"))))))
+_R = lambda n: f"(x->>'$.{n}')"
+_NODE, _THING = "coalesce((x->>'$.k') = 'timepoint', FALSE)", "coalesce((x->>'$.k') = 'entity', FALSE)"
+_SPAN = "CASE x->>'$.s' WHEN 'S1' THEN t2 WHEN 'S2' THEN t1 END"
+_BARE = f"CASE WHEN regexp_matches({_R('t')}, '\\S') AND NOT (trim({_R('t')}) IN {wire.NO_TIME} AND NOT contains(story, {_R('t')})) THEN {_R('t')} END"
+_SHORT = {
+    "kind": _R("k"), "entity": _R("e"), "entity_type": _R("y"), "category": f"coalesce({_R('c')}, CASE WHEN {_THING} THEN {_R('y')} WHEN {_NODE} THEN '{wire.TIME_NODE}' END)",
+    "text": f"CASE WHEN {_NODE} OR {_THING} THEN {_R('e')} ELSE {_SPAN} END", "time": f"coalesce({_BARE}, CASE WHEN {_NODE} THEN {_R('e')} END)",
+}
+_LINE = lambda n: f"{_SHORT[n]} IS NULL OR regexp_matches({_SHORT[n]}, '\\S')"
+_SHORT_ERROR = first_broken(
+    [
+        ("fields", f"len(list_filter(json_keys(x), lambda k: k NOT IN {(*wire.RECORD_KEYS, 's')})) = 0 AND len(list_filter(json_keys(x), lambda k: k <> 's' AND json_type(x, '$.' || k) NOT IN ('VARCHAR', 'NULL'))) = 0"),
+        ("span", f"CASE WHEN {_NODE} OR {_THING} THEN x->>'$.s' IS NULL ELSE {_SPAN} IS NOT NULL END"),
+        ("source", "regexp_matches(story, '\\S')"),
+        ("kind", f"{_SHORT['kind']} IN {contracts.RECORD_KINDS}"),
+        *[(n, _LINE(n)) for n in ("entity", "entity_type", "category", "text", "time")],
+        ("category missing", f"{_SHORT['category']} IS NOT NULL"),
+        ("text source", f"contains(story, {_SHORT['text']})"),
+        *[(f"{n} source", f"{_SHORT[n]} IS NULL OR contains(story, {_SHORT[n]})") for n in ("entity", "time")],
+        ("entity missing", f"{_SHORT['kind']} NOT IN ('entity', 'attribute', 'relation', 'timepoint') OR {_SHORT['entity']} IS NOT NULL"),
+        ("entity_type missing", f"{_SHORT['kind']} <> 'entity' OR {_SHORT['entity_type']} IS NOT NULL"),
+        ("time missing", f"{_SHORT['kind']} <> 'timepoint' OR {_SHORT['time']} IS NOT NULL"),
+    ]
+)
+
+
+@query(f"""
+WITH {spanned_ctes(SHORT_RAW)}, e AS (SELECT *, list_transform({_RECORDS}, lambda x: {_SHORT_ERROR}) AS bad, list_transform({_RECORDS}, lambda x: {_SHORT['text']}) AS texts, list_transform({_RECORDS}, lambda x: {_SHORT['time']}) AS times FROM s),
+k AS (SELECT *, list_filter(range(1, len(bad) + 1), lambda i: bad[i] IS NULL) AS good FROM e),
+g AS (SELECT *, {first_broken([("source", "regexp_matches(story, '\\S')"), ("records", keys(("records",)) + f" AND json_type(j, '$.records') = 'ARRAY' AND len({_RECORDS}) BETWEEN 1 AND 20"), ("all rejected", "len(good) > 0")])} AS error FROM k)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN CASE WHEN len(good) < len(bad) THEN 'partial' ELSE 'complete' END END AS status, CASE WHEN error IS NULL THEN texts[good[1]] END AS text, CASE WHEN error IS NULL THEN times[good[1]] END AS time,
+  CASE WHEN error IS NULL THEN array_to_string(list_filter(bad, lambda b: b IS NOT NULL), ',') ELSE '' END AS rejected FROM g
+""")
+def short_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with one-letter keys: spans for texts, times that say there is none, nodes as their own text."""
+    rows = spanned(spark, sf_dir, SHORT_RAW)
+    rows = rows.select("conv_id", "turn", F.explode(F.array(wire.decoded_records(F.col("v"), F.col("story"), spans()))).alias("p"))
+    first = F.get("p.records", 0)
+    return rows.select("conv_id", "turn", "p.error", "p.status", first.text.alias("text"), first.time.alias("time"), F.coalesce(F.array_join(F.transform("p.rejected", lambda r: r.error), ","), F.lit("")).alias("rejected"))
