@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
+from array import array
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +19,8 @@ from plumbline.llm.common import small_batches, store
 
 #: Characters of a text that are encoded at a time, up to the next place where both tokenizers start anew.
 PIECE = 1 << 16
-#: Names of groups remembered by a Python worker.
-CACHE_NAMES = 500_000
+#: Names of groups, and B's ids of words of up to LONGEST characters, remembered by a Python worker.
+CACHE_NAMES, CACHE_WORDS, LONGEST = 500_000, 300_000, 64
 #: A group in more than this part of all (document, group) rows is broadcast; there can be HOT_PARTS such groups at most.
 HOT_PARTS = 100_000
 
@@ -71,6 +72,7 @@ class TwoTokenizers:
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.fast = self._faster(path_a, vocabulary, shown)
         self.names = _Names()
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _faster(path: str, vocabulary: dict[str, int], shown: dict[str, int]):
@@ -96,16 +98,30 @@ class TwoTokenizers:
             start = found.start()
         yield text[start:]
 
+    def _ids_a(self, piece: str) -> np.ndarray:
+        if self.fast and _plain(piece) and not _gap(piece):
+            return self.fast.encode_to_numpy(piece, disallowed_special=()).astype(np.int64)
+        return np.array(self.a.encode(piece, add_special_tokens=False).ids, dtype=np.int64)
+
+    def _ids_b(self, piece: str) -> np.ndarray:
+        """Ids by remembered words, if single spaces part the words and no piece of B has a space inside."""
+        if not self.apart or "  " in piece or piece.endswith(" "):
+            return np.array(self.b.encode(piece[1:]) if piece != " " else [self.space], dtype=np.int64)
+        words = piece[1:].split(" ")
+        new = list({w for w in words if w not in self.words})
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = list(set(words))
+        made = {word: array("i", ids).tobytes() for word, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)}
+        self.words.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
+        known = ChainMap(made, self.words) if any(len(w) > LONGEST for w in new) else self.words
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.intc).astype(np.int64)
+
     def _groups(self, piece: str) -> tuple[int, int, list[str]] | None:
         """n_a, n_b, groups of a text that begins with a space; None if the bytes of either side differ from it."""
-        data = piece.encode()
-        if self.fast and _plain(piece) and not _gap(piece):
-            a = np.array(self.fast.encode_ordinary(piece), dtype=np.int64)
-        else:
-            a = np.array(self.a.encode(piece, add_special_tokens=False).ids, dtype=np.int64)
-        b = np.array(self.b.encode(piece[1:]) if piece != " " else [self.space], dtype=np.int64)
+        a, b = self._ids_a(piece), self._ids_b(piece)
         in_a, in_b = a.tolist(), b.tolist()
-        if not b"".join(map(self.bytes_a.__getitem__, in_a)) == b"".join(map(self.bytes_b.__getitem__, in_b)) == data:
+        if not b"".join(map(self.bytes_a.__getitem__, in_a)) == b"".join(map(self.bytes_b.__getitem__, in_b)) == piece.encode():
             return None
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
         at = np.searchsorted(ends_b, ends_a)  # both end with the text
