@@ -6,6 +6,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -73,7 +74,7 @@ class ArchiveReader(DataSourceReader):
             try:
                 with _open(path) as file, zipfile.ZipFile(file) as z:
                     infos = [i for i in z.infolist() if not i.is_dir() and (self.glob is None or PurePosixPath(i.filename).match(self.glob))]
-            except zipfile.BadZipFile as e:
+            except (zipfile.BadZipFile, pa.ArrowInvalid) as e:  # a file of a few bytes has no end record to seek
                 if self.strict:
                     raise ValueError(f"{path} is no archive") from e
                 parts.append(_Part(path, ()))
@@ -101,7 +102,7 @@ class ArchiveReader(DataSourceReader):
                     if not safe(name):
                         raise ValueError("unsafe name")
                     data = z.read(name)  # compares the member's own checksum
-                except (zipfile.BadZipFile, ValueError, EOFError, OSError) as e:
+                except (zipfile.BadZipFile, zlib.error, ValueError, EOFError, OSError) as e:
                     if self.strict:
                         raise ValueError(f"{partition.archive}: {name}: {e}") from e
                     yield partition.archive, name, None, None, "unsafe" if not safe(name) else "unreadable", None
