@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import documents
 from plumbline.plans.base import registry, table
 from plumbline.session import shared_dir
 from plumbline.sources import archives, sync
@@ -152,3 +153,39 @@ def resumed_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = told.groupBy("job").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "failed").alias("failed"))
     counted = asked.agg(F.sum(F.col("n") - F.col("failed")).alias("asked"))
     return done.select("id", "reply", "error").join(F.broadcast(counted))  # one row
+
+
+REPORT_SQL = """
+WITH g AS (SELECT lang, count(*) AS n, count(text) AS texts, avg(length(text)) AS mean FROM documents GROUP BY lang),
+s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) AS p FROM documents GROUP BY source),
+e AS (SELECT event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS high, row_number() OVER (ORDER BY count(*) DESC, event_type) AS p FROM events GROUP BY event_type),
+t AS (SELECT count(*) AS n, count(text) AS texts FROM documents)
+SELECT 0 AS section, 0 AS part, 0 AS place, '# The collection' AS line
+UNION ALL SELECT 0, 1, 0, printf('%d documents, %d with a text (%.2f%%).', n, texts, 100.0 * texts / n) FROM t
+UNION ALL SELECT 1, 0, 0, '## By language' UNION ALL SELECT 1, 1, 0, '| Language | Documents | Texts | Mean length |' UNION ALL SELECT 1, 1, 1, '|---|---:|---:|---:|'
+UNION ALL SELECT 1, 1, 1 + row_number() OVER (ORDER BY lang NULLS FIRST), printf('| %s | %d | %d/%d | %.4f |', coalesce(lang, 'N/A'), n, texts, n, mean) FROM g
+UNION ALL SELECT 2, 0, 0, '## By source' UNION ALL SELECT 2, 1, p, printf('- %s: %d', coalesce(source, 'N/A'), n) FROM s
+UNION ALL SELECT 3, 0, 0, '## Events' UNION ALL SELECT 3, 1, p, printf('%d. %s: %d, high %d', p, event_type, n, high) FROM e
+UNION ALL SELECT 3, 2, 1, '- none'
+"""
+
+
+@query(REPORT_SQL)
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report document over documents and events, line by line."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    by = lambda k: d.groupBy(k).agg(F.count("*").alias("n"), F.count("text").alias("texts"), F.avg(F.length("text")).alias("mean"))
+    all_ = d.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
+    kinds = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high")).withColumn("fewer", -F.col("n"))
+    none = e.where("event_type IS NULL").groupBy("event_type").agg(F.count("*").alias("n"))
+    name = documents.words("event_type")
+    report = documents.Document(
+        "The collection",
+        (
+            documents.Section("By language", (documents.Table(by("lang"), (("Language", documents.words("lang"), False), ("Documents", documents.whole("n"), True), ("Texts", documents.share("texts", "n"), True), ("Mean length", documents.number("mean"), True)), ("lang",)),)),
+            documents.Section("By source", (documents.Items(by("source"), F.concat(documents.words("source"), F.lit(": "), documents.whole("n")), ("source",)),)),
+            documents.Section("Events", (documents.Items(kinds, F.concat(name, F.lit(": "), documents.whole("n"), F.lit(", high "), documents.whole("high")), ("fewer", "event_type"), numbered=True), documents.Items(none, name, ("event_type",)))),
+        ),
+        intro=(documents.Note((documents.whole("n"), " documents, ", documents.whole("texts"), " with a text (", documents.percent(F.col("texts") / F.col("n")), ")."), all_),),
+    )
+    return documents.lines(spark, report)
