@@ -54,6 +54,26 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_many_null_ids(spark):
+    draw, texts = random.Random(9), []
+    for _ in range(1_000):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(["x", *words[1:]])]  # 58 of 60 pairs of words are common
+    d = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    names = d.selectExpr("xxhash64(doc_id, text) AS row", "text")
+    got = {r.text: (r.component, r.n_shingles) for r in minhash.near_duplicates(d, width=2, named=True).join(names, "row").collect()}
+    assert len(got) == 2_000 and all(got[a] == got[b] and got[a][1] == 59 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert len({c for c, _ in got.values()}) == 1_000
+
+
+def test_signatures_in_pieces(monkeypatch):
+    s = minhash.shingles(" ".join(f"w{i * 7919 % 1_000_003}" for i in range(300_000)).encode(), 2)
+    a, b, step = minhash._constants()
+    v = s[:, None] * a + b
+    v ^= v >> np.uint64(32)
+    assert (minhash._signature(s) == (v * step).min(axis=0)).all() and len(s) > 4 * minhash.PIECE
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1040)] + [(5, 5), (2, 9), (9, 4), (4, 2)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
