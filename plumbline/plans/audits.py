@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import callable
 from plumbline.functions import judging, rules
 from plumbline.functions.stats import linear, nearest_rank, strict_sum
 from plumbline.operators import checks, metrics
@@ -100,6 +101,18 @@ def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.greedy_matches(lists)
 
 
+@query("WITH RECURSIVE " + CASES[: CASES.index("m AS (")].rstrip().rstrip(",") + GREEDY)
+def sql_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """greedy_matching() in SQL text, by a grouped aggregate."""
+    callable.register(spark)
+    _cases(spark, sf_dir)[1].createOrReplaceTempView("sql_matches_alarms")
+    return spark.sql("""
+        WITH lists AS (SELECT case_id, floor(alarm_id / 20) AS alarm_id, collect_set(CAST(gold_id AS STRING)) AS may FROM sql_matches_alarms WHERE gold_id IS NOT NULL GROUP BY 1, 2),
+        taken AS (SELECT case_id, explode(matched_in_turn(alarm_id, may)) AS x FROM lists GROUP BY case_id)
+        SELECT case_id, CAST(x.alarm AS STRING) AS alarm_id, x.matched FROM taken
+    """)
+
+
 FUNNEL = """
 o AS (SELECT o_orderkey, o_orderpriority, o_totalprice > 100000 AS large, bool_or(l_returnflag = 'R') AS back, count(l_orderkey) > 0 AS has_lines, o_orderstatus = 'F' AS done
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""

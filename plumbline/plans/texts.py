@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules, text as fn, wire
+from plumbline.functions import callable, rules, text as fn, wire
 from plumbline.operators import checks, relations, retrieval, sequences
 from plumbline.plans.base import registry, table
 
@@ -71,6 +71,23 @@ def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc", "window_no", F.array_join("target_ids", ",").alias("targets"), F.array_join("context_ids", ",").alias("context"))
 
 
+@query(f"""WITH RECURSIVE {SPANS},
+z AS (SELECT doc_id, n, length(span) AS c FROM spans),
+r AS (SELECT doc_id, n, CAST(1 AS BIGINT) AS w, CAST(1 AS BIGINT) AS k, c FROM z WHERE n = 1
+  UNION ALL SELECT z.doc_id, z.n, r.w + (r.k >= 8 OR r.c + z.c > 180)::INT, CASE WHEN r.k >= 8 OR r.c + z.c > 180 THEN 1 ELSE r.k + 1 END, CASE WHEN r.k >= 8 OR r.c + z.c > 180 THEN z.c ELSE r.c + z.c END
+  FROM r JOIN z ON z.doc_id = r.doc_id AND z.n = r.n + 1)
+SELECT doc_id AS doc, CAST(w AS INTEGER) AS window_no, count(*) AS n_spans, CAST(min(n) AS INTEGER) AS first FROM r GROUP BY doc_id, w""")
+def sql_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """greedy_windows() in SQL text, by table functions that cut texts and number windows."""
+    callable.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("sql_windows_documents")
+    return spark.sql("""
+        WITH s AS (SELECT doc_id AS key, CAST(substr(s.id, 2) AS INT) AS place, length(s.text) AS size FROM sql_windows_documents, LATERAL clause_spans(text, 180) s),
+        w AS (SELECT * FROM greedy_windows(TABLE(SELECT key, place, size FROM s) PARTITION BY key ORDER BY (place), 8, 180))
+        SELECT key AS doc, window AS window_no, count(*) AS n_spans, min(place) AS first FROM w GROUP BY key, window
+    """)
+
+
 @query(f"""WITH {SPANS},
 d AS (SELECT doc_id, n, CASE WHEN n % 7 = 0 THEN 'none' WHEN n % 11 = 0 AND length(span) >= 20 THEN 'clash' WHEN length(span) < 20 THEN 'ignored' WHEN span LIKE '%.%' THEN 'event' ELSE 'non_event' END AS kind FROM spans)
 SELECT doc_id, count(*) AS targets, count(*) FILTER (kind = 'event') AS event, count(*) FILTER (kind = 'ignored') AS ignored,
