@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import audits, changing, derived, ledgers, ranking, stages, texts, tracks
+from plumbline.plans import audits, changing, derived, ledgers, ranking, reviewed, stages, texts, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (texts, ranking, audits, tracks, ledgers, stages, changing, derived):
+for part in (texts, ranking, audits, tracks, ledgers, stages, changing, derived, reviewed):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
