@@ -22,9 +22,10 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, width: int) -> Data
 
 
 def ordered_pairs(rows: DataFrame, group: str, order: str, most: int, batch: int) -> DataFrame:
-    """group, first, second, pair_no, batch_no: pairs of a group's rows in order, the first ``most`` of a group.
+    """group, first, second, pair_no, batch_no, unprocessed: pairs of a group's rows in order, the first ``most`` of a group.
 
-    Pair numbers follow the order of first and second. Rows beyond those that can reach the first ``most`` pairs never meet.
+    Pair numbers follow the order of first and second; ``unprocessed`` is how many pairs of the group are beyond ``most``. Rows that
+    cannot reach the first ``most`` pairs never meet.
     """
     w = Window.partitionBy(group).orderBy(order)
     rows = rows.select(group, F.col(order).alias("at")).withColumn("pos", F.row_number().over(w.orderBy("at")))
@@ -35,7 +36,8 @@ def ordered_pairs(rows: DataFrame, group: str, order: str, most: int, batch: int
     a = rows.select(group, F.col("at").alias("first"), F.col("pos").alias("i"), "n").where(F.col("pos") <= most)
     b = rows.select(group, F.col("at").alias("second"), F.col("pos").alias("j"))
     pairs = a.join(b, group).where(F.col("i") < F.col("j")).withColumn("pair_no", number).where(F.col("pair_no") <= most)
-    return pairs.select(group, "first", "second", "pair_no", F.floor((F.col("pair_no") - 1) / batch).alias("batch_no"))
+    beyond = F.greatest((F.col("n") * (F.col("n") - 1) / 2).cast("long") - most, F.lit(0)).alias("unprocessed")
+    return pairs.select(group, "first", "second", "pair_no", F.floor((F.col("pair_no") - 1) / batch).alias("batch_no"), beyond)
 
 
 def nearest_before(rows: DataFrame, group: str, order: list[str], is_mark: Column, value: Column, name: str) -> DataFrame:

@@ -365,9 +365,9 @@ def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.run_changes(o.where(k % 31 != 0).select(*base), new)
 
 
-@query("""
+@query(r"""
 WITH t AS (SELECT conv_id, turn, text, role FROM conversations WHERE text IS NOT NULL AND text <> ''),
-c AS (SELECT conv_id AS case_id, turn AS claim_id, left(text, 20) AS quote, CASE WHEN turn % 2 = 0 THEN 'consistent' ELSE 'contradiction' END AS expected FROM t WHERE turn % 3 <> 2),
+c AS (SELECT conv_id AS case_id, turn AS claim_id, regexp_extract(text, '^[^.!?\n]+') AS quote, CASE WHEN turn % 2 = 0 THEN 'consistent' ELSE 'contradiction' END AS expected FROM t WHERE turn % 3 <> 2),
 i AS (SELECT conv_id AS case_id, turn AS item_id, CASE WHEN role = 'system' THEN 'entity' ELSE 'attribute' END AS kind, text, CASE WHEN turn % 5 = 4 THEN 'error' ELSE 'ok' END AS status, CASE WHEN turn % 4 = 1 THEN 'contradiction' ELSE 'consistent' END AS verdict FROM t),
 m AS (SELECT c.case_id, c.claim_id, expected, count(i.item_id) AS n, count(DISTINCT i.text) AS texts, count(*) FILTER (i.status <> 'ok') AS lost, list(DISTINCT i.verdict) FILTER (i.status = 'ok') AS said
   FROM c LEFT JOIN (SELECT * FROM i WHERE kind <> 'entity') i ON i.case_id = c.case_id AND contains(i.text, c.quote) GROUP BY ALL)
@@ -375,11 +375,11 @@ SELECT case_id, claim_id, texts = 1 AS found, CASE WHEN n = 0 OR lost > 0 THEN '
   texts = 1 AND lost = 0 AND len(said) = 1 AND said[1] = expected AS verdict_ok, texts = 1 AS kind_ok FROM m
 """)
 def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that quote the beginning of a turn against the turns as items."""
+    """Claims that quote the first sentence of a turn against the turns as items."""
     t = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text <> ''")
     n = F.col("turn")
     none = F.array().cast("array<string>")
-    claims = t.where(n % 3 != 2).select(F.col("conv_id").alias("case_id"), n.alias("claim_id"), F.substring("text", 1, 20).alias("quote"), F.when(n % 2 == 0, "consistent").otherwise("contradiction").alias("expected"), F.array(F.lit("attribute")).alias("kinds"), none.alias("subjects"), none.alias("terms"))
+    claims = t.where(n % 3 != 2).select(F.col("conv_id").alias("case_id"), n.alias("claim_id"), F.regexp_extract("text", r"^[^.!?\n]+", 0).alias("quote"), F.when(n % 2 == 0, "consistent").otherwise("contradiction").alias("expected"), F.array(F.lit("attribute")).alias("kinds"), none.alias("subjects"), none.alias("terms"))
     items = t.select(
         F.col("conv_id").alias("case_id"), n.alias("item_id"), F.when(F.col("role") == "system", "entity").otherwise("attribute").alias("kind"), F.col("role").alias("entity"), "text", F.col("text").alias("whole"),
         F.when(n % 5 == 4, "error").otherwise("ok").alias("status"), F.when(n % 4 == 1, "contradiction").otherwise("consistent").alias("verdict"),

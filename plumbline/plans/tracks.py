@@ -16,9 +16,9 @@ QUERIES, ORACLES, query = registry()
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-p AS (SELECT a.conv_id, a.turn AS first, b.turn AS second, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i, b.i) AS pair_no FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.i < b.i)
-SELECT conv_id, first, second, pair_no, (pair_no - 1) // 4 AS batch_no FROM p WHERE pair_no <= 120
+WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+p AS (SELECT a.conv_id, a.n, a.turn AS first, b.turn AS second, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.i, b.i) AS pair_no FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.i < b.i)
+SELECT conv_id, first, second, pair_no, (pair_no - 1) // 4 AS batch_no, greatest(n * (n - 1) // 2 - 120, 0) AS unprocessed FROM p WHERE pair_no <= 120
 """)
 def pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a conversation's turns in order, up to the story check's limit of 120, in batches of four."""
