@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +19,15 @@ from plumbline.llm.common import small_batches, store
 
 #: Characters of a text that are encoded at a time, up to the next place where both tokenizers start anew.
 PIECE = 1 << 16
-#: Names of groups, and B's ids of words of up to LONGEST characters, remembered by a Python worker.
-CACHE_NAMES, CACHE_WORDS, LONGEST = 500_000, 300_000, 64
+#: Names of groups that a Python worker remembers, and words of up to LONGEST characters with their groups, in two generations; words encoded at once.
+CACHE_NAMES, CACHE_WORDS, LONGEST, LEARNT = 500_000, 150_000, 64, 20_000
 #: A group in more than this part of all (document, group) rows is broadcast; there can be HOT_PARTS such groups at most.
 HOT_PARTS = 100_000
 
 #: What a cut before a space must not follow: white space, controls and other characters that engines class differently.
 _ODD = r"\s\x00-\x20\x7f-\xa0\xad\u0600-\u0605\u061c\u06dd\u070f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff\ufff0-\uffff"
+#: Whether such a character stands before a space or at the end.
+_odd = re.compile(f"[{_ODD}](?: |\\Z)").search
 _place = re.compile(f"(?<=[^{_ODD}]) ").search
 #: Texts of these characters, whose classes no Unicode version and no engine tells apart.
 _plain = re.compile("[\\t\\n\\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
@@ -72,7 +74,8 @@ class TwoTokenizers:
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.fast = self._faster(path_a, vocabulary, shown)
         self.names = _Names()
-        self.words: dict[str, bytes] = {}
+        self.units: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     @staticmethod
     def _faster(path: str, vocabulary: dict[str, int], shown: dict[str, int]):
@@ -104,21 +107,13 @@ class TwoTokenizers:
         return np.array(self.a.encode(piece, add_special_tokens=False).ids, dtype=np.int64)
 
     def _ids_b(self, piece: str) -> np.ndarray:
-        """Ids by remembered words, if single spaces part the words and no piece of B has a space inside."""
+        """Word by word, if single spaces part the words and no piece of B has a space inside."""
         if not self.apart or "  " in piece or piece.endswith(" "):
             return np.array(self.b.encode(piece[1:]) if piece != " " else [self.space], dtype=np.int64)
-        words = piece[1:].split(" ")
-        new = list({w for w in words if w not in self.words})
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = list(set(words))
-        made = {word: array("i", ids).tobytes() for word, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)}
-        self.words.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
-        known = ChainMap(made, self.words) if any(len(w) > LONGEST for w in new) else self.words
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.intc).astype(np.int64)
-
-    def _groups(self, piece: str) -> tuple[int, int, list[str]] | None:
-        """n_a, n_b, groups of a text that begins with a space; None if the bytes of either side differ from it."""
+        return np.fromiter(chain.from_iterable(self.b.encode(piece[1:].split(" "), num_threads=1)), np.int64)
+
+    def _groups(self, piece: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]] | None:
+        """Of a text that begins with a space: where A and B tokens end, where groups end, the groups; None if the bytes of either side differ from it."""
         a, b = self._ids_a(piece), self._ids_b(piece)
         in_a, in_b = a.tolist(), b.tolist()
         if not b"".join(map(self.bytes_a.__getitem__, in_a)) == b"".join(map(self.bytes_b.__getitem__, in_b)) == piece.encode():
@@ -132,23 +127,58 @@ class TwoTokenizers:
         longer = np.flatnonzero((first_a < last_a) | (first_b < last_b))
         for k, i, j, m, n in zip(*(x.tolist() for x in (longer, first_a[longer], last_a[longer], first_b[longer], last_b[longer])), strict=True):
             keys[k] = (tuple(in_a[i : j + 1]), tuple(in_b[m : n + 1]))
-        names = list(map(self.names.__getitem__, keys))
-        return len(a), len(b), names
+        return ends_a, ends_b, ends_a[last_a], list(map(self.names.__getitem__, keys))
 
-    def align(self, text: str | None) -> tuple[int, int, int, str, dict[str, int]]:
-        """n_a, n_b, n_groups, digest of all groups in order, and how often each group occurs."""
+    def words_of(self, text: str) -> list[str] | None:
+        """The words of a text whose tokens are those of its words with a space before each; null if that can't be told."""
+        if not (self.apart and self.fast) or len(text) > 16 * PIECE or text[:1] in ("", " ") or not _plain(text) or _odd(text):
+            return None
+        words = text.split(" ")
+        return None if len(max(words, key=len)) > LONGEST else words
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the groups of words: those that are new are encoded as one text and cut apart."""
+        if len(self.units) > CACHE_WORDS:
+            self.older, self.units = self.units, {}
+        known = {w: x for w in words if w not in self.units and (x := self.older.get(w))}
+        new = [w for w in words if w not in self.units and w not in known]
+        self.units.update(known)
+        for i in range(0, len(new), LEARNT):
+            some = new[i : i + LEARNT]
+            found = self._groups(" " + " ".join(some))
+            if found is None:  # some word is not given back, and so no text that holds it
+                each = [(w, self._groups(" " + w)) for w in some]
+                self.units.update((w, x and (len(x[0]), len(x[1]), tuple(x[3]), ";".join(x[3]))) for w, x in each)
+                continue
+            ends_a, ends_b, ends, groups = found
+            stops = np.cumsum([len(w.encode()) + 1 for w in some])
+            cuts = (np.concatenate([[0], np.searchsorted(x, stops, side="right")]) for x in (ends_a, ends_b, ends))
+            in_a, in_b, at = (x.tolist() for x in cuts)
+            for k, word in enumerate(some):
+                own = tuple(groups[at[k] : at[k + 1]])
+                self.units[word] = (in_a[k + 1] - in_a[k], in_b[k + 1] - in_b[k], own, ";".join(own))
+
+    def align(self, text: str | None, words: list[str] | None = None) -> tuple[int, int, int, str, dict[str, int]]:
+        """n_a, n_b, n_groups, digest of all groups in order, and how often each group occurs; ``words`` are known ones from words_of()."""
+        if words is not None:
+            known = list(map(self.units.__getitem__, words))
+            if None in known:
+                return 0, 0, 0, "", {}
+            n_a, n_b, groups, shown = zip(*known, strict=True)
+            tally = Counter(chain.from_iterable(groups))
+            return sum(n_a), sum(n_b), tally.total(), hashlib.sha256(";".join(shown).encode()).hexdigest(), tally
         n_a, n_b, tally, digest = 0, 0, Counter(), None
         for piece in self._pieces(" " + text) if text else ():
             found = self._groups(piece)
             if found is None:
                 return 0, 0, 0, "", {}
-            n_a, n_b = n_a + found[0], n_b + found[1]
-            tally.update(found[2])
+            n_a, n_b = n_a + len(found[0]), n_b + len(found[1])
+            tally.update(found[3])
             if digest is None:
                 digest = hashlib.sha256()
             else:
                 digest.update(b";")
-            digest.update(";".join(found[2]).encode())
+            digest.update(";".join(found[3]).encode())
         return n_a, n_b, tally.total(), digest.hexdigest() if digest else "", tally
 
 
@@ -166,8 +196,11 @@ def groups_of(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         both = _tokenizers(path_a, path_b)
         for batch in batches:
             n_a, n_b, n_groups, digests, starts, names, times = [], [], [], [], [0], [], []
-            for text in batch.column("text"):
-                a, b, n, digest, tally = both.align(text.as_py())
+            texts = batch.column("text").to_pylist()
+            words = [both.words_of(t) if t else None for t in texts]
+            both.learn(set(chain.from_iterable(w for w in words if w)))
+            for text, known in zip(texts, words, strict=True):
+                a, b, n, digest, tally = both.align(text, known)
                 n_a.append(a)
                 n_b.append(b)
                 n_groups.append(n)

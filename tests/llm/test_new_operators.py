@@ -116,7 +116,7 @@ def test_alignment_of_odd_texts(spark, monkeypatch, parts):
     draw = random.Random(4)
     odd = [" ", "  ", "   x", "x ", "x  ", "a\n b", "a \n  b", "\t", "▁", "a▁b", "<|endoftext|>", "a <|endoftext|> b", "<s> </s> <unk>", "<0x41>", "  x", "x  y", "　 z", "é e", "\x00 a", "\x1c b", "\x85 c d", "don't 'll 's", "​ x ​ y", "\U0001f600 \U0001f600\U0001f600", "日本語 テキスト", "12 345  6", "--- ...  !!", "a" * 3000, "a  b " * 2000]
     pieces = ["a", "Wort", " ", "  ", "\n", "\t", "'s", "9", "é", "́", "‍", "ß", "…", " ", "x1", "<s>"]
-    odd += ["".join(draw.choice(pieces) for _ in range(draw.randint(1, 14))) for _ in range(300)]
+    odd += ["".join(draw.choice(pieces) for _ in range(draw.randint(1, 14))) for _ in range(150)]
     rows = [*enumerate(odd), (7, "x "), (None, "x y"), (None, None), (900, ""), (901, None), (902, "x y"), (902, "x y")]
     d = spark.createDataFrame(rows, DOCS).withColumns({"row": F.lit("r"), "g": F.lit(1), "groups": F.lit(2)})
     key = lambda r: tuple(map(str, r))
@@ -124,6 +124,22 @@ def test_alignment_of_odd_texts(spark, monkeypatch, parts):
     assert alignment.align(d.limit(0), A, B).count() == 0
 
 
+def test_words_stand_for_their_texts():
+    both, draw, seen = alignment.TwoTokenizers(A, B), random.Random(3), 0
+    pool = ["a", "Wort", "don't", "x1", "\n", "\t", "é", "…", "ß", "9", "'s", "--", "naïve", "\n\n", "the"]
+    for _ in range(1_000):
+        text = "".join(draw.choice(pool) + draw.choice(["", " ", " "]) for _ in range(draw.randint(1, 12)))
+        words = both.words_of(text)
+        if words is not None:
+            both.learn(set(words))
+            assert both.align(text, words) == both.align(text)
+            seen += 1
+    both._groups = lambda piece, of=both._groups: None if "odd" in piece else of(piece)  # a side that does not give a word back
+    both.learn({"even", "odd"})
+    assert both.align("even odd", ["even", "odd"]) == (0, 0, 0, "", {}) and both.align("even", ["even"])[2] > 0
+    assert seen > 50 and both.words_of("two  spaces") is None and both.words_of("end ") is None
+
+
 def brute_trie(rows):
     own, mark = defaultdict(list), lambda role, text: hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
     for c, turn, role, text in rows:
@@ -165,7 +181,7 @@ def test_trie(spark, parts):
             said = draw.choice(["hi", "yes", "ü", None]) if draw.random() < 0.8 else f"t{draw.randint(0, 50)}"
             rows.append((c, draw.choice([t, t, t, None]), draw.choice(["user", "assistant", None, ""]) if t > 3 else "user", said))
     rows += [(100 + i, t, "user", "hot") for i in range(150) for t in range(12)] + [(None, 1, "user", "x"), (5000, 0, "user", "x"), (5000, 0, "user", "x")]
-    rows += [(6000, t, "user", f"long {t % 7}") for t in range(900)]
+    rows += [(6000, t, "user", f"long {t % 7}") for t in range(300)]
     d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"path": F.lit(1), "depth": F.lit(2)}).repartition(3)
     with setting(spark, "spark.sql.shuffle.partitions", str(parts)):
         got = sorted((tuple(r) for r in prefix_trie.prefix_trie(d).collect()), key=str)
