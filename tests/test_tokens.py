@@ -28,9 +28,9 @@ def test_offsets_cover_texts(spark):
 
 
 def test_chunks_keep_the_budget(spark):
-    d = table(spark, SF, "documents").where("text IS NOT NULL").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text")
+    d = table(spark, SF, "documents").where("text IS NOT NULL AND n_chars < 4000").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text")
     counter = tokens.TokenCounter(PATH)
-    made = corpus.chunks(d, counter, 400)
-    told = tokens.inspect(made.select("file", "embedding_text", "text", F.col("tokens").alias("said")), PATH, 400, text="embedding_text")
+    made = corpus.chunks(d, counter, 200)
+    told = tokens.inspect(made.select("file", "embedding_text", "text", F.col("tokens").alias("said")), PATH, 200, text="embedding_text")
     rows = told.agg(F.count("*").alias("n"), F.max("tokens").alias("most"), F.count_if("truncated").alias("cut"), F.count_if(F.col("tokens") != F.col("said")).alias("wrong")).first()
-    assert rows.n > d.count() and rows.most <= 400 and (rows.cut, rows.wrong) == (0, 0)
+    assert rows.n > d.count() and rows.most <= 200 and (rows.cut, rows.wrong) == (0, 0)
