@@ -105,3 +105,33 @@ def test_vectors_equal_brute_force(spark):
     got = sorted(tuple(r) for r in grid_join.near_duplicates(d, block=16).collect())
     assert got == [(i, links[i], roots.find(i), roots.find(i) == i) for i in range(len(rows))]
     assert grid_join.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_a_cluster_of_unlinked_texts_costs_a_link_a_text(spark, monkeypatch):
+    draw, base, texts = random.Random(3), [f"w{i}" for i in range(200)], []
+    for i in range(400):
+        words = list(base)
+        for k in draw.sample(range(200), 5):
+            words[k] = f"x{i}y{k}"
+        texts.append((i, " ".join(words)))
+    sent, real = [], minhash.components
+
+    def counted(links):
+        links = minhash.store(links, "counted")
+        sent.append(links.distinct().count())
+        return real(links)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(d, width=5).drop("row").collect())
+    assert got == brute(texts, 5)
+    assert sum(sent) <= 2 * len(texts)
+
+
+def test_join_sides_are_sent_by_measured_sizes_only(spark):
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(key)
+    from plumbline.llm.common import measured_joins
+
+    measured_joins(lambda rows: seen.append((spark.conf.get(key), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold"))))(spark.range(1))
+    assert seen == [("-1", before)] and spark.conf.get(key) == before and minhash.MOST_IDS <= 500_000
