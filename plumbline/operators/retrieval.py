@@ -296,19 +296,32 @@ def candidate_items(facts: DataFrame, items: DataFrame, least: int) -> tuple[Dat
     Facts that no filter leaves enough for have all items as candidates and no rows in the second frame; they are ranked
     without candidates.
     """
+    picked, every, kinds, tagged = _candidate_kinds(facts, items, least)
+    return picked, every.join(kinds, "kind").join(tagged, "item_kind").select("fact_id", "item_id")
+
+
+def _candidate_kinds(facts: DataFrame, items: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """select_candidates() with the trace, then the kind of each fact, kind and item_kind of what is a candidate of what, and the kind of each item."""
     every, chosen, some = _chosen(facts, items, least)
     picked = every.join(chosen, "fact_id").select(F.col("fact").alias("fact_id"), "level", (F.col("level_no") > 0).alias("fallback"), "candidates", "trace")
-    kinds = chosen.where("level <> 'all'").select("fact_id", "level_no").join(some, ["fact_id", "level_no"])
+    kinds = chosen.where("level <> 'all'").select("fact_id", "level_no").join(some, ["fact_id", "level_no"]).select(F.col("fact_id").alias("kind"), "item_kind")
     tagged = items.select("item_id", F.xxhash64("entities", "dimension_tags", "time_markers").alias("item_kind"))
-    return picked, every.join(kinds, "fact_id").join(tagged, "item_kind").select(F.col("fact").alias("fact_id"), "item_id")
+    return picked, every.select(F.col("fact").alias("fact_id"), F.col("fact_id").alias("kind")), kinds, tagged
+
+
+def expected_candidates(facts: DataFrame, items: DataFrame, expected: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """candidate_items(), of whose second frame only the rows of ``expected`` (fact_id, item_id) are made: as many as these at most."""
+    picked, every, kinds, tagged = _candidate_kinds(facts, items, least)
+    asked = expected.distinct().join(every.distinct(), "fact_id").join(tagged.distinct(), "item_id")
+    return picked, asked.join(kinds, ["kind", "item_kind"], "left_semi").select("fact_id", "item_id")
 
 
 def filter_audit(picked: DataFrame, candidates: DataFrame, expected: DataFrame) -> DataFrame:
     """level, facts, kept (facts of which all expected items are candidates), least, most, mean (candidates): by level and, as null, overall.
 
-    picked, candidates: from candidate_items(); expected: fact_id, item_id.
+    picked, candidates: from candidate_items() or, where facts have many candidates, expected_candidates(); expected: fact_id, item_id.
     """
-    there = candidates.withColumn("there", F.lit(True))
+    there = candidates.distinct().withColumn("there", F.lit(True))
     lost = expected.distinct().join(there, ["fact_id", "item_id"], "left").groupBy("fact_id").agg(F.count_if(F.col("there").isNull()).alias("lost"))
     rows = picked.join(lost, "fact_id", "left").withColumn("kept", (F.col("level") == "all") | (F.coalesce("lost", F.lit(0)) == 0))
     measures = [F.count("*").alias("facts"), F.count_if("kept").alias("kept"), F.min("candidates").alias("least"), F.max("candidates").alias("most"), F.round(F.avg("candidates"), DIGITS).alias("mean")]
