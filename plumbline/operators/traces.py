@@ -6,6 +6,8 @@ attempts: case_id, window_id, pos (from 1), attempt, purpose, status, error, err
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,12 +139,18 @@ def call_groups(calls: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def log_problems(attempts: DataFrame, calls: DataFrame, wires: DataFrame) -> DataFrame:
     """log, call_id, problem: attempts without a call or a wire row (call_id), and calls and wires that no attempt names."""
-    a = attempts.where("call_id IS NOT NULL").select("call_id").distinct()
-
-    def apart(left: DataFrame, right: DataFrame, log: str, problem: str) -> DataFrame:
-        return left.select("call_id").join(right.select("call_id"), "call_id", "left_anti").select(F.lit(log).alias("log"), "call_id", F.lit(problem).alias("problem"))
-
-    return apart(a, calls, "calls", "missing").unionByName(apart(a, wires, "wires", "missing")).unionByName(apart(calls, a, "calls", "unknown")).unionByName(apart(wires, a, "wires", "unknown"))
+    count = lambda rows, name: rows.select("call_id", *[F.lit(int(n == name)).alias(n) for n in ("a", "c", "w")])
+    every = reduce(DataFrame.unionByName, [count(rows.where("call_id IS NOT NULL"), name) for rows, name in ((attempts, "a"), (calls, "c"), (wires, "w"))])
+    # All logs meet in one sum by id; no side is sorted or held whole beside another.
+    held = every.groupBy("call_id").agg(*[F.sum(n).alias(n) for n in ("a", "c", "w")])
+
+    def rows(log: str, n: str) -> Column:
+        row = lambda problem: F.struct(F.lit(log).alias("log"), F.lit(problem).alias("problem"))
+        return F.when((F.col("a") > 0) & (F.col(n) == 0), F.array(row("missing"))).when(F.col("a") == 0, F.array_repeat(row("unknown"), F.col(n).cast("int"))).otherwise(F.array_repeat(row("unknown"), 0))
+
+    found = held.select("call_id", F.explode(F.concat(rows("calls", "c"), rows("wires", "w"))).alias("x")).select("x.log", "call_id", "x.problem")
+    nameless = [log.where("call_id IS NULL").select(F.lit(name).alias("log"), "call_id", F.lit("unknown").alias("problem")) for log, name in ((calls, "calls"), (wires, "wires"))]
+    return reduce(DataFrame.unionByName, nameless, found)
 
 
 def field_costs(payloads: DataFrame, fields: list[str], tokens) -> DataFrame:

@@ -1,4 +1,4 @@
-from plumbline.operators import retrieval
+from plumbline.operators import retrieval, traces
 
 
 def test_expected_candidates_makes_no_more_than_what_is_expected(spark):
@@ -9,3 +9,13 @@ def test_expected_candidates_makes_no_more_than_what_is_expected(spark):
     every, whole = retrieval.candidate_items(facts, items, 20)
     assert sorted(some.collect()) == sorted(whole.join(expected.distinct(), ["fact_id", "item_id"], "left_semi").collect()) and whole.count() == 60 * 50
     assert sorted(map(str, retrieval.filter_audit(picked, some, expected).collect())) == sorted(map(str, retrieval.filter_audit(every, whole, expected).collect()))
+
+
+def test_log_problems_shuffle_ids_once(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "call_id string")
+    found = traces.log_problems(rows("a", "a", "b", "c", None), rows("a", "x", "x", None, None), rows("b", "a", "y", None))
+    assert str(found._jdf.queryExecution().executedPlan()).count("Exchange ") == 1
+    got = sorted((r.log, r.call_id or "", r.problem) for r in found.collect())
+    assert got == sorted(
+        [("calls", "b", "missing"), ("calls", "c", "missing"), ("wires", "c", "missing"), ("calls", "x", "unknown"), ("calls", "x", "unknown"), ("wires", "y", "unknown")] + [("calls", "", "unknown")] * 2 + [("wires", "", "unknown")]
+    )
