@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,20 +152,29 @@ def keep_support(events: DataFrame, decisions: DataFrame, most_rounds: int = 50)
     """decisions (story_id, event_id, decision) with ignored events kept that kept ones refer to, and support_only, required_by.
 
     events: story_id, event_id, source_ids, context_ids. An event that is kept for another one may refer to more, so rounds
-    go on until none changes; each is a join on span ids.
+    go on until none changes; each follows only what the round before has kept.
     """
-    state = decisions.select("story_id", "event_id", "decision", F.lit(False).alias("support_only"), F.array().cast(f"array<{dict(decisions.dtypes)['event_id']}>").alias("required_by"))
+    kind = dict(decisions.dtypes)["event_id"]
     gives = events.select("story_id", "event_id", F.explode("source_ids").alias("span"))
     asks = events.select("story_id", F.col("event_id").alias("by"), F.explode("context_ids").alias("span"))
-    state = scratch(state, "support")
+    refers = asks.join(gives, ["story_id", "span"]).select("story_id", "by", "event_id").distinct()
+    # Only ignored events change, so only references to them matter; each is followed once, in the round after its event was kept.
+    open_ = scratch(refers.join(decisions.where("decision = 'ignore'").select("story_id", "event_id"), ["story_id", "event_id"], "left_semi"), "support")
+    fresh, rounds = decisions.where("decision = 'keep'").select("story_id", F.col("event_id").alias("by")).distinct(), []
     for _ in range(most_rounds):
-        kept = state.where("decision = 'keep'").select("story_id", F.col("event_id").alias("by"))
-        need = asks.join(kept, ["story_id", "by"], "left_semi").join(gives, ["story_id", "span"]).groupBy("story_id", "event_id").agg(F.array_sort(F.collect_set("by")).alias("__by"))
-        fresh = state.where("decision = 'ignore'").join(need, ["story_id", "event_id"]).select("story_id", "event_id", "__by")
-        if not fresh.limit(1).count():
-            return state
-        new = F.col("__by").isNotNull()
-        state = state.join(fresh, ["story_id", "event_id"], "left")
-        state = state.select("story_id", "event_id", F.when(new, "keep").otherwise(F.col("decision")).alias("decision"), (F.col("support_only") | new).alias("support_only"), F.coalesce("__by", "required_by").alias("required_by"))
-        state = scratch(state, "support")
-    raise RuntimeError(f"support did not settle in {most_rounds} rounds")
+        need = scratch(open_.join(fresh, ["story_id", "by"], "left_semi").groupBy("story_id", "event_id").agg(F.array_sort(F.collect_set("by")).alias("__by")), "support")
+        if not need.limit(1).count():
+            break
+        rounds.append(need)
+        fresh = need.select("story_id", F.col("event_id").alias("by"))
+        open_ = scratch(open_.join(need.select("story_id", "event_id"), ["story_id", "event_id"], "left_anti"), "support")
+    else:
+        raise RuntimeError(f"support did not settle in {most_rounds} rounds")
+    state = decisions.select("story_id", "event_id", "decision")
+    none = F.array().cast(f"array<{kind}>")
+    if not rounds:
+        return state.select("*", F.lit(False).alias("support_only"), none.alias("required_by"))
+    found = reduce(DataFrame.unionByName, rounds)
+    state = state.join(found, ["story_id", "event_id"], "left")
+    new = F.col("__by").isNotNull() & (F.col("decision") == "ignore")
+    return state.select("story_id", "event_id", F.when(new, "keep").otherwise(F.col("decision")).alias("decision"), F.coalesce(new, F.lit(False)).alias("support_only"), F.when(new, F.col("__by")).otherwise(none).alias("required_by"))

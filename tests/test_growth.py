@@ -1,4 +1,4 @@
-from plumbline.operators import retrieval, traces
+from plumbline.operators import retrieval, reviews, traces
 
 
 def test_expected_candidates_makes_no_more_than_what_is_expected(spark):
@@ -19,3 +19,21 @@ def test_log_problems_shuffle_ids_once(spark):
     assert got == sorted(
         [("calls", "b", "missing"), ("calls", "c", "missing"), ("wires", "c", "missing"), ("calls", "x", "unknown"), ("calls", "x", "unknown"), ("wires", "y", "unknown")] + [("calls", "", "unknown")] * 2 + [("wires", "", "unknown")]
     )
+
+
+def test_support_follows_each_reference_once(spark, monkeypatch):
+    # A chain of 30 events, of which the last is kept, beside many that nobody refers to.
+    events = spark.sql("SELECT 1L AS story_id, id AS event_id, array(id) AS source_ids, CASE WHEN id BETWEEN 1 AND 30 THEN array(id - 1) ELSE CAST(array() AS array<bigint>) END AS context_ids FROM range(3000)")
+    said = events.selectExpr("story_id", "event_id", "CASE event_id WHEN 30 THEN 'keep' WHEN 3 THEN 'review' ELSE 'ignore' END AS decision")
+    written, real = [], reviews.scratch
+
+    def counted(rows, label):
+        out = real(rows, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(reviews, "scratch", counted)
+    got = {r.event_id: (r.decision, r.support_only, r.required_by) for r in reviews.keep_support(events, said).collect()}
+    assert got[30] == ("keep", False, []) and got[3] == ("review", False, []) and got[2] == ("ignore", False, []) and len(got) == 3000
+    assert all(got[i] == ("keep", True, [i + 1]) for i in range(4, 30))
+    assert sum(written) < 1_000
