@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,13 +70,35 @@ def _spans_of(text: str | None, most: int | None) -> list[tuple[str, str, int, i
 def split_spans(text: Column, most: int | None = SPAN_CHARS) -> Column:
     """Clauses with code-point offsets (end exclusive), trimmed and cut at ``most`` characters; none for blank text."""
 
-    @F.pandas_udf(SPAN_TYPE)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("id", "text", "start", "stop"), s, strict=True)) for s in _spans_of(t, most)])
+    @F.arrow_udf(SPAN_TYPE)
+    def spans(texts: pa.Array) -> pa.Array:
+        return _spans_in_pieces(texts, most)
 
     return spans(text)
 
 
+#: Texts whose spans are Python objects at a time.
+SPAN_PIECE = 100
+
+
+def _spans_in_pieces(texts: pa.Array, most: int | None) -> pa.Array:
+    """Spans of each text; columns are built piece by piece, so that few spans are Python objects at a time."""
+    pieces = [_span_lists(texts.slice(i, SPAN_PIECE).to_pylist(), most) for i in range(0, len(texts), SPAN_PIECE)]
+    return pa.concat_arrays(pieces) if pieces else _span_lists([], most)
+
+
+def _span_lists(texts: list[str | None], most: int | None) -> pa.Array:
+    ends, columns = [0], ([], [], [], [])
+    for t in texts:
+        for s in _spans_of(t, most):
+            for column, value in zip(columns, s, strict=True):
+                column.append(value)
+        ends.append(len(columns[0]))
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+    rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "text", "start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def span_sizes(text: Column, most: int | None = SPAN_CHARS) -> Column:
     """Characters of each span of split_spans(), without the texts."""
 

@@ -1,3 +1,8 @@
+import tracemalloc
+
+import pyarrow as pa
+
+from plumbline.functions import text
 from plumbline.operators import retrieval, reviews, traces
 
 
@@ -37,3 +42,13 @@ def test_support_follows_each_reference_once(spark, monkeypatch):
     assert got[30] == ("keep", False, []) and got[3] == ("review", False, []) and got[2] == ("ignore", False, []) and len(got) == 3000
     assert all(got[i] == ("keep", True, [i + 1]) for i in range(4, 30))
     assert sum(written) < 1_000
+
+
+def test_spans_are_few_objects_at_a_time():
+    texts = pa.array(["word and word, " * 100, None, " ,x"] * 1_000)
+    tracemalloc.start()
+    found = text._spans_in_pieces(texts, 180)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0].as_py()[1] == {"id": "S2", "text": "word and word,", "start": 15, "stop": 29} and found[1].as_py() == [] and len(found) == 3_000
+    assert peak < 10_000_000
