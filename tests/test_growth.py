@@ -1,9 +1,11 @@
 import tracemalloc
 
 import pyarrow as pa
+from oracle import SF
 
 from plumbline.functions import text
 from plumbline.operators import retrieval, reviews, traces
+from plumbline.plans import ledgers
 
 
 def test_expected_candidates_makes_no_more_than_what_is_expected(spark):
@@ -52,3 +54,11 @@ def test_spans_are_few_objects_at_a_time():
     tracemalloc.stop()
     assert found[0].as_py()[1] == {"id": "S2", "text": "word and word,", "start": 15, "stop": 29} and found[1].as_py() == [] and len(found) == 3_000
     assert peak < 10_000_000
+
+
+def test_ledgers_read_lines_once(spark, monkeypatch):
+    seen, real = [], ledgers.scratch
+    monkeypatch.setattr(ledgers, "scratch", lambda rows, label: seen.append(label) or real(rows, label))
+    for query in (ledgers.system_scores, ledgers.evidence_scores, ledgers.review_violations):
+        assert "lineitem.parquet" not in query(spark, SF)._jdf.queryExecution().optimizedPlan().toString() + "".join(query(spark, SF).inputFiles())
+    assert seen == ["lines"] * 6
