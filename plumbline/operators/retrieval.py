@@ -19,6 +19,8 @@ from plumbline.sources.scratch import scratch
 RRF = 60.0
 #: Query vectors and vectors of a block; queries whose blocks are broadcast.
 QUERY_BLOCK, VECTOR_BLOCK, MOST_QUERIES = 512, 16_384, 50_000
+#: Queries of a block that are scored at a time.
+QUERY_SLICE = 64
 DIGITS = 6
 
 
@@ -70,6 +72,19 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row, ids[top[row, col]], picked[row, col] / 10.0**DIGITS
 
 
+def _block_best(ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, q: np.ndarray, groups: tuple[np.ndarray, np.ndarray] | None, k: int, skip_self: bool) -> Iterator[pd.DataFrame]:
+    """query_id, vec_id, score: the k best vectors of a block for each query of a block; ``groups`` of queries and vectors must be equal."""
+    for i in range(0, len(q_ids), QUERY_SLICE):  # scores and their order are held several times over
+        part = slice(i, i + QUERY_SLICE)
+        scores = q[part] @ v.T
+        if groups:
+            scores[groups[0][part, None] != groups[1][None, :]] = -np.inf
+        if skip_self:
+            scores[q_ids[part, None] == ids[None, :]] = -np.inf
+        row, found, score = _best(ids, scores, k)
+        yield pd.DataFrame({"query_id": q_ids[part][row], "vec_id": found, "score": score})
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, within: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine of unit vectors in double precision.
 
@@ -92,13 +107,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool
                 v, q = np.frombuffer(r.vectors, "<f8").reshape(len(ids), -1), np.frombuffer(r.q, "<f8").reshape(len(q_ids), -1)
                 if v.shape[1] != q.shape[1]:
                     continue
-                scores = q @ v.T
-                if within:
-                    scores[np.frombuffer(r.q_groups, "<i8")[:, None] != np.frombuffer(r.groups, "<i8")[None, :]] = -np.inf
-                if skip_self:
-                    scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                row, found, score = _best(ids, scores, k)
-                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": found, "score": score})
+                groups = (np.frombuffer(r.q_groups, "<i8"), np.frombuffer(r.groups, "<i8")) if within else None
+                yield from _block_best(ids, v, q_ids, q, groups, k, skip_self)
 
     met = _pack(side(vectors), VECTOR_BLOCK).join(asked)  # blocks against blocks of the stated queries
     return top_k(met.mapInPandas(rank, "query_id long, vec_id long, score double"), "query_id", "vec_id", F.col("score"), k)

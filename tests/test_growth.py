@@ -1,5 +1,7 @@
 import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from oracle import SF
 
@@ -62,3 +64,13 @@ def test_ledgers_read_lines_once(spark, monkeypatch):
     for query in (ledgers.system_scores, ledgers.evidence_scores, ledgers.review_violations):
         assert "lineitem.parquet" not in query(spark, SF)._jdf.queryExecution().optimizedPlan().toString() + "".join(query(spark, SF).inputFiles())
     assert seen == ["lines"] * 6
+
+
+def test_queries_of_a_block_are_scored_in_slices():
+    v = np.eye(512)[np.arange(4_096) % 512] + np.eye(4_096, 512) * 0.5
+    tracemalloc.start()
+    found = pd.concat(retrieval._block_best(np.arange(4_096), v, np.arange(512), v[:512], None, 1, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["query_id"].tolist() == found["vec_id"].tolist() == list(range(512))
+    assert peak < 30_000_000
