@@ -135,3 +135,22 @@ def test_join_sides_are_sent_by_measured_sizes_only(spark):
 
     measured_joins(lambda rows: seen.append((spark.conf.get(key), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold"))))(spark.range(1))
     assert seen == [("-1", before)] and spark.conf.get(key) == before and minhash.MOST_IDS <= 500_000
+
+
+def test_tables_of_one_node_are_read_once(spark, monkeypatch):
+    made = []
+    for module in (minhash, components):
+        real = module.store
+
+        def seen(rows, label, real=real):
+            if "explode" in rows._jdf.queryExecution().optimizedPlan().toString():
+                made.append(label)
+            out = real(rows, label)
+            if label == "mh-shared":
+                assert out.count() == out.join(out.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").count()
+            return out
+
+        monkeypatch.setattr(module, "store", seen)
+    d = spark.sql("SELECT id AS doc_id, concat_ws(' ', transform(sequence(1, 40), i -> concat('w', i + 1000 * (id % 150)))) || ' end' || id AS text FROM range(200)")
+    assert minhash.near_duplicates(d, width=2).where("kept").count() == 150
+    assert made == ["mh-shared"]
