@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.shapes import let
+
 # CJK blocks and word characters of the tokenizer, clause marks, time labels.
 CJK = "㐀-䶿一-鿿豈-﫿"
 TOKEN = f"[{CJK}]+|[a-z0-9_]+"
@@ -109,12 +111,21 @@ def span_sizes(text: Column, most: int | None = SPAN_CHARS) -> Column:
     return sizes(text)
 
 
+SPACES = "\t\x0b\f \x1c\x1d\x1e\x1f\x85\xa0"
+
+
 def clause_texts(text: Column, most: int = SPAN_CHARS) -> Column:
-    """The texts of split_spans() without offsets, by built-in functions alone."""
-    space = r"^[\s\x{1c}-\x{1f}\x{85}\x{a0}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}]+$"
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([^\\r\\n{CLAUSE_END}]+[{CLAUSE_END}]?)"), F.lit(1))
-    clauses = F.filter(F.transform(raw, lambda c: F.regexp_replace(c, space, "")), lambda c: c != "")
-    return F.flatten(F.transform(clauses, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / most).cast("int")), lambda i: c.substr(i * most + 1, F.lit(most)))))
+    """The texts of split_spans() without offsets, by built-in functions alone.
+
+    A line is broken after each mark by plain replacements, which cost far less than a regular expression with these classes.
+    """
+    broken = F.translate(F.coalesce(text, F.lit("")), "\r", "\n")
+    for mark in dict.fromkeys(CLAUSE_END):
+        broken = F.replace(broken, F.lit(mark), F.lit(mark + "\n"))
+    raw = F.filter(F.split(broken, "\n", -1), lambda c: ~c.isin("", *CLAUSE_END))  # a mark alone ends no clause
+    clauses = F.filter(F.transform(raw, lambda c: F.btrim(c, F.lit(SPACES))), lambda c: c != "")
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / most).cast("int")), lambda i: c.substr(i * most + 1, F.lit(most)))
+    return let(clauses, lambda found: F.when(F.exists(found, lambda c: F.length(c) > most), F.flatten(F.transform(found, cut))).otherwise(found))
 
 
 def lines(*parts: Column, distinct: bool = False) -> Column:

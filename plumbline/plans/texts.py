@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import callable, rules, text as fn, wire
+from plumbline.functions.shapes import let
 from plumbline.operators import checks, relations, retrieval, sequences
 from plumbline.plans.base import registry, table
 
@@ -52,8 +53,9 @@ def span_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SPANS}
 SELECT doc_id, count(*) AS n_spans, md5(string_agg(span, chr(10) ORDER BY n)) AS spans_md5 FROM spans GROUP BY doc_id""")
 def span_split_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", fn.clause_texts(F.col("text")).alias("s")).where(F.size("s") > 0)
-    return s.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.md5(F.array_join("s", "\n")).alias("spans_md5"))
+    # As rows of a generator, clauses are not computed again in a filter.
+    told = lambda s: F.when(F.size(s) > 0, F.array(F.struct(F.size(s).cast("long").alias("n_spans"), F.md5(F.array_join(s, "\n")).alias("spans_md5"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(let(fn.clause_texts(F.col("text")), told)))
 
 
 @query(f"""WITH RECURSIVE {SPANS},

@@ -7,7 +7,7 @@ from oracle import SF
 
 from plumbline.functions import text
 from plumbline.operators import retrieval, reviews, traces
-from plumbline.plans import ledgers
+from plumbline.plans import ledgers, texts
 
 
 def test_expected_candidates_makes_no_more_than_what_is_expected(spark):
@@ -74,3 +74,8 @@ def test_queries_of_a_block_are_scored_in_slices():
     tracemalloc.stop()
     assert found["query_id"].tolist() == found["vec_id"].tolist() == list(range(512))
     assert peak < 30_000_000
+
+
+def test_clauses_are_cut_once(spark):
+    plan = texts.span_split_native(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Filter" not in plan and "regexp" not in plan
