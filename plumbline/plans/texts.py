@@ -9,6 +9,7 @@ from plumbline.functions import callable, rules, text as fn, wire
 from plumbline.functions.shapes import let
 from plumbline.operators import checks, relations, retrieval, sequences
 from plumbline.plans.base import registry, table
+from plumbline.sources.scratch import scratch
 
 QUERIES, ORACLES, query = registry()
 
@@ -99,9 +100,11 @@ def coverage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents with a disposition by rule; every seventh is left out, and longer ones at every eleventh place have two."""
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fn.clause_texts(F.col("text"))).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("n"), "text")
     kind = F.when(F.length("text") < 20, "ignored").when(F.contains("text", F.lit(".")), "event").otherwise("non_event")
-    d = s.where(F.col("n") % 7 != 0).select("doc_id", "n", kind.alias("kind"))
-    more = s.where((F.col("n") % 7 != 0) & (F.col("n") % 11 == 0) & (F.length("text") >= 20)).select("doc_id", "n", F.lit("ignored").alias("kind"))
-    return checks.coverage_summary(checks.coverage(s.select("doc_id", "n"), d.unionByName(more), ["doc_id", "n"]), "doc_id")
+    second = F.when((F.col("n") % 11 == 0) & (F.length("text") >= 20), "ignored")
+    kinds = F.when(F.col("n") % 7 != 0, F.array_compact(F.array(kind, second)))
+    s = scratch(s.select("doc_id", "n", kinds.alias("kinds")), "spans")
+    d = s.select("doc_id", "n", F.explode("kinds").alias("kind"))
+    return checks.coverage_summary(checks.coverage(s.select("doc_id", "n"), d, ["doc_id", "n"]), "doc_id")
 
 
 @query("""

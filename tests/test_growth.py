@@ -76,6 +76,10 @@ def test_queries_of_a_block_are_scored_in_slices():
     assert peak < 30_000_000
 
 
-def test_clauses_are_cut_once(spark):
+def test_clauses_are_cut_once(spark, monkeypatch):
     plan = texts.span_split_native(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "Filter" not in plan and "regexp" not in plan
+    seen, real = [], texts.scratch
+    monkeypatch.setattr(texts, "scratch", lambda rows, label: seen.append(label) or real(rows, label))
+    plan = texts.coverage_accounting(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == ["spans"] and "split(" not in plan and "regexp" not in plan
