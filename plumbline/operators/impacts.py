@@ -24,52 +24,65 @@ BLOCK, PACK, MOST_QUERIES = 4_096, 512, 50_000
 DIGITS = 6
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> tuple[DataFrame, DataFrame]:
+def postings(docs: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text", kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """A table of doc, dl, term, tf, and a row with n and avgdl of the corpus, from one pass over the texts.
 
-    With ``terms`` (term), only postings of these are kept; lengths and the corpus's statistics still count all tokens.
+    With ``terms`` (term), only postings of these are kept; lengths and the corpus's statistics still count all tokens. ``kind``, an
+    expression over docs, is kept beside each posting.
     """
-    t = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
+    kinds = [] if kind is None else ["kind"]
+    t = docs.select(F.col(doc).alias("doc"), *[kind.alias(c) for c in kinds], tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
     # The null term stands for the document itself.
-    each = t.select("doc", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("term"))
+    each = t.select("doc", *kinds, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("term"))
     if terms is not None:
         known = terms.select(F.col("term").alias("__known")).distinct()
         each = each.join(known, F.col("term") == F.col("__known"), "left").where("term IS NULL OR __known IS NOT NULL")
-    found = scratch(each.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    found = scratch(each.groupBy("doc", *kinds, "dl", "term").agg(F.count("*").alias("tf")), "postings")
     size = found.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     return found.where("term IS NOT NULL"), size
 
 
 def weights(found: DataFrame, size: DataFrame) -> DataFrame:
-    """term, doc, w (what the term adds to the document's BM25 score) from postings()."""
+    """term, doc, w (what the term adds to the document's BM25 score), n from postings(), and the document's kind if they have it."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = found.join(df, "term").join(F.broadcast(size))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return weighted.select("term", "doc", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"), "n")
+    return weighted.select("term", "doc", *[c for c in found.columns if c == "kind"], (idf * F.col("tf") * (K1 + 1) / norm).alias("w"), "n")
 
 
-def build(docs: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text", block: int = BLOCK) -> DataFrame:
+def build(docs: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text", block: int = BLOCK, kind: Column | None = None) -> DataFrame:
     """The index as a table: block, term, top, docs, impacts; of all terms, or of those in ``terms``.
 
     Documents are dealt to blocks by the hash of their id, so that a block has about ``block`` of them and a frequent term is
-    in many rows, none of them large.
+    in many rows, none of them large. With ``kind``, an expression over docs, a block holds documents of one kind, which is a column
+    of the index: queries can then be asked of some kinds only.
     """
-    found = weights(*postings(docs, terms, doc, text))
+    return index(*postings(docs, terms, doc, text, kind), block)
+
+
+def index(found: DataFrame, size: DataFrame, block: int = BLOCK) -> DataFrame:
+    """build() from postings()."""
+    found = weights(found, size)
+    place = ["kind", "block"] if "kind" in found.columns else ["block"]
     found = found.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / block)))
     ordered = F.sort_array(F.collect_list(F.struct("w", "doc")), asc=False)
-    rows = found.groupBy("block", "term").agg(ordered.alias("x"))
-    return scratch(rows.select("block", "term", F.col("x")[0].w.alias("top"), F.col("x.doc").alias("docs"), F.col("x.w").alias("impacts")), "impacts")
+    rows = found.groupBy(*place, "term").agg(ordered.alias("x"))
+    return scratch(rows.select(*place, "term", F.col("x")[0].w.alias("top"), F.col("x.doc").alias("docs"), F.col("x.w").alias("impacts")), "impacts")
 
 
 def floors(index: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """query_id, floor: a score that at least k documents reach, the highest k-th impact of the query's terms; 0 if no term has k documents."""
+    """query_id, floor: a score that at least k documents reach, the highest k-th impact of the query's terms; 0 if no term has k documents.
+
+    Where terms have a kind, only documents of this kind count, and the floor is the query's among them.
+    """
+    by = ["kind"] if "kind" in terms.columns else []
     # Of a block, the first k impacts are enough; the rank's limit is applied before rows are shuffled.
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    heads = wanted.select("term", F.explode(F.slice("impacts", 1, k)).alias("w"))
-    ranked = heads.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("w")))).where(F.col("r") <= k)
-    kth = ranked.where(F.col("r") == k).select("term", "w")
-    return terms.join(kth, "term", "left").groupBy("query_id").agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("floor"))
+    wanted = index.join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+    heads = wanted.select(*by, "term", F.explode(F.slice("impacts", 1, k)).alias("w"))
+    ranked = heads.withColumn("r", F.row_number().over(Window.partitionBy(*by, "term").orderBy(F.desc("w")))).where(F.col("r") <= k)
+    kth = ranked.where(F.col("r") == k).select(*by, "term", "w")
+    return terms.join(kth, [*by, "term"], "left").groupBy("query_id", *by).agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("floor"))
 
 
 class Best:
@@ -117,19 +130,23 @@ def search(index: DataFrame, queries: DataFrame, k: int, ones: bool = False) ->
 
     Blocks meet packs of queries, which are broadcast while there are at most MOST_QUERIES. A task keeps k documents of each query over
     all its blocks and gives these, so at most k rows of a query leave a partition. With ``ones`` the score is the number
-    of the query's terms in the document.
+    of the query's terms in the document. Where queries have a ``kind``, a row says that the query is asked of the blocks of this
+    kind, and a query has a row for each of its kinds; else it is asked of all.
     """
-    terms = queries.select("query_id", F.explode("terms").alias("term"))
-    asked = queries.select("query_id", "terms")
-    asked = asked.withColumn("floor", F.lit(0.0)) if ones else asked.join(floors(index, terms, k), "query_id", "left").fillna(0.0, ["floor"])
+    by = ["kind"] if "kind" in queries.columns else []
+    terms = queries.select("query_id", *by, F.explode("terms").alias("term"))
+    asked = queries.select("query_id", *by, "terms")
+    asked = asked.withColumn("floor", F.lit(0.0)) if ones else asked.join(floors(index, terms, k), ["query_id", *by], "left").fillna(0.0, ["floor"])
     asked = scratch(asked, "asked")
     n = asked.count()
-    packs = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // PACK) or 1)).alias("pack")).agg(F.collect_list(F.struct("query_id", "terms", "floor")).alias("queries")).drop("pack")
-    used = index.join(terms.select("term").distinct(), "term", "left_semi")
-    blocks = used.groupBy("block").agg(F.collect_list(F.struct("term", "top", "docs", "impacts")).alias("rows")).drop("block")
-    met = blocks.join(F.broadcast(packs) if n <= MOST_QUERIES else packs)  # blocks against packs of the stated queries
+    packs = asked.groupBy(*by, F.pmod(F.xxhash64("query_id"), F.lit(-(-n // PACK) or 1)).alias("pack")).agg(F.collect_list(F.struct("query_id", "terms", "floor")).alias("queries")).drop("pack")
+    packs = F.broadcast(packs) if n <= MOST_QUERIES else packs
+    used = index.join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+    place = [c for c in ("kind", "block") if c in index.columns]
+    blocks = used.groupBy(*place).agg(F.collect_list(F.struct("term", "top", "docs", "impacts")).alias("rows"))
+    met = blocks.join(packs, by) if by else blocks.join(packs)  # blocks against packs of the stated queries
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema} | {"doc": index.schema["docs"].dataType.elementType.simpleString()}
-    return met.mapInArrow(_rank(k, ones), f"query_id {kinds['query_id']}, doc {kinds['doc']}, score double")
+    return met.select("rows", "queries").mapInArrow(_rank(k, ones), f"query_id {kinds['query_id']}, doc {kinds['doc']}, score double")
 
 
 def _rank(k: int, ones: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

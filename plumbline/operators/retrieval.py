@@ -315,7 +315,7 @@ def _candidate_kinds(facts: DataFrame, items: DataFrame, least: int) -> tuple[Da
     every, chosen, some = _chosen(facts, items, least)
     picked = every.join(chosen, "fact_id").select(F.col("fact").alias("fact_id"), "level", (F.col("level_no") > 0).alias("fallback"), "candidates", "trace")
     kinds = chosen.where("level <> 'all'").select("fact_id", "level_no").join(some, ["fact_id", "level_no"]).select(F.col("fact_id").alias("kind"), "item_kind")
-    tagged = items.select("item_id", F.xxhash64("entities", "dimension_tags", "time_markers").alias("item_kind"))
+    tagged = items.select("item_id", item_kind(F.col("entities"), F.col("dimension_tags"), F.col("time_markers")).alias("item_kind"))
     return picked, every.select(F.col("fact").alias("fact_id"), F.col("fact_id").alias("kind")), kinds, tagged
 
 
@@ -338,13 +338,34 @@ def filter_audit(picked: DataFrame, candidates: DataFrame, expected: DataFrame)
     return rows.groupingSets([[], [F.col("level")]], F.col("level")).agg(*measures)
 
 
-def ranked_within(asked: DataFrame, picked: DataFrame, rank) -> DataFrame:
-    """Rankings of queries whose facts have filtered candidates, and of the others over the whole corpus.
+def item_kind(entities: Column, dimension_tags: Column, time_markers: Column) -> Column:
+    """What candidate_kinds() calls the kind of an item with these tags."""
+    return F.xxhash64(entities, dimension_tags, time_markers)
 
-    ``rank`` is called with queries and whether they have candidates, and gives query_id, doc, score, rank.
+
+def candidate_kinds(facts: DataFrame, items: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """candidate_items(), whose second frame is fact_id, kind here: a fact's candidates are the items of its kinds (item_kind())."""
+    picked, every, kinds, _ = _candidate_kinds(facts, items, least)
+    return picked, every.join(kinds, "kind").select("fact_id", F.col("item_kind").alias("kind"))
+
+
+def ranked_within(queries: DataFrame, docs: DataFrame, picked: DataFrame, kinds: DataFrame, kind: Column, k: int, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """query_id, doc, score, rank by BM25: the k best of each query among the documents of its kinds, or of all where no filter leaves enough.
+
+    queries: query_id, text; picked, kinds: from candidate_kinds(), with query ids as facts; ``kind``: item_kind() over docs. The
+    statistics are the corpus's own. One index serves all queries, its blocks of one kind each; a query meets
+    the blocks of its kinds and keeps k documents, so that candidates are never listed.
     """
-    open_ = picked.where("level = 'all'").select(F.col("fact_id").alias("query_id"))
-    return rank(asked.join(open_, "query_id", "left_anti"), True).unionByName(rank(asked.join(open_, "query_id", "left_semi"), False))
+    asked = _asked(queries)
+    index = impacts.build(docs, asked.select(F.explode("terms").alias("term")), doc, text, kind=kind)
+    within = scratch(asked.join(kinds.select(F.col("fact_id").alias("query_id"), "kind"), "query_id"), "within")
+    open_ = asked.join(picked.where("level = 'all'").select(F.col("fact_id").alias("query_id")), "query_id", "left_semi")
+    # Of a kind's documents without a match, the first k can be among the best.
+    first = top_k(docs.select(F.col(doc).alias("doc"), kind.alias("kind")), "kind", "doc", F.lit(0), k).select("kind", "doc")
+    empty = within.select("query_id", "kind").join(first, "kind").select("query_id", "doc", F.lit(0.0).alias("score"))
+    scored = impacts.search(index, within, k).unionByName(empty)
+    ranked = top_k(scored.groupBy("query_id", "doc").agg(F.max("score").alias("score")), "query_id", "doc", F.col("score"), k)
+    return ranked.unionByName(_ranked(index, open_, docs, k, doc))
 
 
 def retrieval_scores(results: DataFrame, k: int, pool: Column | None = None, count: Column | None = None) -> list[Column]:

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from oracle import SF
+from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators import retrieval, reviews, traces
@@ -83,3 +84,20 @@ def test_clauses_are_cut_once(spark, monkeypatch):
     monkeypatch.setattr(texts, "scratch", lambda rows, label: seen.append(label) or real(rows, label))
     plan = texts.coverage_accounting(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert seen == ["spans"] and "split(" not in plan and "regexp" not in plan
+
+
+def test_filtered_search_lists_no_candidates(spark, monkeypatch):
+    kinds, words = ["a", "b", None], ["w0", "w1", "w2", "none"]
+    docs = spark.createDataFrame([(i, " ".join([words[i % 4]] * (i % 7) + ["x"] * (i % 5)), kinds[i % 3]) for i in range(600)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "w0 w1", ["a"]), (2, "w2 gone", ["a", "b"]), (3, "gone", ["b"]), (4, "w1", ["c"])], "query_id long, text string, entities array<string>")
+    none = F.array().cast("array<string>")
+    facts = asked.select(F.col("query_id").alias("fact_id"), "entities", none.alias("dimensions"), none.alias("times"))
+    items = docs.select(F.col("doc_id").alias("item_id"), F.array("lang").alias("entities"), none.alias("dimension_tags"), none.alias("time_markers"))
+    _, allowed = retrieval.candidate_items(facts, items, 20)
+    allowed = allowed.withColumnsRenamed({"fact_id": "query_id", "item_id": "doc"})
+    want = retrieval.bm25_top_k(asked.where("query_id < 4"), docs, 5, allowed).unionByName(retrieval.bm25_top_k(asked.where("query_id = 4"), docs, 5))
+    picked, some = retrieval.candidate_kinds(facts, items, 20)
+    assert some.count() == 4
+    monkeypatch.setattr(retrieval, "lexical_scores", None)
+    got = retrieval.ranked_within(asked, docs, picked, some, retrieval.item_kind(F.array("lang"), none, none), 5)
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect()) and got.count() == 20
