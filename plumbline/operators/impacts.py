@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.shapes import let
 from plumbline.functions.text import tokenize
 from plumbline.sources.scratch import scratch
 
@@ -21,30 +22,48 @@ from plumbline.sources.scratch import scratch
 K1, B = 1.5, 0.75
 #: Documents of a block, queries of a pack; queries whose packs are broadcast.
 BLOCK, PACK, MOST_QUERIES = 4_096, 512, 50_000
+#: Terms that are broadcast, with the numbers of their documents; with more, postings meet them in a shuffle.
+MOST_TERMS = 1_000_000
 DIGITS = 6
 
 
+def counted(tokens: Column) -> Column:
+    """array of struct(term, tf): the distinct tokens of an array and how often they stand in it, from its sorted form."""
+
+    def runs(s: Column) -> Column:
+        stops = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        term = lambda at, i, stops: F.struct(F.get(s, at - 1).alias("term"), (at - F.coalesce(F.get(stops, i - 1), F.lit(0))).alias("tf"))
+        return let(stops, lambda ends: F.transform(ends, lambda at, i: term(at, i, ends)))
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term: string, tf: int>>"))
+
+
 def postings(docs: DataFrame, terms: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text", kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """A table of doc, dl, term, tf, and a row with n and avgdl of the corpus, from one pass over the texts.
 
-    With ``terms`` (term), only postings of these are kept; lengths and the corpus's statistics still count all tokens. ``kind``, an
+    A document is one row. With ``terms`` (term), only postings of these are kept; lengths and the corpus's statistics still count all tokens. ``kind``, an
     expression over docs, is kept beside each posting.
     """
     kinds = [] if kind is None else ["kind"]
     t = docs.select(F.col(doc).alias("doc"), *[kind.alias(c) for c in kinds], tokenize(F.col(text) if isinstance(text, str) else text).alias("t"))
-    # The null term stands for the document itself.
-    each = t.select("doc", *kinds, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("term"))
+    # A row's terms are counted in the row: rows of a task need not be held together. The null term stands for the document itself.
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    each = t.select("doc", *kinds, F.size("t").alias("dl"), F.explode(F.concat(whole, counted(F.col("t")))).alias("x"))
+    each = each.select("doc", *kinds, "dl", F.col("x.term").alias("term"), F.col("x.tf").cast("long").alias("tf"))
     if terms is not None:
-        known = terms.select(F.col("term").alias("__known")).distinct()
-        each = each.join(known, F.col("term") == F.col("__known"), "left").where("term IS NULL OR __known IS NOT NULL")
-    found = scratch(each.groupBy("doc", *kinds, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+        known = scratch(terms.select(F.col("term").alias("__known")).distinct(), "terms")
+        known = F.broadcast(known) if known.count() <= MOST_TERMS else known
+        each = each.join(known, F.col("term") == F.col("__known"), "left").where("term IS NULL OR __known IS NOT NULL").drop("__known")
+    found = scratch(each, "postings")
     size = found.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     return found.where("term IS NOT NULL"), size
 
 
 def weights(found: DataFrame, size: DataFrame) -> DataFrame:
     """term, doc, w (what the term adds to the document's BM25 score), n from postings(), and the document's kind if they have it."""
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # Few terms may have nearly all postings, which a shuffle by term would send to few tasks.
+    df = scratch(found.groupBy("term").agg(F.count("*").alias("df")), "counts")
+    df = F.broadcast(df) if df.count() <= MOST_TERMS else df
     weighted = found.join(df, "term").join(F.broadcast(size))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))

@@ -178,8 +178,14 @@ def _ranked(index: DataFrame, asked: DataFrame, docs: DataFrame, k: int, doc: st
 
 
 def search_report(queries: DataFrame, docs: DataFrame, k: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """query_id, doc, score, rank, matched_terms (in the query's order), query_tokens (repeats counted), candidates (how many were ranked)."""
-    ranked = top_k(lexical_scores(queries, docs, k, candidates, doc, text), "query_id", "doc", F.col("score"), k)
+    """query_id, doc, score, rank, matched_terms (in the query's order), query_tokens (repeats counted), candidates (how many were ranked).
+
+    All documents are ranked by the index, and the matched terms are looked up for the k best of each query only.
+    """
+    if candidates is None:
+        ranked = _ranked_with_terms(queries, docs, k, doc, text)
+    else:
+        ranked = top_k(lexical_scores(queries, docs, k, candidates, doc, text), "query_id", "doc", F.col("score"), k)
     asked = queries.select("query_id", F.size(tokenize(F.col("text"))).cast("long").alias("query_tokens"))
     if candidates is None:
         asked = asked.join(F.broadcast(docs.agg(F.count("*").alias("candidates"))))
@@ -188,6 +194,18 @@ def search_report(queries: DataFrame, docs: DataFrame, k: int, candidates: DataF
     return ranked.join(asked, "query_id").select("query_id", "doc", "score", "rank", F.col("terms").alias("matched_terms"), "query_tokens", "candidates")
 
 
+def _ranked_with_terms(queries: DataFrame, docs: DataFrame, k: int, doc: str, text: str | Column) -> DataFrame:
+    """query_id, doc, score, rank, terms (the common ones, in the query's order) of the k best of all documents."""
+    asked = _asked(queries)
+    terms = asked.select("query_id", F.posexplode("terms").alias("place", "term"))
+    found, size = impacts.postings(docs, terms, doc, text)
+    best = scratch(_ranked(impacts.index(found, size), asked, docs, k, doc), "best")
+    there = found.select("doc", "term").join(best.select("doc").distinct(), "doc", "left_semi")
+    common = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x.term)
+    told = best.join(terms, "query_id").join(there.distinct(), ["doc", "term"]).groupBy("query_id", "doc").agg(common.alias("terms"))
+    return best.join(told, ["query_id", "doc"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
 def overlap_top_k(queries: DataFrame, docs: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """query_id, doc, score, rank by the number of distinct shared terms."""
     return lexical_rankings(queries, docs, k, doc)[1]

@@ -7,7 +7,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import retrieval, reviews, traces
+from plumbline.operators import impacts, retrieval, reviews, traces
 from plumbline.plans import ledgers, texts
 
 
@@ -101,3 +101,19 @@ def test_filtered_search_lists_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "lexical_scores", None)
     got = retrieval.ranked_within(asked, docs, picked, some, retrieval.item_kind(F.array("lang"), none, none), 5)
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect()) and got.count() == 20
+
+
+def test_search_report_counts_terms_in_rows(spark, monkeypatch):
+    tokens = spark.createDataFrame([(["b", "a", "b"],), ([],), (["c"],)], "t array<string>")
+    assert [sorted(map(tuple, r[0])) for r in tokens.select(impacts.counted(F.col("t"))).collect()] == [[("a", 1), ("b", 2)], [], [("c", 1)]]
+    docs = spark.createDataFrame([(i, " ".join(["x"] * (i % 4) + ["y"] * (i % 3) + ["z"])) for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "y x y"), (2, "gone"), (3, "")], "query_id long, text string")
+    want = retrieval.top_k(retrieval.lexical_scores(asked, docs, 4), "query_id", "doc", F.col("score"), 4).select("query_id", "doc", "score", "rank", "terms")
+    want = sorted(want.collect())
+    plans, real = {}, impacts.scratch
+    monkeypatch.setattr(impacts, "scratch", lambda rows, label: plans.setdefault(label, rows._jdf.queryExecution().executedPlan().toString()) and real(rows, label))
+    monkeypatch.setattr(retrieval, "lexical_scores", None)
+    got = retrieval.search_report(asked, docs, 4)
+    assert sorted(got.select("query_id", "doc", "score", "rank", "matched_terms").collect()) == want
+    assert {r.query_id: (r.query_tokens, r.candidates) for r in got.collect()} == {1: (3, 200), 2: (1, 200), 3: (0, 200)}
+    assert "Aggregate" not in plans["postings"] and "hashpartitioning" not in plans["postings"]
