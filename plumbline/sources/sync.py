@@ -25,7 +25,7 @@ from plumbline.operators.checks import repeated_keys, require_empty
 from plumbline.sources.scratch import scratch
 from plumbline.sources.stores import POINTER, Conflict, read_text, replace_text
 
-#: Pairs of file and segment that are broadcast to readers; more meet the chunks in a shuffle.
+#: Files, or pairs of file and segment, that are broadcast; more meet the texts or chunks in a shuffle.
 MOST_FILES = 1_000_000
 
 
@@ -86,7 +86,7 @@ def sync(files: DataFrame, folder: str, cut: Callable[[DataFrame], DataFrame], e
     if now is not None and set(counts) <= {"same"}:
         return now
     fresh = change.where("change IN ('added', 'changed')")
-    chunks = cut(files.join(fresh.select("file"), "file", "left_semi")).withColumn("text_sha256", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    chunks = cut(_fresh(files, change, counts)).withColumn("text_sha256", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     chunks = scratch(chunks, "chunks")
     held = None if now is None else _alive(spark, folder, now).select("text_sha256", "embedding").dropDuplicates(["text_sha256"])
     wanted = chunks.select("text_sha256", text).dropDuplicates(["text_sha256"])
@@ -114,6 +114,17 @@ def sync(files: DataFrame, folder: str, cut: Callable[[DataFrame], DataFrame], e
     return told | {"version": version}
 
 
+def _fresh(files: DataFrame, change: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """The files that are new or changed; their texts stay where they lie while the others, or they, are few enough."""
+    fresh, same = (change.where(F.col("change").isin(*kinds)).select("file") for kinds in (("added", "changed"), ("same",)))
+    if not counts.get("same"):
+        return files.where("file IS NOT NULL")
+    if counts["same"] <= MOST_FILES:
+        return files.where("file IS NOT NULL").join(F.broadcast(same), "file", "left_anti")
+    few = counts.get("added", 0) + counts.get("changed", 0) <= MOST_FILES
+    return files.join(F.broadcast(fresh) if few else fresh, "file", "left_semi")
+
+
 def _publish(spark: SparkSession, folder: str, before: dict | None, version: str, told: dict) -> None:
     replace_text(spark, f"{folder}/manifest={version}", json.dumps(told, sort_keys=True))
     there = (read_text(spark, f"{folder}/{POINTER}") or "").strip()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text
 from plumbline.operators import impacts, retrieval, reviews, traces
 from plumbline.plans import ledgers, texts
+from plumbline.sources import sync
 from plumbline.streaming import stateful
 
 
@@ -156,3 +157,21 @@ def test_lineage_calls_for_state_twice_a_key():
     assert told(machine.handleExpiredTimer((1,), At(15), At(15))) == [(2, 2, "follow_up", "lost")] and timers == [15, 16]
     assert told(machine.handleInputRows((1,), rows((4, 16, False)), None)) == [(4, 4, "repeat", "ok"), (3, 3, "repeat", "recovered")]
     assert told(machine.handleExpiredTimer((1,), At(16), At(16))) == [] and timers == [15, 16] and calls == ["get", "update"] * 4
+
+
+def test_sync_leaves_texts_where_they_lie(spark, tmp_path, monkeypatch):
+    plans, real = [], sync.scratch
+    monkeypatch.setattr(sync, "scratch", lambda rows, label: (label == "chunks" and plans.append(rows._jdf.queryExecution().executedPlan().toString())) or real(rows, label))
+    encode = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0)))
+    run = lambda most, *files: monkeypatch.setattr(sync, "MOST_FILES", most) or sync.sync(spark.createDataFrame(files, "file string, text string"), str(tmp_path), lambda f: f.withColumn("n", F.lit(0)), encode, {})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run(9, ("a", "1"), ("b", "2"), ("c", "3"), ("d", None))
+        run(9, ("a", "1"), ("b", "4"), ("c", "3"), ("e", "1"))
+        run(1, ("a", "1"), ("b", "4"), ("c", "5"), ("e", "1"))
+        assert all("Exchange hashpartitioning" not in p for p in plans)
+        run(1, ("a", "6"), ("b", "4"), ("c", "7"), ("e", "1"))
+        assert len(plans) == 4 and "Exchange hashpartitioning" in plans[3]
+        assert sorted((r.file, r.text) for r in sync.load(spark, str(tmp_path)).collect()) == [("a", "6"), ("b", "4"), ("c", "7"), ("e", "1")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
