@@ -27,8 +27,8 @@ ok AS (SELECT m.*, label FROM mapping m JOIN labels USING (case_id, event_id) WH
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines, numbers of an order that occur twice folded."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
+    """Order lines, numbers of an order that occur twice folded; dealt by order, so that a join with the orders deals them no more."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
     return rows.withColumn("event_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
 
